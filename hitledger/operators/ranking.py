@@ -23,7 +23,7 @@ def _row_order(sort_by: str) -> list[Column]:
     return [F.desc(names.sort_column(sort_by)), F.desc("visits"), F.asc("bucket")]
 
 
-def _with_shares(rows: DataFrame) -> DataFrame:
+def with_shares(rows: DataFrame) -> DataFrame:
     """Turn ranked rows that include the totals row into metric rows.
 
     The window spans one partition, which holds no more rows than the limit that was asked for.
@@ -68,7 +68,7 @@ def _ranked(counters: DataFrame, dimension: str, sort_by: str, top: int) -> Data
     so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = best.withColumn("rank", F.count_if(F.col("kind") == kind).over(so_far).cast("int"))
     return (
-        _with_shares(numbered)
+        with_shares(numbered)
         .where(F.col("rank") <= max(top, 0))
         .select("key", "visits", "traffic_bytes", "visit_pct", "traffic_pct", "rank")
     )
@@ -103,7 +103,7 @@ def top_rows_all(
         *(F.lit(x) for pair in names.DIMENSION_KINDS.items() for x in reversed(pair))
     )
     return (
-        _with_shares(best)
+        with_shares(best)
         .where(F.col("rank") <= top)
         .withColumn("dimension", dimension_of[F.col("kind")])
         .select(*columns)
