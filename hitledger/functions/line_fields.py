@@ -33,8 +33,6 @@ _FLAGS = "(?sU)"
 # Month abbreviations in log timestamps, January first.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
-U64_MAX = 18446744073709551615
-
 FIELD_COUNT = 6
 
 
@@ -71,11 +69,8 @@ def second_visible_word(text: Column) -> Column:
 
 def request_path(request: Column) -> Column:
     """Second whitespace-separated word of the request, or ``-``."""
-    return dash_if_empty(second_word(request))
-
-
-def dash_if_empty(text: Column) -> Column:
-    return F.when(text == "", "-").otherwise(text)
+    word = second_word(request)
+    return F.when(word == "", "-").otherwise(word)
 
 
 def number_or_null(token: Column) -> Column:
@@ -83,47 +78,36 @@ def number_or_null(token: Column) -> Column:
     return F.when(token.rlike(r"\A\+?[0-9]+\z"), token)
 
 
-def byte_count(number: Column) -> Column:
-    """BIGINT value of an unsigned integer token; 0 if it is null, empty or too large."""
-    return F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint"))
-
-
-def parse_bytes(token: Column) -> Column:
-    """Byte count of any token: an unsigned integer, or 0 for everything else."""
-    return byte_count(number_or_null(token))
-
-
-def exceeds_bigint(number: Column) -> Column:
-    """True for an unsigned 64-bit number that BIGINT cannot hold (such a token counts as 0)."""
-    too_long = F.octet_length(number) >= len(str(U64_MAX)) - 1
-    wide = number.try_cast("decimal(20,0)") <= F.lit(str(U64_MAX)).cast("decimal(20,0)")
-    return F.coalesce(too_long & number.try_cast("bigint").isNull() & wide, F.lit(False))
-
+# SQL text with a place for the column: one parsed expression each, where composing them call by
+# call would take longer than planning the query.
 
-def hour_bucket(timestamp: Column) -> Column:
-    """``YYYY-MM-DD HH:00`` cut out of ``dd/Mon/yyyy:HH...``; null if it has no such shape.
-
-    Text slices only: digits, separators and the zone offset are not checked, so the bucket is the
-    local time written in the log. Slices are by byte; one that cuts a character gives null.
-    """
-    raw = timestamp.cast("binary")
-
-    def cut(start: int, length: int) -> Column:
-        return F.substring(raw, start, length).cast("string")
-
-    month = F.when(cut(4, 3) == MONTHS[0], "01")
-    for number, name in enumerate(MONTHS[1:], start=2):
-        month = month.when(cut(4, 3) == name, f"{number:02d}")
-    bucket = F.concat(
-        cut(8, 4), F.lit("-"), month, F.lit("-"), cut(1, 2), F.lit(" "), cut(13, 2), F.lit(":00")
-    )
-    return F.when(F.octet_length(timestamp) >= 14, bucket)
+# BIGINT value of an unsigned integer token; 0 if it is null, empty or too large.
+BYTE_COUNT = "coalesce(try_cast({0} AS BIGINT), 0L)"
 
+# True for an unsigned 64-bit number that BIGINT cannot hold; shorter tokens are not looked at.
+EXCEEDS_BIGINT = """
+    coalesce(
+        octet_length({0}) >= 19
+        AND try_cast({0} AS BIGINT) IS NULL
+        AND try_cast({0} AS DECIMAL(20, 0)) <= 18446744073709551615,
+        false)
+"""
 
-def bucket_prefix(hour: Column, length: int) -> Column:
-    """First bytes of an hour bucket, whose separators are always at the same bytes."""
-    return F.substring(hour.cast("binary"), 1, length).cast("string")
+# ``YYYY-MM-DD HH:00`` cut out of ``dd/Mon/yyyy:HH...``; null if it has no such shape. Text slices
+# only: digits, separators and the zone offset are not checked, so the bucket is the local time
+# written in the log. Slices are by byte; the caller drops results that cut a character.
+_SLICE = "CAST(substring(CAST({{0}} AS BINARY), {0}, {1}) AS STRING)"
+_MONTH_NUMBER = " ".join(f"WHEN '{name}' THEN '{n:02d}'" for n, name in enumerate(MONTHS, 1))
+HOUR_BUCKET = f"""
+    CASE WHEN octet_length({{0}}) >= 14 THEN
+        concat(
+            {_SLICE.format(8, 4)}, '-',
+            CASE {_SLICE.format(4, 3)} {_MONTH_NUMBER} END, '-',
+            {_SLICE.format(1, 2)}, ' ', {_SLICE.format(13, 2)}, ':00')
+    END
+"""
 
 
-DAY_LENGTH = len("YYYY-MM-DD")
-MONTH_LENGTH = len("YYYY-MM")
+def parse_bytes(token: Column) -> Column:
+    """Byte count of any token: an unsigned integer, or 0 for everything else."""
+    return F.coalesce(number_or_null(token).try_cast("bigint"), F.expr("0L"))

@@ -13,20 +13,27 @@ from hitledger.functions.grouping import GroupingRules
 from hitledger.operators.parsing import parse_lines, with_buckets
 
 
-def _bucket_columns(rules: GroupingRules) -> dict[str, Column]:
-    parsed = F.col("ip").isNotNull()
-    return {
-        names.DIMENSION_KINDS["ip"]: rules.ip.apply(F.col("ip")),
-        names.DIMENSION_KINDS["path"]: rules.path.apply(F.col("path")),
-        names.DIMENSION_KINDS["user_agent"]: rules.user_agent.apply(F.col("user_agent")),
-        names.DIMENSION_KINDS["status"]: F.col("status_code"),
-        names.TREND_KINDS["hour"]: F.col("hour"),
-        names.TREND_KINDS["day"]: F.col("day"),
-        names.TREND_KINDS["month"]: F.col("month"),
-        names.TOTAL: F.when(parsed, names.META_BUCKET),
-        names.PARSE_ERRORS: F.when(~parsed, names.META_BUCKET),
-        names.BYTES_OUT_OF_RANGE: F.when(F.col("bytes_out_of_range"), names.META_BUCKET),
+def _bucket_column(kind: str, rules: GroupingRules) -> Column:
+    """The bucket of a parsed line in one kind; null where the line does not count there."""
+    if kind == names.DIMENSION_KINDS["ip"]:
+        return rules.ip.apply(F.col("ip"))
+    if kind == names.DIMENSION_KINDS["path"]:
+        return rules.path.apply(F.col("path"))
+    if kind == names.DIMENSION_KINDS["user_agent"]:
+        return rules.user_agent.apply(F.col("user_agent"))
+    for granularity, trend in names.TREND_KINDS.items():
+        if kind == trend:
+            return F.col(granularity)
+    condition = {
+        names.TOTAL: "ip IS NOT NULL",
+        names.PARSE_ERRORS: "ip IS NULL",
+        names.BYTES_OUT_OF_RANGE: "bytes_out_of_range",
     }
+    if kind in condition:
+        return F.expr(f"CASE WHEN {condition[kind]} THEN '{names.META_BUCKET}' END")
+    if kind == names.DIMENSION_KINDS["status"]:
+        return F.col("status_code")
+    raise ValueError(f"nothing to count for kind {kind!r}")
 
 
 def count_records(
@@ -41,12 +48,12 @@ def count_records(
     task. Ask only for the kinds a view needs: the fields of the others are not even parsed.
     """
     kinds = list(kinds)
-    buckets = _bucket_columns(rules or GroupingRules())
+    rules = rules or GroupingRules()
     return (
         with_buckets(parsed)
         .select(
-            F.coalesce("traffic_bytes", F.expr("0L")).alias("_bytes"),
-            *(buckets[kind].alias(kind) for kind in kinds),
+            F.expr("coalesce(traffic_bytes, 0L)").alias("_bytes"),
+            *(_bucket_column(kind, rules).alias(kind) for kind in kinds),
         )
         .unpivot(["_bytes"], kinds, "kind", "bucket")
         .where(F.col("bucket").isNotNull())

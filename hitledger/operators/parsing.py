@@ -13,79 +13,66 @@ from hitledger.functions import line_fields as lf
 
 RECORD_COLUMNS = ("ip", "path", "user_agent", "status_code", "traffic_bytes", "timestamp_str")
 
+# A plain line keeps address and timestamp before its first quote, status and byte count between
+# its second and third, and has at least four quotes; nothing but spaces precedes the status.
+# Splitting at quotes, at the bracket and at spaces then does the whole delimiter search.
+_IS_PLAIN = """
+    coalesce(
+        contains(get(_head, 0), ' ')
+        AND contains(get(_head, 1), ']')
+        AND get(_response, 0) >= '!' AND get(_response, 0) < char(127)
+        AND get(_response, 2) IS NOT NULL
+        AND get(_quoted, 4) IS NOT NULL,
+        false)
+"""
+
 
-def _item(array: str, index: int) -> Column:
-    return F.get(F.col(array), F.lit(index))
+def _other_columns(lines: DataFrame, column: str) -> list[Column]:
+    return [F.col(f"`{name}`") for name in lines.columns if name != column]
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One output row per input row: the other input columns, the record and its quality flags.
+    """One output row per input row: the other input columns, the record and its quality flag.
 
     The record columns are all null where the line is a reject. ``bytes_out_of_range`` marks byte
-    counts between 2^63 and 2^64-1, which are counted as 0.
+    counts between 2^63 and 2^64-1, which are counted as 0. Lines that are not plain go through
+    the patterns, which hold for every line.
     """
-    kept = [name for name in lines.columns if name != column]
+    kept = _other_columns(lines, column)
     line = lf.without_trailing_cr(F.col(column))
-
-    # A plain line keeps address and timestamp before its first quote, status and bytes between
-    # its second and third, and has at least four quotes. Splitting at quotes then does the whole
-    # delimiter search. Every other line goes through the patterns, which hold for all lines.
-    quoted = lines.select(*kept, line.alias("_line")).select(
-        *kept, "_line", F.split("_line", '"', 7).alias("_quoted")
-    )
+    quoted = lines.select(*kept, line.alias("_line"), F.split(line, '"', 7).alias("_quoted"))
     pieces = quoted.select(
         *kept,
         "_line",
         "_quoted",
-        F.split(_item("_quoted", 0), r"\[", 2).alias("_head"),
-        F.split(F.ltrim(_item("_quoted", 2)), " ", 3).alias("_response"),
-    )
-    status = _item("_response", 0)
-    plain = (
-        _item("_head", 0).contains(" ")
-        & _item("_head", 1).contains("]")
-        # starts with a visible ASCII character: no other white space was left to trim
-        & (status >= "!")
-        & (status < "\x7f")
-        & _item("_response", 2).isNotNull()
-        & _item("_quoted", 4).isNotNull()
-    )
-    decided = pieces.select(
-        *kept,
-        "_line",
-        "_quoted",
-        "_head",
-        "_response",
-        F.coalesce(plain, F.lit(False)).alias("_plain"),
+        F.split(F.expr("get(_quoted, 0)"), r"\[", 2).alias("_head"),
+        F.split(F.expr("ltrim(get(_quoted, 2))"), " ", 3).alias("_response"),
     )
+    decided = pieces.select("*", F.expr(_IS_PLAIN).alias("_plain"))
+    request = F.expr("get(_quoted, 1)")
+    by_pattern = lf.fields_of(F.col("_line"), lf.DELIMITED_LINE, lf.COMBINED_LINE)
     matched = decided.select(
         *kept,
         "_quoted",
         "_head",
         "_response",
         "_plain",
-        F.when(
-            ~F.col("_plain"), lf.fields_of(F.col("_line"), lf.DELIMITED_LINE, lf.COMBINED_LINE)
-        ).alias("_matched"),
-        F.when(F.col("_plain"), lf.second_visible_word(_item("_quoted", 1))).alias("_word"),
+        F.when(~F.col("_plain"), by_pattern).alias("_matched"),
+        F.when(F.col("_plain"), lf.second_visible_word(request)).alias("_word"),
     )
-
-    def field(from_plain: Column, index: int) -> Column:
-        return F.when(F.col("_plain"), from_plain).when(
-            F.size("_matched") > 1, _item("_matched", index)
-        )
-
+    number = lf.number_or_null(F.expr("get(_response, 1)"))
     fields = matched.select(
         *kept,
-        field(F.substring_index(_item("_head", 0), " ", 1), 0).alias("ip"),
-        field(F.substring_index(_item("_head", 1), "]", 1), 1).alias("timestamp_str"),
+        _field("ip", "substring_index(get(_head, 0), ' ', 1)"),
+        _field("timestamp_str", "substring_index(get(_head, 1), ']', 1)"),
         F.when(F.col("_word") != "", F.col("_word"))
-        .otherwise(field(lf.second_word(_item("_quoted", 1)), 2))
+        .when(F.col("_plain"), lf.second_word(request))
+        .otherwise(F.expr(_pattern_field("_path")))
         .alias("_path"),
-        field(_item("_response", 0), 3).alias("status_code"),
-        field(lf.number_or_null(_item("_response", 1)), 4).alias("_bytes"),
-        field(F.coalesce(_item("_quoted", 5), F.lit("-")), 5).alias("_agent"),
-        "_plain",
+        _field("status_code", "get(_response, 0)"),
+        F.when(F.col("_plain"), number).otherwise(F.expr(_pattern_field("_bytes"))).alias("_bytes"),
+        # pattern fields carry the opening quote, to tell an empty agent from a missing one
+        _field("_agent", "coalesce(concat('\"', get(_quoted, 5)), '')"),
     )
     return _records(fields, kept)
 
@@ -94,40 +81,41 @@ def parse_lines_by_pattern(
     lines: DataFrame, column: str = "value", patterns: tuple[str, ...] = (lf.COMBINED_LINE,)
 ) -> DataFrame:
     """The same rows and columns from whole-line patterns alone; by default only the second one."""
-    kept = [name for name in lines.columns if name != column]
+    kept = _other_columns(lines, column)
     line = lf.without_trailing_cr(F.col(column))
     matched = lines.select(*kept, lf.fields_of(line, *patterns).alias("_matched"))
-    names = ("ip", "timestamp_str", "_path", "status_code", "_bytes", "_agent")
     fields = matched.select(
-        *kept,
-        *(
-            F.when(F.size("_matched") > 1, _item("_matched", index)).alias(name)
-            for index, name in enumerate(names)
-        ),
-        F.lit(False).alias("_plain"),
+        *kept, *(F.expr(_pattern_field(name)).alias(name) for name in _PATTERN_FIELDS)
     )
     return _records(fields, kept)
 
 
-def _records(fields: DataFrame, kept: list[str]) -> DataFrame:
+_PATTERN_FIELDS = ("ip", "timestamp_str", "_path", "status_code", "_bytes", "_agent")
+
+
+def _pattern_field(name: str) -> str:
+    return f"CASE WHEN size(_matched) > 1 THEN get(_matched, {_PATTERN_FIELDS.index(name)}) END"
+
+
+def _field(name: str, from_plain: str) -> Column:
+    return F.expr(f"CASE WHEN _plain THEN {from_plain} ELSE {_pattern_field(name)} END").alias(name)
+
+
+def _records(fields: DataFrame, kept: list[Column]) -> DataFrame:
     """Finish the fields: defaults for path and user agent, the byte count as a number."""
-    parsed = F.col("ip").isNotNull()
-    agent = F.col("_agent")
-    # pattern fields carry the opening quote, which tells an empty agent from a missing one
-    agent_text = (
-        F.when(F.col("_plain"), agent)
-        .when(agent == "", "-")
-        .otherwise(F.expr("substring(_agent, 2)"))
-    )
     return fields.select(
         *kept,
         "ip",
-        lf.dash_if_empty(F.col("_path")).alias("path"),
-        agent_text.alias("user_agent"),
+        F.expr("CASE WHEN _path = '' THEN '-' ELSE _path END").alias("path"),
+        F.expr("CASE WHEN _agent = '' THEN '-' ELSE substring(_agent, 2) END").alias("user_agent"),
         "status_code",
-        F.when(parsed, lf.byte_count(F.col("_bytes"))).alias("traffic_bytes"),
+        F.expr(f"CASE WHEN ip IS NOT NULL THEN {lf.BYTE_COUNT.format('_bytes')} END").alias(
+            "traffic_bytes"
+        ),
         "timestamp_str",
-        F.when(parsed, lf.exceeds_bigint(F.col("_bytes"))).alias("bytes_out_of_range"),
+        F.expr(f"CASE WHEN ip IS NOT NULL THEN {lf.EXCEEDS_BIGINT.format('_bytes')} END").alias(
+            "bytes_out_of_range"
+        ),
     )
 
 
@@ -152,12 +140,13 @@ def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def with_buckets(parsed: DataFrame) -> DataFrame:
     """Add the hour, day and month buckets, null where the timestamp has no usable text."""
-    cut = parsed.withColumn("_hour", lf.hour_bucket(F.col("timestamp_str")))
-    valid = cut.withColumn("hour", F.when(F.is_valid_utf8("_hour"), F.col("_hour"))).drop("_hour")
-    hour = F.col("hour")
-    return valid.withColumns(
-        {
-            "day": lf.bucket_prefix(hour, lf.DAY_LENGTH),
-            "month": lf.bucket_prefix(hour, lf.MONTH_LENGTH),
-        }
+    cut = parsed.select("*", F.expr(lf.HOUR_BUCKET.format("timestamp_str")).alias("_hour"))
+    # separators stand at the same bytes in every bucket, so its beginnings are day and month
+    valid = "CASE WHEN is_valid_utf8(_hour) THEN {} END"
+    start = "CAST(substring(CAST(_hour AS BINARY), 1, {}) AS STRING)"
+    return cut.select(
+        *(F.col(f"`{name}`") for name in parsed.columns),
+        F.expr(valid.format("_hour")).alias("hour"),
+        F.expr(valid.format(start.format(len("YYYY-MM-DD")))).alias("day"),
+        F.expr(valid.format(start.format(len("YYYY-MM")))).alias("month"),
     )

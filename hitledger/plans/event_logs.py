@@ -54,30 +54,31 @@ def _request() -> Column:
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per event: ``event_id``, ``event_type``, ``value``."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    status = F.when(F.col("event_type") == "error", "500").otherwise("200")
-    bytes_sent = F.floor(F.col("value") * 100).cast("string")
-    fields = [
-        F.concat(
+    user = F.col("user_id")
+    fields = {
+        "ip": F.concat(
             F.lit("10.0."),
             F.expr("user_id div 256").cast("string"),
             F.lit("."),
-            (F.col("user_id") % 256).cast("string"),
+            (user % 256).cast("string"),
         ),
-        F.lit("-"),
-        F.lit("-"),
-        F.concat(F.lit("["), _timestamp(F.col("ts"), _every(UNKNOWN_MONTH)), F.lit("]")),
-        F.concat(F.lit('"'), _request(), F.lit('"')),
-        status,
-        F.when(_every(NO_BYTE_COUNT), "-").otherwise(bytes_sent),
-        F.lit('"-"'),
-        F.concat(F.lit('"ua/'), (F.col("user_id") % 7).cast("string"), F.lit('"')),
-    ]
-    line = F.when(_every(TAB_SEPARATED), F.concat_ws("\t", *fields)).otherwise(
-        F.concat_ws(" ", *fields)
+        "time": F.concat(F.lit("["), _timestamp(F.col("ts"), _every(UNKNOWN_MONTH)), F.lit("]")),
+        "request": F.concat(F.lit('"'), _request(), F.lit('"')),
+        "status": F.when(F.col("event_type") == "error", "500").otherwise("200"),
+        "bytes": F.when(_every(NO_BYTE_COUNT), "-").otherwise(
+            F.floor(F.col("value") * 100).cast("string")
+        ),
+        "agent": F.concat(F.lit('"ua/'), (user % 7).cast("string"), F.lit('"')),
+    }
+    dash, no_referer = F.lit("-"), F.lit('"-"')
+    order = ["ip", dash, dash, "time", "request", "status", "bytes", no_referer, "agent"]
+    line = (
+        F.when(_every(JUNK_LINE), F.concat(F.lit("garbage "), F.col("event_id").cast("string")))
+        .when(_every(TAB_SEPARATED), F.concat_ws("\t", *order))
+        .otherwise(F.concat_ws(" ", *order))
     )
-    junk = F.concat(F.lit("garbage "), F.col("event_id").cast("string"))
-    return events.select(
-        "event_id", "event_type", F.when(_every(JUNK_LINE), junk).otherwise(line).alias("value")
+    return events.select("event_id", "event_type", *(c.alias(n) for n, c in fields.items())).select(
+        "event_id", "event_type", line.alias("value")
     )
 
 

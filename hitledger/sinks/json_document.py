@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,13 +112,7 @@ def load_document(spark: SparkSession, path: str) -> DataFrame:
     """
     text = spark.read.text(path, wholetext=True)
     document = _parsed(text, F.col("value"))
-    maps = [
-        F.transform(
-            F.map_entries(name),
-            lambda e, kind=kind: _row(kind, e["key"], e["value"]["visits"], e["value"]["traffic_bytes"]),
-        )
-        for name, kind in MAPS.items()
-    ]
+    maps = [F.transform(F.map_entries(name), _map_row(kind)) for name, kind in MAPS.items()]
     rows = F.concat(_scalar_rows(), *maps)
     return _checked(document.select(F.inline_outer(rows)), path)
 
@@ -153,6 +149,12 @@ def _row(kind: str, bucket: Column, visits: Column, traffic_bytes: Column) -> Co
     )
 
 
+def _map_row(kind: str) -> Callable[[Column], Column]:
+    return lambda entry: _row(
+        kind, entry["key"], entry["value"]["visits"], entry["value"]["traffic_bytes"]
+    )
+
+
 def _scalar_rows() -> Column:
     everything, zero = F.lit(names.META_BUCKET), F.expr("0L")
     return F.array(

@@ -2,7 +2,10 @@
 
 import re
 
-SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _S, _N = f"[{SPACE}]", f"[^{SPACE}]"
 COMBINED = re.compile(
     rf'^({_N}+){_S}+{_N}+{_S}+{_N}+{_S}+\[([^\]]+)\]{_S}+"([^"]*)"{_S}+(\d{{3}}){_S}+({_N}+)'
