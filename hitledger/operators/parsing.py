@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from hitledger.functions import line_fields as lf
 
-RECORD_COLUMNS = ("ip", "path", "user_agent", "status_code", "traffic_bytes", "timestamp_str")
-
 # A plain line keeps address and timestamp before its first quote, status and byte count between
 # its second and third, and has at least four quotes; nothing but spaces precedes the status.
 # Splitting at quotes, at the bracket and at spaces then does the whole delimiter search.

@@ -31,15 +31,14 @@ _CSV_OPTIONS = {
 def save_snapshot(counters: DataFrame, path: str, mode: str = "error") -> None:
     """Write a counter table as Parquet, one folder per kind, so that views read only theirs.
 
-    The rebalance gives small kinds one file each and splits big ones by size.
+    The rebalance gives small kinds one file each and splits big ones by size. It needs adaptive
+    execution; without that it would send a whole kind to one task, so the tasks then write what
+    they have.
     """
-    (
-        counters.select(*names.COUNTER_SCHEMA.names)
-        .hint("rebalance", "kind")
-        .write.mode(mode)
-        .partitionBy("kind")
-        .parquet(path)
-    )
+    rows = counters.select(*names.COUNTER_SCHEMA.names)
+    if counters.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        rows = rows.hint("rebalance", "kind")
+    rows.write.mode(mode).partitionBy("kind").parquet(path)
 
 
 def load_snapshot(spark: SparkSession, path: str) -> DataFrame:

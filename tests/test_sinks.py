@@ -3,6 +3,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from hitledger import Ledger, analyze, names
 from hitledger.operators import counting
@@ -56,6 +57,25 @@ def test_snapshot_round_trip_and_pruning(spark, odd, tmp_path):
     assert tables.load_snapshot(spark, path).count() == 1
 
 
+def test_a_big_kind_is_split_over_files(spark, tmp_path):
+    big = spark.range(300_000).selectExpr(
+        "'dimension:path' AS kind", "concat('/', uuid()) AS bucket", "1L AS visits", "id AS traffic_bytes"
+    )
+    counters = big.unionByName(big.limit(1).withColumn("kind", F.lit("meta:total")))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    for adaptive, files in (("true", range(3, 60)), ("false", range(1, 60))):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set(size, "2m")
+        try:
+            path = tmp_path / adaptive
+            tables.save_snapshot(counters, str(path))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+            spark.conf.unset(size)
+        assert len(part_files(path / "kind=dimension%3Apath")) in files
+        assert tables.load_snapshot(spark, str(path)).count() == 300_001
+
+
 def test_csv_is_read_alike_by_others(odd, tmp_path):
     path = str(tmp_path / "export")
     tables.export_csv(odd, path)
