@@ -172,6 +172,12 @@ def top_n_all_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_rows_all(_counters(spark, sf_dir, *kinds), "traffic", 10)
 
 
+def top_n_each_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a saved table."""
+    saved = tables.materialize(_counters(spark, sf_dir))
+    return ranking.top_rows_each(saved, "traffic", 10)
+
+
 def top_rows_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scrolled past the end: the page stops at the last ten of the top 30."""
     counters = _counters(spark, sf_dir, IP, names.TOTAL)
@@ -269,6 +275,7 @@ def queries() -> dict[str, Query]:
         "top_user_agent_by_visits": _top("user_agent", "visits"),
         "top_status_by_traffic": _top("status", "traffic"),
         "top_n_all_dimensions": top_n_all_dimensions,
+        "top_n_each_dimension": top_n_each_dimension,
         "date_series": date_series,
         "top_rows_page": top_rows_page,
         "table_text": table_text,

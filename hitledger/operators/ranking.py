@@ -12,6 +12,10 @@ from hitledger.functions.display import human_bytes, percent_text, trend_label,
 from hitledger.operators.counting import date_series
 
 
+_METRICS = ("key", "visits", "traffic_bytes", "visit_pct", "traffic_pct")
+_RANKED_COLUMNS = ("dimension", "rank", *_METRICS)
+
+
 def percent_of(value: Column, total: Column) -> Column:
     """Share in percent; 0 where there is nothing to share."""
     share = value.cast("double") / total.cast("double") * 100
@@ -23,7 +27,7 @@ def _row_order(sort_by: str) -> list[Column]:
     return [F.desc(names.sort_column(sort_by)), F.desc("visits"), F.asc("bucket")]
 
 
-def with_shares(rows: DataFrame) -> DataFrame:
+def _with_shares(rows: DataFrame) -> DataFrame:
     """Turn ranked rows that include the totals row into metric rows.
 
     The window spans one partition, which holds no more rows than the limit that was asked for.
@@ -42,7 +46,7 @@ def with_shares(rows: DataFrame) -> DataFrame:
         "traffic_bytes",
         percent_of(F.col("visits"), F.col("_all_visits")).alias("visit_pct"),
         percent_of(F.col("traffic_bytes"), F.col("_all_bytes")).alias("traffic_pct"),
-        *(["rank"] if "rank" in rows.columns else []),
+        "rank",
     )
 
 
@@ -68,29 +72,39 @@ def _ranked(counters: DataFrame, dimension: str, sort_by: str, top: int) -> Data
     so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = best.withColumn("rank", F.count_if(F.col("kind") == kind).over(so_far).cast("int"))
     return (
-        with_shares(numbered)
+        _with_shares(numbered)
         .where(F.col("rank") <= max(top, 0))
-        .select("key", "visits", "traffic_bytes", "visit_pct", "traffic_pct", "rank")
+        .select(*_METRICS, "rank")
     )
 
 
+def top_rows_each(
+    counters: DataFrame, sort_by: str = "visits", top: int = names.DEFAULT_TOP
+) -> DataFrame:
+    """Top rows of all four dimensions, ranked one by one, with dimension and rank.
+
+    For saved tables: each dimension reads only its own part, and each task keeps its best rows
+    without sorting the others.
+    """
+    parts = [
+        _ranked(counters, dimension, sort_by, top).withColumn("dimension", F.lit(dimension))
+        for dimension in names.DIMENSION_KINDS
+    ]
+    return reduce(DataFrame.unionByName, parts).select(*_RANKED_COLUMNS)
+
+
 def top_rows_all(
     counters: DataFrame, sort_by: str = "visits", top: int = names.DEFAULT_TOP
 ) -> DataFrame:
-    """Top rows of all four dimensions in one pass, with dimension and rank.
+    """The same in one pass, for counters that are still to be computed.
 
     Spark cuts each task's rows to ``top`` per dimension before the window's shuffle, up to a
-    limit set in the session. Above that limit the dimensions are ranked one by one instead; give
-    that case a saved table, since each dimension then reads its own part of it.
+    limit set in the session. Above that limit a window would take a whole dimension to one task,
+    so the dimensions are ranked one by one.
     """
-    spark = counters.sparkSession
-    columns = ["dimension", "rank", "key", "visits", "traffic_bytes", "visit_pct", "traffic_pct"]
-    if top > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        parts = [
-            _ranked(counters, dimension, sort_by, top).withColumn("dimension", F.lit(dimension))
-            for dimension in names.DIMENSION_KINDS
-        ]
-        return reduce(DataFrame.unionByName, parts).select(*columns)
+    limit = counters.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    if top > int(limit):
+        return top_rows_each(counters, sort_by, top)
 
     by_kind = Window.partitionBy("kind").orderBy(*_row_order(sort_by))
     best = (
@@ -103,10 +117,10 @@ def top_rows_all(
         *(F.lit(x) for pair in names.DIMENSION_KINDS.items() for x in reversed(pair))
     )
     return (
-        with_shares(best)
+        _with_shares(best)
         .where(F.col("rank") <= top)
         .withColumn("dimension", dimension_of[F.col("kind")])
-        .select(*columns)
+        .select(*_RANKED_COLUMNS)
     )
 
 

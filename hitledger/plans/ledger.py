@@ -37,7 +37,7 @@ class Ledger:
         return ranking.top_rows(self.counters, dimension, self.sort_by, self.top)
 
     def all_rows(self) -> DataFrame:
-        return ranking.top_rows_all(self.counters, self.sort_by, self.top)
+        return ranking.top_rows_each(self.counters, self.sort_by, self.top)
 
     def page(self, dimension: str, scroll: int, visible: int) -> DataFrame:
         return ranking.page_of_rows(

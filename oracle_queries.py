@@ -152,6 +152,11 @@ _ALL_DIMENSIONS = ", ".join(
     )
 )
 
+_TOP_TEN_OF_ALL = _LOG + f", {_ALL_DIMENSIONS} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS dimension, rank, {_METRIC_ROW} FROM by_{name} WHERE rank <= 10"
+    for name in ("ip", "path", "user_agent", "status")
+)
+
 ORACLE_SQL = {
     "top_paths_without_query": _top("path_only", "traffic"),
     "parse_lines": _LOG + f"SELECT event_id, {_RECORD} FROM log",
@@ -212,10 +217,8 @@ FROM log
     "top_path_by_traffic": _top("path", "traffic"),
     "top_user_agent_by_visits": _top("user_agent", "visits"),
     "top_status_by_traffic": _top("status_code", "traffic"),
-    "top_n_all_dimensions": _LOG + f", {_ALL_DIMENSIONS} " + " UNION ALL ".join(
-        f"SELECT '{name}' AS dimension, rank, {_METRIC_ROW} FROM by_{name} WHERE rank <= 10"
-        for name in ("ip", "path", "user_agent", "status")
-    ),
+    "top_n_all_dimensions": _TOP_TEN_OF_ALL,
+    "top_n_each_dimension": _TOP_TEN_OF_ALL,
     "date_series": _COUNTERS + """
 SELECT replace(kind, 'trend:', '') AS granularity, bucket, visits, traffic_bytes
 FROM counters WHERE kind LIKE 'trend:%'

@@ -173,6 +173,8 @@ def test_all_dimensions_at_once_equal_one_by_one(events, top):
     # the last value is above the limit to which Spark cuts windows early
     table = counting.count_lines(events).cache()
     together = [tuple(r) for r in ranking.top_rows_all(table, "traffic", top).collect()]
+    each = [tuple(r) for r in ranking.top_rows_each(table, "traffic", top).collect()]
+    assert sorted(each) == sorted(together)
     apart = []
     for dimension in names.DIMENSION_KINDS:
         rows = ranking.top_rows(table, dimension, "traffic", top).collect()
