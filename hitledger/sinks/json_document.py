@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hitledger import names
+from hitledger.sources.compact_document import read_compact
 
 # The names of the maps in the document and the kinds they hold, in their order.
 MAPS = {
@@ -104,12 +105,16 @@ def save_document(counters: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def load_document(spark: SparkSession, path: str) -> DataFrame:
-    """Counter table of a document in one file.
+    """Counter table of a document in one file. Group rules are not applied again.
 
-    Such a file is one JSON value, so one task reads it; a folder of ``save_document`` or a
-    snapshot is read in parallel. Group rules are not applied again. Text that is no such document
-    fails the run.
+    A compact document is read in parallel. Any other is one JSON value to Spark and is read by
+    one task. Text that is no such document fails the run.
     """
+    compact = read_compact(spark, path, MAPS)
+    return _whole_document(spark, path) if compact is None else compact
+
+
+def _whole_document(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     document = _parsed(text, F.col("value"))
     maps = [F.transform(F.map_entries(name), _map_row(kind)) for name, kind in MAPS.items()]

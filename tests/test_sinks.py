@@ -10,6 +10,7 @@ from hitledger.operators import counting
 from hitledger.plans.ledger import load_counters
 from hitledger.sinks import json_document, tables
 from hitledger.sinks.scratch import scratch_path
+from hitledger.sources.compact_document import read_compact
 from tests.test_counting import as_dict, log_line
 
 # buckets that quoting, trimming and escaping could damage
@@ -144,6 +145,77 @@ def test_json_document_round_trip(spark, odd, tmp_path):
     assert as_dict(load_counters(spark, str(single))) == as_dict(odd)
 
 
+@pytest.fixture()
+def compact(odd, spark, tmp_path):
+    """A path and the document of the odd counters, as nested dictionaries."""
+    maps = {name: {} for name in json_document.MAPS}
+    kinds = {kind: name for name, kind in json_document.MAPS.items()}
+    expected = as_dict(odd)
+    for (kind, bucket), (visits, traffic) in expected.items():
+        if kind in kinds:
+            maps[kinds[kind]][bucket] = {"visits": visits, "traffic_bytes": traffic}
+    scalars = {"total_visits": 2, "total_traffic_bytes": 1234, "parse_errors": 1}
+    return tmp_path / "compact.json", {"files_count": 7, "aggregates": {**scalars, **maps}}
+
+
+def write_compact(path, document, end=""):
+    text = json.dumps(document, ensure_ascii=False, separators=(",", ":"))
+    path.write_text(text + end, encoding="utf-8")
+    return text
+
+
+def in_parallel(spark, path):
+    rows = read_compact(spark, str(path), json_document.MAPS)
+    return None if rows is None else as_dict(rows)
+
+
+def test_compact_document_is_read_in_parallel(spark, odd, compact):
+    path, document = compact
+    agents = document["aggregates"]["user_agent"]
+    del agents["},"]  # the one name that hides a cut
+    for tricky in ("visits", "ip", "by_day", 'x":{"visits":1', '},"', "}", '\\"', "},x"):
+        agents[tricky] = {"visits": 5, "traffic_bytes": 6}
+    # a map may begin with a bucket named like a field
+    document["aggregates"]["by_day"] = {"visits": {"visits": 1, "traffic_bytes": 2}}
+    write_compact(path, document, end="\n")
+    expected = as_dict(json_document._whole_document(spark, str(path)))
+    assert len(expected) > 130 and expected["trend:day", "visits"] == (1, 2)
+    assert in_parallel(spark, path) == expected
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        assert spark.read.option("lineSep", '},"').text(str(path)).rdd.getNumPartitions() > 3
+        assert in_parallel(spark, path) == expected
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_empty_maps_of_a_compact_document(spark, compact):
+    path, document = compact
+    del document["aggregates"]["user_agent"]["},"]
+    for empty in (["ip"], ["path", "user_agent"], ["by_month"], list(json_document.MAPS)):
+        for name in empty:
+            document["aggregates"][name] = {}
+        write_compact(path, document)
+        expected = as_dict(json_document._whole_document(spark, str(path)))
+        assert in_parallel(spark, path) == expected
+
+
+def test_other_texts_are_left_to_the_whole_reader(spark, odd, compact):
+    path, document = compact
+    text = write_compact(path, document)
+    assert in_parallel(spark, path) is None  # a bucket name ends in the cut
+    assert as_dict(json_document.load_document(spark, str(path))) == as_dict(odd)
+    del document["aggregates"]["user_agent"]["},"]
+    text = write_compact(path, document)
+    assert in_parallel(spark, path) is not None
+    broken = [text[:-n] for n in (1, 2, 3, 4, 5, 40, len(text) // 2)]
+    broken += [text + text, text.replace('"by_day"', '"by_week"'), text.replace("1234", "-1", 1)]
+    broken += [text.replace(":1234", f":{2**63}", 1), json.dumps(document), "", "}"]
+    for changed in broken:
+        path.write_text(changed, encoding="utf-8")
+        assert in_parallel(spark, path) is None, changed[-50:]
+
+
 def test_empty_document_round_trip(spark, odd, tmp_path):
     folder = str(tmp_path / "document")
     json_document.save_document(odd.where("kind = 'meta:files'"), folder)
