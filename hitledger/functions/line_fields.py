@@ -84,12 +84,15 @@ def number_or_null(token: Column) -> Column:
 # BIGINT value of an unsigned integer token; 0 if it is null, empty or too large.
 BYTE_COUNT = "coalesce(try_cast({0} AS BIGINT), 0L)"
 
-# True for an unsigned 64-bit number that BIGINT cannot hold; shorter tokens are not looked at.
-EXCEEDS_BIGINT = """
+# True for an unsigned 64-bit number that BIGINT cannot hold. Only tokens with as many digits as
+# such a number are converted: the conversion of a very long one would take quadratic time.
+_DIGITS = "trim(LEADING '+0' FROM {0})"
+EXCEEDS_BIGINT = f"""
     coalesce(
-        octet_length({0}) >= 19
-        AND try_cast({0} AS BIGINT) IS NULL
-        AND try_cast({0} AS DECIMAL(20, 0)) <= 18446744073709551615,
+        octet_length({{0}}) >= 19
+        AND octet_length({_DIGITS}) BETWEEN 19 AND 20
+        AND try_cast({{0}} AS BIGINT) IS NULL
+        AND try_cast({_DIGITS} AS DECIMAL(20, 0)) <= 18446744073709551615,
         false)
 """
 

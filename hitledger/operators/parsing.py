@@ -25,8 +25,9 @@ _IS_PLAIN = """
 """
 
 
-def _other_columns(lines: DataFrame, column: str) -> list[Column]:
-    return [F.col(f"`{name}`") for name in lines.columns if name != column]
+def _columns(frame: DataFrame, but: str | None = None) -> list[Column]:
+    """The columns of a frame, whatever characters their names hold."""
+    return [F.col(f"`{name}`") for name in frame.columns if name != but]
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -36,8 +37,8 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     counts between 2^63 and 2^64-1, which are counted as 0. Lines that are not plain go through
     the patterns, which hold for every line.
     """
-    kept = _other_columns(lines, column)
-    line = lf.without_trailing_cr(F.col(column))
+    kept = _columns(lines, but=column)
+    line = lf.without_trailing_cr(F.col(f"`{column}`"))
     quoted = lines.select(*kept, line.alias("_line"), F.split(line, '"', 7).alias("_quoted"))
     pieces = quoted.select(
         *kept,
@@ -79,8 +80,8 @@ def parse_lines_by_pattern(
     lines: DataFrame, column: str = "value", patterns: tuple[str, ...] = (lf.COMBINED_LINE,)
 ) -> DataFrame:
     """The same rows and columns from whole-line patterns alone; by default only the second one."""
-    kept = _other_columns(lines, column)
-    line = lf.without_trailing_cr(F.col(column))
+    kept = _columns(lines, but=column)
+    line = lf.without_trailing_cr(F.col(f"`{column}`"))
     matched = lines.select(*kept, lf.fields_of(line, *patterns).alias("_matched"))
     fields = matched.select(
         *kept, *(F.expr(_pattern_field(name)).alias(name) for name in _PATTERN_FIELDS)
@@ -123,17 +124,15 @@ def accepted_records(parsed: DataFrame) -> DataFrame:
     A filter would be pushed below the parse and run it a second time; a generator that emits
     nothing for a reject does not move.
     """
-    row = F.array(F.struct(*parsed.columns))
+    row = F.array(F.struct(*_columns(parsed)))
     return parsed.select(F.inline(F.when(F.col("ip").isNotNull(), row)))
 
 
 def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """The input rows whose line cannot be parsed, as they came."""
-    parsed = parse_lines(lines.withColumn("_raw", F.col(column)), column)
-    row = F.array(F.struct(*(F.col(c) for c in parsed.columns if c in lines.columns), "_raw"))
-    kept = [name for name in lines.columns if name != column]
-    rejects = parsed.select(F.inline(F.when(F.col("ip").isNull(), row)))
-    return rejects.select(*kept, F.col("_raw").alias(column)).select(*lines.columns)
+    as_it_came = F.struct(*_columns(lines)).alias("_row")
+    parsed = parse_lines(lines.select(F.col(f"`{column}`").alias("_text"), as_it_came), "_text")
+    return parsed.select(F.inline(F.when(F.col("ip").isNull(), F.array("_row"))))
 
 
 def with_buckets(parsed: DataFrame) -> DataFrame:
@@ -143,7 +142,7 @@ def with_buckets(parsed: DataFrame) -> DataFrame:
     valid = "CASE WHEN is_valid_utf8(_hour) THEN {} END"
     start = "CAST(substring(CAST(_hour AS BINARY), 1, {}) AS STRING)"
     return cut.select(
-        *(F.col(f"`{name}`") for name in parsed.columns),
+        *_columns(parsed),
         F.expr(valid.format("_hour")).alias("hour"),
         F.expr(valid.format(start.format(len("YYYY-MM-DD")))).alias("day"),
         F.expr(valid.format(start.format(len("YYYY-MM")))).alias("month"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,10 @@ from hitledger.sinks.scratch import scratch_path
 from hitledger.sources.log_files import read_lines, resolve_inputs
 
 
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+INPUT_BYTES_PER_SHUFFLE_PARTITION = 4 << 30
+
+
 class Ledger:
     """A saved counter table and the questions that can be asked of it."""
 
@@ -102,7 +107,8 @@ def analyze(
         lines = read_lines(spark, resolved, invalid_utf8)
         counted = counting.with_file_count(counting.count_lines(lines, rules), len(resolved))
         target = save_db if save_db is not None else scratch_path(spark, "counters")
-        tables.save_snapshot(counted, target)
+        with _enough_shuffle_partitions(spark, _input_bytes(lines)):
+            tables.save_snapshot(counted, target)
         counters = tables.load_snapshot(spark, target)
     ledger = Ledger(counters, sort_by, top, graph_items)
     if export_csv is not None:
@@ -110,6 +116,28 @@ def analyze(
     return ledger
 
 
+def _input_bytes(lines: DataFrame) -> int:
+    """Size of the files behind the lines, from Spark's own statistics; nothing is read."""
+    statistics = lines._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(statistics.sizeInBytes()))
+
+
+@contextmanager
+def _enough_shuffle_partitions(spark: SparkSession, input_bytes: int) -> Iterator[None]:
+    """At least as many shuffle partitions as the input calls for, while the counters are written.
+
+    Adaptive execution joins partitions that turn out small, but cannot split those of an
+    aggregate.
+    """
+    configured = spark.conf.get(SHUFFLE_PARTITIONS)
+    wanted = -(-input_bytes // INPUT_BYTES_PER_SHUFFLE_PARTITION)
+    spark.conf.set(SHUFFLE_PARTITIONS, max(int(configured), wanted))
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_PARTITIONS, configured)
+
+
 def load_counters(spark: SparkSession, path: str) -> DataFrame:
     """Counters of a snapshot folder or of a JSON document; a document is read once, re-written."""
     folders = _folder_names(spark, path)

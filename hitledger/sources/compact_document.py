@@ -24,7 +24,7 @@ _PIECE = (
     r'(?s)\A(?:\{"files_count":([0-9]+),"aggregates":\{"total_visits":([0-9]+)'
     r',"total_traffic_bytes":([0-9]+),"parse_errors":([0-9]+),")?'
     r'(?:(MAPS)":\{"?)?'
-    r'(?:((?:[^"\\]|\\.)*+)":\{"visits":([0-9]+),"traffic_bytes":([0-9]+))?'
+    r'(?:([^"\\]*+(?:\\.[^"\\]*+)*+)":\{"visits":([0-9]+),"traffic_bytes":([0-9]+))?'
     r"(\}*)\s*\z"
 )
 _FIELDS = (

@@ -15,8 +15,10 @@ MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
 
 def number(token):
-    if re.fullmatch(r"\+?[0-9]+", token, re.ASCII) and int(token) < 2**64:
-        return int(token)
+    if re.fullmatch(r"\+?[0-9]+", token, re.ASCII):
+        digits = token.lstrip("+0")
+        if len(digits) <= 20 and int(digits or 0) < 2**64:
+            return int(digits or 0)
     return 0
 
 

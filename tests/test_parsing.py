@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +178,31 @@ def test_accepted_and_rejected_split_the_lines(lines_of):
     assert good.columns == ["id", *parse_lines(lines).drop("id").columns]
 
 
+def test_hostile_lines_take_linear_time(lines_of):
+    n = 200_000
+    texts = [
+        "a " * n, "[" * n, '"' * n, "] " * n, "\t[" * n, " [" + "]" * n, '"a' * n, " " * n,
+        "x - - [" + "a" * n, 'x - - [a] "' + "b " * n, STD + '"' * n, "\u2003" * n,
+        STD.replace(" 5 ", " " + "9" * n + " "), STD.replace(" 5 ", " " + "0" * n + "7 "),
+        STD.replace(" 5 ", f" {'0' * n}{2**63} "), STD.replace("GET /x", "GET" + " " * n + "/x"),
+        STD.replace("1.1.1.1 ", "1.1.1.1\t") + "\t" * n, STD + "\r" * n, "1\t" * n,
+    ]
+    started = time.monotonic()
+    for row in parse_lines(lines_of(texts)).collect():
+        expected = as_tuple(line_model.parse(texts[row.id]))
+        assert tuple(row[c] for c in COLUMNS) == expected, texts[row.id][:60]
+    assert time.monotonic() - started < 60
+
+
+def test_other_columns_stay_and_the_line_may_have_any_name(spark):
+    frame = spark.createDataFrame([(1, STD, "x"), (2, "junk", "y")], "n int, `the line` string, `a.b` string")
+    parsed = parse_lines(frame, "the line")
+    assert parsed.columns[:3] == ["n", "a.b", "ip"]
+    assert [(r.n, r["a.b"], r.path) for r in parsed.collect()] == [(1, "x", "/x"), (2, "y", None)]
+    assert [tuple(r) for r in rejected_lines(frame, "the line").collect()] == [(2, "junk", "y")]
+    assert accepted_records(parsed).count() == 1
+
+
 def test_null_line_is_a_reject(lines_of):
     assert parse_lines(lines_of([None])).where("ip is null and traffic_bytes is null").count() == 1
 

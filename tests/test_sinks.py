@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from hitledger import Ledger, analyze, names
 from hitledger.operators import counting
+from hitledger.plans import ledger as ledger_plan
 from hitledger.plans.ledger import load_counters
 from hitledger.sinks import json_document, tables
 from hitledger.sinks.scratch import scratch_path
 from hitledger.sources.compact_document import read_compact
+from hitledger.sources.log_files import read_lines
 from tests.test_counting import as_dict, log_line
 
 # buckets that quoting, trimming and escaping could damage
@@ -302,6 +304,24 @@ def test_analyze_checks_its_input_before_reading(spark, logs, tmp_path):
         Ledger(None, sort_by="bytes")
 
 
+def test_shuffle_partitions_follow_the_input(spark, logs, monkeypatch):
+    files = [str(p) for p in logs.iterdir()]
+    lines = read_lines(spark, files)
+    size = sum(p.stat().st_size for p in logs.iterdir())
+    assert size <= ledger_plan._input_bytes(lines) <= 2 * size
+    monkeypatch.setattr(ledger_plan, "INPUT_BYTES_PER_SHUFFLE_PARTITION", 10)
+    key = ledger_plan.SHUFFLE_PARTITIONS
+    before = spark.conf.get(key)
+    with pytest.raises(RuntimeError):
+        with ledger_plan._enough_shuffle_partitions(spark, 995):
+            assert spark.conf.get(key) == "100"
+            raise RuntimeError
+    assert spark.conf.get(key) == before
+    with ledger_plan._enough_shuffle_partitions(spark, 1):
+        assert spark.conf.get(key) == before
+    assert analyze(spark, files).summary().first().visits == 3
+
+
 def test_scratch_tables_go_to_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
