@@ -55,11 +55,15 @@ def top_paths_without_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse_lines(event_lines(spark, sf_dir).select("event_id", "value"))
+    """All lines; the record is null where the line is a reject."""
+    lines = event_lines(spark, sf_dir).select("event_id", "value")
+    return parsing.parse_lines(lines).drop("bytes_out_of_range")
 
 
 def parse_fallback_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse_lines_by_pattern(event_lines(spark, sf_dir).select("event_id", "value"))
+    """All lines by the second pattern alone, which these lines match as well."""
+    lines = event_lines(spark, sf_dir).select("event_id", "value")
+    return parsing.parse_lines_by_pattern(lines).drop("bytes_out_of_range")
 
 
 def parse_page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,8 +138,7 @@ _RECORD = """
     CASE WHEN NOT is_junk THEN user_agent END AS user_agent,
     CASE WHEN NOT is_junk THEN status_code END AS status_code,
     CASE WHEN NOT is_junk THEN traffic_bytes END AS traffic_bytes,
-    CASE WHEN NOT is_junk THEN timestamp_str END AS timestamp_str,
-    CASE WHEN NOT is_junk THEN false END AS bytes_out_of_range
+    CASE WHEN NOT is_junk THEN timestamp_str END AS timestamp_str
 """
 
 _ALL_DIMENSIONS = ", ".join(

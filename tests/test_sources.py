@@ -76,6 +76,25 @@ def test_several_files_and_a_repeated_one(spark, tmp_path):
     assert (row.visits, row.traffic_bytes) == (3, 40)
 
 
+def test_lines_survive_any_cut_of_the_file(spark, tmp_path):
+    content = b"".join(
+        OK.replace(b"/ok", b"/\xc3\xa9/%d" % i) + (b"\r\n" if i % 3 else b"\n") for i in range(400)
+    )
+    path = write(tmp_path, "a.log", content)
+    whole = sorted(lines_in(spark, path))
+    options = {"spark.sql.files.maxPartitionBytes": "997", "spark.sql.files.openCostInBytes": "1"}
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    try:
+        cut = read_lines(spark, [path])
+        assert sorted(r.value for r in cut.collect()) == whole and len(whole) == 400
+        row = summary(count_lines(cut)).first()
+        assert (row.visits, row.traffic_bytes, row.parse_errors) == (400, 4000, 0)
+    finally:
+        for key in options:
+            spark.conf.unset(key)
+
+
 def test_file_names_are_literal(spark, tmp_path):
     path = write(tmp_path, "access.log[1]{x}*?", OK)
     write(tmp_path, "access.log1", OK)
