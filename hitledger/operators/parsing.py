@@ -70,8 +70,10 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         .alias("_path"),
         _field("status_code", "get(_response, 0)"),
         F.when(F.col("_plain"), number).otherwise(F.expr(_pattern_field("_bytes"))).alias("_bytes"),
-        # pattern fields carry the opening quote, to tell an empty agent from a missing one
-        _field("_agent", "coalesce(concat('\"', get(_quoted, 5)), '')"),
+        F.expr(
+            "CASE WHEN _plain THEN coalesce(get(_quoted, 5), '-') "
+            f"ELSE {_without_quote(_pattern_field('_agent'))} END"
+        ).alias("user_agent"),
     )
     return _records(fields, kept)
 
@@ -84,7 +86,9 @@ def parse_lines_by_pattern(
     line = lf.without_trailing_cr(F.col(f"`{column}`"))
     matched = lines.select(*kept, lf.fields_of(line, *patterns).alias("_matched"))
     fields = matched.select(
-        *kept, *(F.expr(_pattern_field(name)).alias(name) for name in _PATTERN_FIELDS)
+        *kept,
+        *(F.expr(_pattern_field(name)).alias(name) for name in _PATTERN_FIELDS),
+        F.expr(_without_quote(_pattern_field("_agent"))).alias("user_agent"),
     )
     return _records(fields, kept)
 
@@ -96,17 +100,22 @@ def _pattern_field(name: str) -> str:
     return f"CASE WHEN size(_matched) > 1 THEN get(_matched, {_PATTERN_FIELDS.index(name)}) END"
 
 
+def _without_quote(agent: str) -> str:
+    """Pattern fields carry the opening quote, which tells an empty agent from a missing one."""
+    return f"CASE WHEN {agent} = '' THEN '-' ELSE substring({agent}, 2) END"
+
+
 def _field(name: str, from_plain: str) -> Column:
     return F.expr(f"CASE WHEN _plain THEN {from_plain} ELSE {_pattern_field(name)} END").alias(name)
 
 
 def _records(fields: DataFrame, kept: list[Column]) -> DataFrame:
-    """Finish the fields: defaults for path and user agent, the byte count as a number."""
+    """Finish the fields: the default path and the byte count as a number."""
     return fields.select(
         *kept,
         "ip",
         F.expr("CASE WHEN _path = '' THEN '-' ELSE _path END").alias("path"),
-        F.expr("CASE WHEN _agent = '' THEN '-' ELSE substring(_agent, 2) END").alias("user_agent"),
+        "user_agent",
         "status_code",
         F.expr(f"CASE WHEN ip IS NOT NULL THEN {lf.BYTE_COUNT.format('_bytes')} END").alias(
             "traffic_bytes"
