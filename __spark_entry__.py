@@ -26,6 +26,19 @@ from hitledger.sinks.scratch import scratch_path
 from hitledger.sources.log_files import read_lines
 from oracle_queries import ORACLE_SQL
 
+try:  # the subpackage and the pipeline can be absent, and nothing else may be
+    import corpus_pipeline
+    from hitledger.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "hitledger.llm"):
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+else:
+    LLM_QUERIES = {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_SQL = {**llm_queries.ORACLE_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 IP, PATH, AGENT, STATUS = names.DIMENSION_KINDS.values()
@@ -291,9 +304,10 @@ def queries() -> dict[str, Query]:
         "snapshot_roundtrip": snapshot_roundtrip,
         "json_roundtrip": json_roundtrip,
         "scan_log_files": scan_log_files,
+        **LLM_QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL counterpart of every query, from the source columns."""
-    return ORACLE_SQL
+    return {**ORACLE_SQL, **LLM_SQL}
