@@ -30,3 +30,10 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op10_token_store": op10_token_store,
 }
+
+ORACLE_SQL = {
+    "op5_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+}
