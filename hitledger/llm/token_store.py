@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hitledger.llm.byte_words import byte_class, ragged, span_hashes
+from hitledger.llm.byte_words import byte_class, mix, ragged, span_hashes
 from hitledger.llm.common import longs, parts_for, text_bytes, texts_of
 
 CHUNK_BITS = 8
@@ -29,7 +29,9 @@ BLOCK = 512
 SEGMENT_IDS = 1 << 20
 PART_BYTES = 24 << 20
 END_ID = 2
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 2_000_000
+ENCODE_UNITS = 4096
+ENCODE_BYTES = 2 << 20
 
 SEGMENTS = (
     "part long, segment long, rel_start long, n_ids long, doc_ids array<long>, doc_tokens array<long>,"
@@ -96,7 +98,7 @@ class UnitEncoder:
     A unit begins at a space between two characters that are no white space. The byte-level
     pre-tokenizer always starts a piece there, so the ids of a text are those of its units in
     order. Neighbours outside ASCII and the two-byte letters are not split, which is always right.
-    Units are known by a 64-bit hash and their length; the cache starts anew at CACHE_UNITS.
+    Units are known by a 64-bit hash of content and length; the cache starts anew at CACHE_UNITS.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int):
@@ -108,9 +110,40 @@ class UnitEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[tuple[int, int] | int, int] = {}
-        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.ids = np.array([self.end_id], np.uint32)
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by key
+        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int32)  # of unit 0, the end id
+        self.ids = np.array([self.end_id], np.uint16)
+
+    def _look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(len(self.keys) - 1, 0))
+        known = self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        return at, known
+
+    def _learn(self, raw: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes the units that are not known yet."""
+        at, known = self._look_up(keys)
+        new = np.flatnonzero(~known)
+        if len(self.starts) + len(new) > CACHE_UNITS and len(self.starts) > 1:
+            self._clear()
+            return self._learn(raw, keys, starts, ends)
+        if not len(new):
+            return None
+        ids, lengths = [], np.empty(len(new), np.int32)
+        for a in range(0, len(new), ENCODE_UNITS):
+            part = new[a : a + ENCODE_UNITS]
+            texts = [raw[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(starts[part].tolist(), ends[part].tolist())]
+            for k, x in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), a):
+                lengths[k] = len(x.ids)
+                ids.append(np.array(x.ids, np.uint32))
+        ids = np.concatenate(ids)
+        kind = np.result_type(self.ids, np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32)
+        numbers = np.arange(len(self.starts), len(self.starts) + len(new), dtype=np.int32)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths, dtype=np.int64) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids.astype(kind, copy=False), ids.astype(kind)])
+        self.keys, self.numbers = np.insert(self.keys, at[new], keys[new]), np.insert(self.numbers, at[new], numbers)
+        return None
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the number of ids of each text."""
@@ -126,28 +159,13 @@ class UnitEncoder:
         cut[offsets[:-1][filled]] = True
         starts = np.flatnonzero(cut[: len(raw)])
         ends = np.append(starts[1:], len(raw))[: len(starts)]
-        keys, where, units = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        if len(self.number) + len(keys) > CACHE_UNITS:
-            self._clear()
-        s, e = starts[where], ends[where]
-        names = list(zip(keys.tolist(), (e - s).tolist()))
-        numbers = [self.number.get(name, -1) for name in names]
-        missing = [k for k, n in enumerate(numbers) if n < 0]
-        if missing:
-            data = raw.tobytes()
-            texts = [data[s[k] : e[k]].decode("utf-8", "replace") for k in missing]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            new = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-            for n, k in enumerate(missing, len(self.starts)):
-                numbers[k] = self.number[names[k]] = n
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, new])
-        order = np.asarray(numbers, np.int64)[units] if len(units) else np.zeros(0, np.int64)
+        keys = mix(span_hashes(raw, starts, ends) + (ends - starts).astype(np.uint64))
+        keys, where, units = np.unique(keys, return_index=True, return_inverse=True)
+        self._learn(raw, keys, starts[where], ends[where])
+        order = self.numbers[self._look_up(keys)[0]][units]
         ahead = np.searchsorted(starts, offsets[1:])  # units before the end of each text
         order = np.insert(order, ahead, 0)
-        lengths = self.lengths[order]
+        lengths = self.lengths[order].astype(np.int64)
         ids = self.ids[ragged(self.starts[order], lengths)]
         last = ahead + np.arange(len(ahead))  # where the end id of each text stands
         total = np.cumsum(lengths)[last] if len(last) else np.zeros(0, np.int64)
@@ -193,18 +211,17 @@ def write_store(
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.binary())] * 3
         names = "part segment rel_start n_ids doc_ids doc_tokens chunks bitmaps ranks".split()
         for batch in batches:
-            ids, n = encoder.encode(*text_bytes(batch.column(1)))
-            ends, own = np.cumsum(n), batch.column(0).to_pylist()
-            first = 0
-            while first < len(n):
-                before = int(ends[first - 1]) if first else 0
-                last = max(first + 1, int(np.searchsorted(ends, before + segment_ids - size, "right")))
-                doc_ids.extend(own[first:last])
-                counts.append(n[first:last])
-                held.append(ids[before : int(ends[last - 1])])
-                size += len(held[-1])
-                first = last
-                if size >= segment_ids or first < len(n):
+            own, (raw, offsets) = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            a = 0
+            while a < len(own):
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + ENCODE_BYTES, "right")) - 1)
+                ids, n = encoder.encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                doc_ids.extend(own[a:b])
+                counts.append(n)
+                held.append(ids)
+                size += len(ids)
+                a = b
+                if size >= segment_ids:
                     yield row()
                     number, done = number + 1, done + size
                     doc_ids, counts, held, size = [], [], [], 0
