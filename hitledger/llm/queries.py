@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitledger.llm import exact_dedup, token_store
+from hitledger.llm import mixing, html_text, quality, secrets, decontaminate, exact_dedup, token_store
 from hitledger.llm.common import table
 from hitledger.sinks.scratch import scratch_path
 
@@ -26,7 +26,33 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.digest(decontaminate.find_contamination(docs, benchmark))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_mixing": op6_mixing,
+    "op4_html_text": op4_html_text,
+    "op3_quality": op3_quality,
+    "op9_secrets": op9_secrets,
+    "op7_decontaminate": op7_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_token_store": op10_token_store,
 }
