@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitledger.llm import mixing, html_text, quality, secrets, decontaminate, exact_dedup, token_store
+from hitledger.llm import jaccard_join, repeated_spans, mixing, html_text, quality, secrets, decontaminate, exact_dedup, token_store
 from hitledger.llm.common import table
 from hitledger.sinks.scratch import scratch_path
 
@@ -47,7 +47,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.digest(repeated_spans.repeated_spans(table(spark, sf_dir, "documents")))
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
+    "op8_repeated_spans": op8_repeated_spans,
     "op6_mixing": op6_mixing,
     "op4_html_text": op4_html_text,
     "op3_quality": op3_quality,
