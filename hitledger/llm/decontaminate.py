@@ -15,11 +15,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitledger.llm.byte_words import LOWER, byte_class, ragged, span_hashes, spans
-from hitledger.llm.common import longs, text_bytes, texts_of
+from hitledger.llm.common import longs, ship, text_bytes, texts_of
 
 WINDOW = 10
 SHARD_BYTES = 12 << 20
@@ -293,6 +294,19 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.expr(f"cast(array() as array<{SPAN}>)"), add)
 
 
+def _phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
+    """Broadcasts of the phrases of all items, each of items with about block_bytes of text at most."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = -(-2 * size // block_bytes) if size > block_bytes else 1
+    made = []
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == block)
+        phrases = Phrases([(r.item, r.t) for r in own.toLocalIterator()], window)
+        made.append(benchmark.sparkSession.sparkContext.broadcast(phrases))
+    return made
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -314,16 +328,9 @@ def find_contamination(
     Phrases are broadcast in blocks of at most block_bytes of item text, so that a benchmark of any
     size fits; each block is one pass over the documents.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
     rows = texts_of(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
-    found = []
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == block)
-        phrases = Phrases([(r.item, r.t) for r in own.toLocalIterator()], window)
-        found.append(rows.mapInArrow(_searcher(spark.sparkContext.broadcast(phrases), shard_bytes), FOUND))
+    blocks = _phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    found = [rows.mapInArrow(_searcher(block, shard_bytes), FOUND) for block in blocks]
     if len(found) == 1:
         merged = found[0]
     else:
@@ -337,6 +344,37 @@ def find_contamination(
     return merged.select("doc_id", "n_words", "spans", "item_ids", n_hit.alias("n_hit"))
 
 
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    shard_bytes: int = SHARD_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of docs without any phrase, with all their columns, without a shuffle."""
+
+    def keep_clean(block):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, offsets = text_bytes(pc.fill_null(batch.column(text_col), ""))
+                a = 0
+                while a < len(batch):
+                    b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + shard_bytes, "right")) - 1)
+                    *_, merged, _ = _search_shard(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], block.value)
+                    yield batch.slice(a, b - a).filter(pa.array(np.bincount(merged[:, 0], minlength=b - a) == 0))
+                    a = b
+
+        return keep
+
+    ship(docs.sparkSession)
+    for block in _phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes):
+        docs = docs.mapInArrow(keep_clean(block), docs.schema)
+    return docs
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The report of one row per document, with the items as one digest."""
     return found.select(

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hitledger.llm.byte_words import LOWER, byte_class, mix, span_hashes, spans
 from hitledger.llm.common import longs, parts_for, text_bytes, texts_of, written
@@ -344,3 +345,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.where("n > 0").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
         rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with the smallest id of each class, with all their columns.
+
+    Rows that share an id are one document, the first by text; a null id stands by its text.
+    """
+    name = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)))
+    classes = near_duplicates(docs.select(name.alias("doc_id"), F.col(text_col).alias("text")))
+    stays = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_class")).distinct()
+    rows = docs.withColumn("_class", name).join(stays, "_class", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_class").orderBy(text_col))
+    return rows.withColumn("_first", first).where("_first = 1").select(*docs.columns)

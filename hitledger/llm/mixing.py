@@ -175,3 +175,14 @@ def mix(docs: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] |
     rows = written(described(docs), "described")
     found = sample(rows, fit_mixture(rows, budget, targets), seed=seed)
     return found.select("doc_id", *MARGINS, "n_tokens", "weight", "probability", "sampled")
+
+
+def sample_documents(docs: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, seed: int = 0) -> DataFrame:
+    """The sampled rows of docs with all their columns. A null id draws by its text."""
+    own = {m: f"_mix_{m}" for m in MARGINS}
+    fitted = fit_mixture(described(docs), budget, targets).select(*[F.col(m).alias(c) for m, c in own.items()], F.col("probability").alias("_mix_p"))
+    text = F.coalesce("text", F.lit(""))
+    topic = F.col("topic") if "topic" in docs.columns else text_topic(text)
+    rows = docs.withColumns({own["source"]: _category(F.col("source")), own["lang"]: _category(F.col("lang")), own["topic"]: _category(topic)})
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    return rows.join(fitted, list(own.values())).where(draw(key, seed) < F.col("_mix_p")).select(*docs.columns)

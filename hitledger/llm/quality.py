@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,3 +211,23 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     features = written(document_features(docs), "features")
     model = fit(features, labels.where(~held_out()))
     return score(features, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score threshold or more, with all their columns, without a shuffle.
+
+    The model is that of classify: it learns from the labels that are not held out.
+    """
+    model = fit(document_features(docs, id_col, text_col), labels.where(~held_out()))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_bytes(pc.fill_null(batch.column(text_col), ""))
+            a = 0
+            while a < len(batch):
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BATCH_BYTES, "right")) - 1)
+                x = statistics(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield batch.slice(a, b - a).filter(pa.array(model.score(x) >= threshold))
+                a = b
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitledger.llm import jaccard_join, repeated_spans, mixing, html_text, quality, secrets, decontaminate, exact_dedup, token_store
+from hitledger.llm import transcripts, jaccard_join, repeated_spans, mixing, html_text, quality, secrets, decontaminate, exact_dedup, token_store
 from hitledger.llm.common import table
 from hitledger.sinks.scratch import scratch_path
 
@@ -55,7 +55,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as transcripts with uneven markers and no roles, parsed back into turns."""
+    turns = table(spark, sf_dir, "conversations")
+    return transcripts.parse_transcripts(transcripts.marked_parts(turns), transcripts.RoleModel.fit(turns))
+
+
 QUERIES = {
+    "op1_transcripts": op1_transcripts,
     "op2_jaccard_join": op2_jaccard_join,
     "op8_repeated_spans": op8_repeated_spans,
     "op6_mixing": op6_mixing,
