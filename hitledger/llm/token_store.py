@@ -80,9 +80,9 @@ def ids_at(chunks: list[bytes], bitmaps: list[bytes], ranks: list[bytes], at: np
         live, at = live[goes_on], at[goes_on]
         block = at // BLOCK
         inside = block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8)
-        ones = np.bitwise_count(np.where(inside < (at >> 3)[:, None], bits[np.minimum(inside, len(bits) - 1)], 0)).sum(1)
+        ones = np.bitwise_count(np.where(inside < (at >> 3)[:, None], bits[np.minimum(inside, len(bits) - 1)], 0)).sum(1, dtype=np.int64)
         last = bits[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8)
-        at = directory[block].astype(np.int64) + ones + np.bitwise_count(last)
+        at = directory[block].astype(np.int64) + ones + np.bitwise_count(last).astype(np.int64)
         ids[live] |= np.frombuffer(chunks[level], np.uint8)[at].astype(np.uint32) << np.uint32(CHUNK_BITS * level)
     return ids
 
