@@ -14,6 +14,7 @@ and no link between different classes is lost.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,17 @@ SHINGLE = 5
 PERCENT = 75
 MOST_MATCHES = 6
 VERIFY_COST = 30.0  # of a candidate, in list entries
-CELL_BITS = (16, 22)
+CELL_BITS = (16, 26)
+SKETCH_HASHES = 4 << 20
 BLOCK_CELLS = 1 << 16
 POSTINGS = 1 << 20  # of a partition
 BATCH_BYTES = 4 << 20
 PAIR_BLOCK = 1 << 20
 
 WORD_BYTES = ~byte_class((0x20, 0x20), (0x09, 0x0D))
-SETS = "sig long, doc_id long, n long, matches int, tokens array<long>"
+CELLS = "block int, hit binary, counts binary"
+PLACED = ("token", "sig", "class", "n", "degree", "beyond", "last", "matches")
+SETS = "sig long, doc_id long, n long, matches int, last long, tokens array<long>"
 
 
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,44 +72,63 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.n
 
 
 def _counted(batches_of_hashes: Iterator[np.ndarray], cells: int) -> Iterator[pa.RecordBatch]:
-    """How often each cell is hit in this task, by blocks of cells."""
-    counts = np.zeros(cells, np.uint32)
+    """How often cells are hit, for every SKETCH_HASHES hashes: by blocks, the cells and their counts."""
+    held, size = [], 0
+
+    def blocks() -> Iterator[pa.RecordBatch]:
+        at, n = np.unique(np.concatenate(held) & np.uint64(cells - 1), return_counts=True)
+        block, hit = (at // np.uint64(BLOCK_CELLS)).astype(np.int64), (at % np.uint64(BLOCK_CELLS)).astype(np.uint16)
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        for i, j in zip(starts, np.append(starts[1:], len(at))):
+            few = n[i:j].astype(np.uint8 if n[i:j].max() < 256 else np.uint32)
+            columns = [pa.array([block[i]], pa.int32()), pa.array([hit[i:j].tobytes()], pa.binary()), pa.array([few.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "hit", "counts"])
+
     for hashes in batches_of_hashes:
-        at, n = np.unique(hashes & np.uint64(cells - 1), return_counts=True)
-        counts[at.astype(np.int64)] += n.astype(np.uint32)
-    for block, part in enumerate(counts.reshape(-1, min(BLOCK_CELLS, cells))):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+        held.append(hashes)
+        size += len(hashes)
+        if size >= SKETCH_HASHES:
+            yield from blocks()
+            held, size = [], 0
+    if size:
+        yield from blocks()
+
+
+def _levels(mean: float):
+    def levels(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """1 for cells that are hit, and more by how far their sum lies over the mean, in quarters of a
+        power of two; 0 for others."""
+        total = np.zeros(BLOCK_CELLS, np.uint64)
+        for batch in batches:
+            for hit, n in zip(batch.column("hit"), batch.column("counts")):
+                hit, n = np.frombuffer(hit.as_py(), np.uint16), n.as_py()
+                total[hit] += np.frombuffer(n, np.uint8 if len(n) == len(hit) else np.uint32)
+        level = np.clip(4 * np.log2(np.maximum(total / mean, 1.0)), 0, 63) + (total > 0)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(level.astype(np.uint8), 1)], pa.binary())], ["block", "levels"])
 
+    return levels
 
-def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        for x in batch.column("counts"):
-            part = np.frombuffer(x.as_py(), np.uint32).astype(np.uint64)
-            total = part if total is None else total + part
-    total = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
+class CellTable:
+    """One byte for each of a fixed number of cells, kept compressed until it is read."""
+
+    def __init__(self, per_task: DataFrame, cells: int, mean: float):
+        blocks = {r.block: r.levels for r in per_task.groupBy("block").applyInArrow(_levels(mean), "block int, levels binary").toLocalIterator()}
+        empty = zlib.compress(bytes(BLOCK_CELLS), 1)
+        self.blocks = [blocks.get(k, empty) for k in range(cells // BLOCK_CELLS)]
 
-def _cell_table(per_task: DataFrame, cells: int) -> np.ndarray:
-    """The sum over all tasks: a table of a fixed number of cells."""
-    counts = np.zeros(cells, np.uint32).reshape(-1, min(BLOCK_CELLS, cells))
-    for row in per_task.groupBy("block").applyInArrow(_added, "block int, counts binary").collect():
-        counts[row.block] = np.frombuffer(row.counts, np.uint32)
-    return counts.reshape(-1)
+    def read(self) -> np.ndarray:
+        return np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in self.blocks])
 
 
-def frequency_levels(docs: DataFrame, shingle: int, cells: int) -> tuple[np.ndarray, float]:
-    """For each cell, how far its count lies over the mean, in quarters of a power of two."""
+def frequency_levels(docs: DataFrame, shingle: int, cells: int, mean: float) -> CellTable:
+    """For each cell, how far the count of its shingles lies over about the mean."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = (shingle_hashes(raw, offsets, shingle)[0] for batch in batches for _, _, raw, offsets in _blocks(batch, 0))
         return _counted(hashes, cells)
 
-    counts = _cell_table(docs.select("text").mapInArrow(count, "block int, counts binary"), cells)
-    mean = max(1.0, float(counts.mean()))
-    return np.clip(4 * np.log2(np.maximum(counts / mean, 1.0)), 0, 63).astype(np.uint8), mean
+    return CellTable(docs.select("text").mapInArrow(count, CELLS), cells, mean)
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -117,48 +140,58 @@ def prefix_matches(levels: np.ndarray, mean: float, percent: int) -> int:
     n = len(levels)
     base = n - _least_overlap(n, percent)
     most = min(MOST_MATCHES, _least_overlap(n, percent))
+    if levels[base + most - 1] == 0:  # none of them is frequent
+        return 1
     entries = np.cumsum((2.0 ** (levels[: base + most] / 4) - 1) * mean)[base:]
     matches = np.arange(1, most + 1)
     return int(np.argmin(entries * (1 + VERIFY_COST / matches))) + 1
 
 
+def distinct_sets(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text in order, one text after the other, and where each begins."""
+    own = [np.unique(hashes[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+    size = np.array([len(x) for x in own], np.int64)
+    return np.concatenate([*own, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(size)])
+
+
+def set_numbers(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each set of tokens, whatever their levels: equal sets have equal numbers."""
+    size = np.diff(first)
+    spread = mix((tokens & np.uint64((1 << 58) - 1)) + np.repeat(size, size).astype(np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread)])
+    return mix(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64)).view(np.int64)
+
+
 def _sets(broadcast, mean: float, shingle: int, percent: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = broadcast.value
+        table = np.maximum(broadcast.value.read(), 1) - 1
         seen: set[int] = set()
         for batch in batches:
             for a, b, raw, offsets in _blocks(batch, 1):
                 hashes, first = shingle_hashes(raw, offsets, shingle)
                 level = table[(hashes & np.uint64(len(table) - 1)).astype(np.int64)]
-                tokens = (level.astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6))
-                sigs, sizes, matches, prefixes = [], [], [], []
-                for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
-                    own = np.unique(tokens[i:j])
-                    sig = set_number(own)
-                    sigs.append(sig)
-                    sizes.append(len(own))
-                    if len(own) and sig not in seen:
+                tokens, first = distinct_sets((level.astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6)), first)
+                sigs, sizes, levels = set_numbers(tokens, first), np.diff(first), (tokens >> np.uint64(58)).astype(np.float64)
+                matches, prefixes, last = [], [], []
+                for sig, i, n in zip(sigs.tolist(), first.tolist(), sizes.tolist()):
+                    if n and sig not in seen:
                         seen.add(sig)
-                        l = prefix_matches((own >> np.uint64(58)).astype(np.float64), mean, percent)
+                        l = prefix_matches(levels[i : i + n], mean, percent)
                         matches.append(l)
-                        prefixes.append(own[: len(own) - _least_overlap(len(own), percent) + l].view(np.int64))
+                        prefixes.append(tokens[i : i + n - _least_overlap(n, percent) + l].view(np.int64))
+                        last.append(int(prefixes[-1][-1]) ^ -(2**63))  # ascends like the tokens
                     else:
                         matches.append(None)
                         prefixes.append(None)
-                columns = [longs(np.array(sigs)), batch.column(0).slice(a, b - a), longs(np.array(sizes)), pa.array(matches, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["sig", "doc_id", "n", "matches", "tokens"])
+                        last.append(None)
+                columns = [longs(sigs), batch.column(0).slice(a, b - a), longs(sizes), pa.array(matches, pa.int32()), pa.array(last, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "doc_id", "n", "matches", "last", "tokens"])
 
     return make
 
 
-def set_number(tokens: np.ndarray) -> int:
-    """A 64-bit number of a set of tokens: equal sets have equal numbers."""
-    low = mix((tokens & np.uint64((1 << 58) - 1)) + np.uint64(len(tokens)))
-    return int(mix(np.array([np.add.reduce(low)], np.uint64)).view(np.int64)[0])
-
-
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over entries sorted by token and set: each later member of a list with the list's first."""
+    """Over entries sorted by token: each later member of a list with the list's first."""
     token, head = None, None
     for batch in batches:
         t, s = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -171,7 +204,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(t):
             token, head = t[-1], first[-1]
         more = (s != first) & ~new
-        pairs, n = np.unique(np.stack([first[more], s[more]]), axis=1, return_counts=True) if more.any() else (np.zeros((2, 0), np.int64), np.zeros(0))
+        pairs, n = np.unique(np.sort(np.stack([first[more], s[more]]), 0), axis=1, return_counts=True) if more.any() else (np.zeros((2, 0), np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([longs(pairs[0]), longs(pairs[1]), longs(n)], ["a", "b", "n_shared"])
 
 
@@ -198,64 +231,104 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([longs(t[out]), longs(s[out])], ["token", "sig"])
 
 
+def _pairs_of_list(n: np.ndarray, c: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs from different classes whose sizes fit, a block of members at a time."""
+    order = np.argsort(n, kind="stable")
+    n, c = n[order], c[order]
+    top = np.searchsorted(n, n * 100 // percent, "right")  # past the largest size that can be similar
+    step = max(1, PAIR_BLOCK // len(n))
+    for i in range(0, len(n), step):
+        rows = np.arange(i, min(i + step, len(n)))
+        cols = np.arange(i, int(top[rows].max()))
+        fit = (cols > rows[:, None]) & (cols < top[rows][:, None]) & (c[rows][:, None] != c[cols])
+        x, y = np.nonzero(fit)
+        yield order[rows[x]], order[cols[y]]
+
+
 def _between(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over entries sorted by token: pairs of a list from different classes whose sizes fit."""
-        held: list[list[np.ndarray]] = []
-        token = None
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            s, c, n = (np.concatenate(x) for x in zip(*held))
-            if (c == c[0]).all():
-                return
-            order = np.lexsort((s, n))
-            s, c, n = s[order], c[order], n[order]
-            top = np.searchsorted(n, n * 100 // percent, "right")  # past the largest size that can be similar
-            step = max(1, PAIR_BLOCK // len(s))
-            for i in range(0, len(s), step):  # a block of members at a time
-                rows = np.arange(i, min(i + step, len(s)))
-                cols = np.arange(i, int(top[rows].max()))
-                fit = (cols > rows[:, None]) & (cols < top[rows][:, None]) & (c[rows][:, None] != c[cols])
-                x, y = np.nonzero(fit)
-                a, b = s[rows[x]], s[cols[y]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([longs(np.minimum(a, b)), longs(np.maximum(a, b)), longs(np.ones(len(a)))], ["a", "b", "n_shared"])
+    """Pairs of each list from different classes that can share enough.
 
+    A set shares no more than its degree, the number of its prefix tokens that any other set has.
+    """
+
+    def possible(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n = {k: (v[x], v[y]) for k, v in rows.items()}
+        shared, (n_x, n_y) = np.minimum(*n["degree"]), n["n"]
+        beyond = np.where(n["last"][0] <= n["last"][1], *n["beyond"])
+        overlap = -(-(n_x + n_y) * percent // (100 + percent))
+        fits = 100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)
+        keep = fits & (shared + beyond >= overlap) & (shared >= np.minimum(*n["matches"]))
+        return np.sort(np.stack([n["sig"][0][keep], n["sig"][1][keep]]), 0)
+
+    def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        t, c = rows["token"], rows["class"]
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
+        size = np.diff(np.append(starts, len(t)))
+        two = starts[mixed & (size == 2)]
+        found = [possible(rows, two, two + 1)]
+        held = found[0].shape[1]
+        for i, k in zip(starts[mixed & (size > 2)], size[mixed & (size > 2)]):
+            for x, y in _pairs_of_list(rows["n"][i : i + k], c[i : i + k], percent):
+                found.append(possible(rows, i + x, i + y))
+                held += found[-1].shape[1]
+                if held > PAIR_BLOCK:
+                    yield counted(found)
+                    found, held = [], 0
+        if held:
+            yield counted(found)
+
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.concatenate(found, 1)
+        both = both[:, np.lexsort((both[1], both[0]))]
+        new = np.flatnonzero(np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(0)]))
+        n = np.diff(np.append(new, both.shape[1]))
+        return pa.RecordBatch.from_arrays([longs(both[0][new]), longs(both[1][new]), longs(n)], ["a", "b", "n_shared"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []  # the last list, which may go on
+        size = 0
         for batch in batches:
-            t, *rest = (np.asarray(batch.column(k)) for k in range(4))
-            cuts = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]])
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if i == j:
-                    continue
-                if held and t[i] != token:
-                    yield from pairs()
-                    held = []
-                token = t[i]
-                held.append([x[i:j] for x in rest])
+            if not len(batch):
+                continue
+            held.append({k: np.asarray(batch.column(k)) for k in PLACED})
+            size += len(batch)
+            if held[0]["token"][0] == held[-1]["token"][-1] or size < PAIR_BLOCK:  # one list so far, or few entries
+                continue
+            rows = {k: np.concatenate([x[k] for x in held]) for k in PLACED}
+            head = int(np.flatnonzero(rows["token"] != rows["token"][-1])[-1]) + 1
+            yield from pairs({k: v[:head] for k, v in rows.items()})
+            held, size = [{k: v[head:] for k, v in rows.items()}], size - head
         if held:
-            yield from pairs()
+            yield from pairs({k: np.concatenate([x[k] for x in held]) for k in PLACED})
 
     return run
 
 
 def _verifier(shingle: int, percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_text, last_set = None, None
-
-        def hashes(text: str) -> np.ndarray:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            return np.unique(shingle_hashes(raw, np.array([0, len(raw)]), shingle)[0])
+    def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts, firsts, done = [], [np.zeros(1, np.int64)], 0
+        for _, _, raw, offsets in _blocks(pa.RecordBatch.from_arrays([texts], ["text"]), 0):
+            tokens, first = distinct_sets(*shingle_hashes(raw, offsets, shingle))
+            parts.append(tokens)
+            firsts.append(first[1:] + done)
+            done += len(tokens)
+        return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate(firsts)
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, keep = batch.column(0), batch.column(1), []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x = x.as_py()
-                if x != last_text:
-                    last_text, last_set = x, hashes(x)
-                other = hashes(y.as_py())
-                shared = len(np.intersect1d(last_set, other, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(last_set) + len(other) - shared))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not len(batch):
+                continue
+            a, b = np.asarray(batch.column(0)), batch.column(1)
+            new = np.concatenate([[True], a[1:] != a[:-1]])  # rows are sorted by a
+            left, left_first = sets(batch.column(2).filter(pa.array(new)))
+            right, right_first = sets(batch.column(3))
+            keep = []
+            for k, of in enumerate((np.cumsum(new) - 1).tolist()):
+                x, y = left[left_first[of] : left_first[of + 1]], right[right_first[k] : right_first[k + 1]]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
@@ -264,27 +337,29 @@ def _links(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Dat
     """The pairs (a, b) of set numbers that are similar, from whole texts."""
     spark = docs.sparkSession
     pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
+    many = pairs.count()
+    if not many:
         return pairs
-    cells = 1 << CELL_BITS[1]
+    cells = 1 << min(24, max(20, (64 * many).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _counted((mix(np.asarray(c).view(np.uint64)) for batch in batches for c in batch.columns), cells)
 
-    wanted = spark.sparkContext.broadcast(np.packbits(_cell_table(pairs.select("a", "b").mapInArrow(count, "block int, counts binary"), cells) > 0))
+    wanted = spark.sparkContext.broadcast(CellTable(pairs.select("a", "b").mapInArrow(count, CELLS), cells, 1.0))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked, seen = wanted.value, set()
+        marked, seen = wanted.value.read() > 0, set()
         for batch in batches:
             for i, _, raw, offsets in _blocks(batch, 0):
                 hashes, first = shingle_hashes(raw, offsets, shingle)
+                numbers = set_numbers(*distinct_sets(hashes >> np.uint64(6), first))
+                at = (mix(numbers.view(np.uint64)) & np.uint64(cells - 1)).astype(np.int64)
                 rows, sigs = [], []
-                for k, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()), i):
-                    sig = set_number(np.unique(hashes[x:y] >> np.uint64(6)))
-                    at = int(mix(np.array([sig], np.int64).view(np.uint64))[0]) & (cells - 1)
-                    if marked[at >> 3] >> (7 - (at & 7)) & 1 and sig not in seen:
+                for k in np.flatnonzero(marked[at]):
+                    sig = int(numbers[k])
+                    if sig not in seen:
                         seen.add(sig)
-                        rows.append(k)
+                        rows.append(i + k)
                         sigs.append(sig)
                 yield pa.RecordBatch.from_arrays([longs(np.array(sigs)), batch.column(0).take(pa.array(rows, pa.int64()))], ["sig", "text"])
 
@@ -308,8 +383,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = texts_of(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = 1 << min(CELL_BITS[1], max(CELL_BITS[0], (size // 64).bit_length()))
-    levels, mean = frequency_levels(docs, shingle, cells)
+    cells = 1 << min(CELL_BITS[1], max(CELL_BITS[0], (size // 16).bit_length()))
+    mean = max(1.0, size / 6 / cells)  # about one shingle in six bytes
+    levels = frequency_levels(docs, shingle, cells, mean)
     table = spark.sparkContext.broadcast(levels)
     sets = written(docs.mapInArrow(_sets(table, mean, shingle, percent), SETS), "sets")
 
@@ -317,25 +393,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_parts = parts_for(size // 24, POSTINGS, 8)  # about one shingle in six bytes, a quarter of them in prefixes
     listed = entries.repartition(n_parts, "token").sortWithinPartitions("token", "sig")
     listed = written(listed.mapInArrow(_lists, "token long, sig long"), "lists")
-    stars = listed.mapInArrow(_stars, "a long, b long, n_shared long").groupBy("a", "b").agg(F.sum("n_shared").alias("n_shared"))
-    about = written(sets.where("n > 0").groupBy("sig").agg(F.max("n").alias("n"), F.max("matches").alias("matches")), "about")
-
-    def described(pairs: DataFrame) -> DataFrame:
-        """With sizes and matches of both sets; pairs whose sizes exclude each other go."""
+    # the member with the most shared tokens leads a list: an original is closer to its copies than they to each other
+    degrees = listed.groupBy("sig").agg(F.count("*").alias("degree"))
+    led = listed.join(degrees, "sig").select("token", "sig", "degree").repartition(n_parts, "token").sortWithinPartitions("token", F.desc("degree"), "sig")
+    stars = led.select("token", "sig").mapInArrow(_stars, "a long, b long, n_shared long").groupBy("a", "b").agg(F.sum("n_shared").alias("n_shared"))
+    about = written(sets.where("n > 0").groupBy("sig").agg(F.max("n").alias("n"), F.max("matches").alias("matches"), F.max("last").alias("last")), "about")
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes do not exclude each other, with what is known of both sets."""
         for side in ("a", "b"):
-            pairs = pairs.join(about.select(F.col("sig").alias(side), F.col("n").alias(f"n_{side}"), F.col("matches").alias(f"matches_{side}")), side)
+            own = [F.col(c).alias(f"{c}_{side}") for c in ("n", "matches", "last")]
+            pairs = pairs.join(about.select(F.col("sig").alias(side), *own), side)
         return pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
-    # members that share much of a prefix with the first of their lists: most copies
-    likely = described(stars).where(F.col("n_shared") * 16 >= F.least("n_a", "n_b"))
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs that share enough of their prefixes.
+
+        Of the set whose prefix ends first, the tokens after that end are all that can be shared
+        besides those in both prefixes. Together they must reach the overlap that these sizes need.
+        """
+        overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - 1e-9)
+        n, l = (F.when(F.col("last_a") <= F.col("last_b"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in ("n", "matches"))
+        beyond = F.ceil(n * percent / 100 - 1e-9) - l
+        return sized(pairs).where((F.col("n_shared") >= F.least("matches_a", "matches_b")) & (F.col("n_shared") + beyond >= overlap))
+
+    # members that share some of their prefix with the first of its lists: nearly all copies
+    likely = sized(stars).where(F.col("n_shared") * 16 >= F.least("n_a", "n_b"))
     links = _links(docs, likely.select("a", "b"), shingle, percent)
     classes = components(links)
 
-    rooted = about.join(classes.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("class"), "n")
-    placed = listed.join(rooted, "sig").select("token", "sig", "class", "n").repartition(n_parts, "token").sortWithinPartitions("token")
+    beyond = F.ceil(F.col("n") * percent / 100 - 1e-9) - F.col("matches")
+    rooted = about.join(classes.withColumnRenamed("node", "sig"), "sig", "left").join(degrees, "sig")
+    rooted = rooted.select("sig", F.coalesce("root", "sig").alias("class"), "n", "degree", beyond.alias("beyond"), "last", "matches")
+    placed = listed.join(rooted, "sig").select(*PLACED).repartition(n_parts, "token").sortWithinPartitions("token")
     rest = placed.mapInArrow(_between(percent), "a long, b long, n_shared long").groupBy("a", "b").agg(F.sum("n_shared").alias("n_shared"))
-    rest = described(rest).where(F.col("n_shared") >= F.least("matches_a", "matches_b"))
-    links = links.unionByName(_links(docs, rest.select("a", "b"), shingle, percent))
+    links = links.unionByName(_links(docs, enough(rest).select("a", "b"), shingle, percent))
     classes = components(links).withColumnRenamed("node", "sig")
 
     rows = sets.select("sig", "doc_id", "n")
