@@ -20,7 +20,7 @@ from hitledger import GroupingRules, GroupRule, names
 from hitledger.functions import line_fields as lf
 from hitledger.functions.display import human_bytes
 from hitledger.operators import counting, parsing, ranking
-from hitledger.plans.event_logs import event_lines, event_requests, page_lines
+from hitledger.plans.event_logs import event_lines, event_requests, huge_lines, page_lines
 from hitledger.sinks import json_document, tables
 from hitledger.sinks.scratch import scratch_path
 from hitledger.sources.log_files import read_lines
@@ -70,13 +70,13 @@ def top_paths_without_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines; the record is null where the line is a reject."""
     lines = event_lines(spark, sf_dir).select("event_id", "value")
-    return parsing.parse_lines(lines).drop("bytes_out_of_range")
+    return parsing.parse_lines(lines)
 
 
 def parse_fallback_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines by the second pattern alone, which these lines match as well."""
     lines = event_lines(spark, sf_dir).select("event_id", "value")
-    return parsing.parse_lines_by_pattern(lines).drop("bytes_out_of_range")
+    return parsing.parse_lines_by_pattern(lines)
 
 
 def parse_page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,6 @@ def parse_error_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.agg(
         F.count("*").alias("lines"),
         F.count_if(F.col("ip").isNull()).alias("parse_errors"),
-        F.count_if("bytes_out_of_range").alias("bytes_out_of_range"),
     )
 
 
@@ -256,9 +255,32 @@ def scan_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_lines(read_lines(spark, [path]))
 
 
+def _with_long_bytes(query: Query) -> Query:
+    """Byte counts as BIGINT, which the checked tables fit; larger ones are compared as text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = query(spark, sf_dir)
+        decimals = {name: F.col(name).cast("bigint") for name, kind in found.dtypes if "decimal" in kind}
+        return found.withColumns(decimals) if decimals else found
+
+    return run
+
+
+def huge_byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte counts of 2^63 and more, up to the largest that counts, and one that is too large."""
+    return counting.dimension_counters(
+        counting.count_lines(huge_lines(spark, sf_dir), kinds=[names.DIMENSION_KINDS["status"]]), "status"
+    ).select("bucket", "visits", F.col("traffic_bytes").cast("string").alias("traffic_bytes"))
+
+
+def human_bytes_of_huge_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counters = counting.count_lines(huge_lines(spark, sf_dir), kinds=[names.TOTAL])
+    return counters.select("visits", human_bytes(F.col("traffic_bytes")).alias("traffic_text"))
+
+
 def queries() -> dict[str, Query]:
     """One entry per operator; each callable takes the session and a data folder."""
-    return {
+    own = {
         "top_paths_without_query": top_paths_without_query,
         "parse_lines": parse_lines,
         "parse_fallback_lines": parse_fallback_lines,
@@ -304,8 +326,10 @@ def queries() -> dict[str, Query]:
         "snapshot_roundtrip": snapshot_roundtrip,
         "json_roundtrip": json_roundtrip,
         "scan_log_files": scan_log_files,
-        **LLM_QUERIES,
+        "huge_byte_counts": huge_byte_counts,
+        "human_bytes_of_huge_sums": human_bytes_of_huge_sums,
     }
+    return {**{name: _with_long_bytes(query) for name, query in own.items()}, **LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

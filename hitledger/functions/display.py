@@ -12,14 +12,20 @@ UNITS = ("B", "KB", "MB", "GB", "TB")
 def _two_decimals(scaled: Column, shift: int) -> Column:
     """Text of ``scaled / 2**shift`` with two decimals; a BIGINT with fewer than 57 bits of
     fraction, so that 100 times the fraction still fits."""
+    rest = scaled.bitwiseAND(F.lit((1 << shift) - 1))
+    return _with_two_decimals(F.shiftright(scaled, shift), rest, shift)
+
+
+def _with_two_decimals(units: Column, rest: Column, shift: int) -> Column:
+    """Text of ``units + rest / 2**shift``."""
     mask = F.lit((1 << shift) - 1)
-    rest = scaled.bitwiseAND(mask) * 100
+    rest = rest * 100
     hundredths = F.shiftright(rest, shift)
     left_over = rest.bitwiseAND(mask)
     half = 1 << (shift - 1)
     odd = hundredths.bitwiseAND(F.lit(1)) == 1
     rounded = hundredths + F.when((left_over > half) | ((left_over == half) & odd), 1).otherwise(0)
-    whole = F.shiftright(scaled, shift) + F.when(rounded == 100, 1).otherwise(0)
+    whole = units + F.when(rounded == 100, 1).otherwise(0)
     decimals = F.when(rounded == 100, 0).otherwise(rounded)
     return F.concat(
         whole.cast("string"), F.lit("."), F.lpad(decimals.cast("string"), 2, "0")
@@ -28,12 +34,17 @@ def _two_decimals(scaled: Column, shift: int) -> Column:
 
 def human_bytes(value: Column) -> Column:
     """``532 B``, ``1.12 KB``, ``3.00 MB``: whole bytes below 1024, else two decimals."""
+    value = value.cast("decimal(38, 0)")
     text = F.when(value < 1024, F.concat(value.cast("string"), F.lit(f" {UNITS[0]}")))
     for power, unit in enumerate(UNITS[1:], start=1):
-        in_unit = F.concat(_two_decimals(value, 10 * power), F.lit(f" {unit}"))
+        # the remainder fits a BIGINT, and what it leaves divides without a rest
+        one = F.lit(1 << (10 * power)).cast("decimal(13, 0)")
+        rest = (value % one).cast("bigint")
+        whole = ((value - rest) / one).cast("decimal(38, 0)")
+        in_unit = F.concat(_with_two_decimals(whole, rest, 10 * power), F.lit(f" {unit}"))
         if unit == UNITS[-1]:
             return text.otherwise(in_unit)
-        text = text.when(value < 1 << (10 * power + 10), in_unit)
+        text = text.when(value < F.lit(1 << (10 * power + 10)), in_unit)
 
 
 def percent_text(value: Column) -> Column:

@@ -74,9 +74,9 @@ class GroupingRules:
     ) -> GroupingRules:
         """Rules from option values; an invalid pattern is an error that names its option."""
         rules = cls(
-            GroupRule(group_ip_regex, group_ip_replace, "--group-ip-regex"),
-            GroupRule(group_path_regex, group_path_replace, "--group-path-regex"),
-            GroupRule(group_ua_regex, group_ua_replace, "--group-ua-regex"),
+            GroupRule(group_ip_regex, group_ip_replace, "group_ip_regex"),
+            GroupRule(group_path_regex, group_path_replace, "group_path_regex"),
+            GroupRule(group_ua_regex, group_ua_replace, "group_ua_regex"),
         )
         for rule in (rules.ip, rules.path, rules.user_agent):
             rule.validate(spark)

@@ -81,19 +81,18 @@ def number_or_null(token: Column) -> Column:
 # SQL text with a place for the column: one parsed expression each, where composing them call by
 # call would take longer than planning the query.
 
-# BIGINT value of an unsigned integer token; 0 if it is null, empty or too large.
-BYTE_COUNT = "coalesce(try_cast({0} AS BIGINT), 0L)"
-
-# True for an unsigned 64-bit number that BIGINT cannot hold. Only tokens with as many digits as
-# such a number are converted: the conversion of a very long one would take quadratic time.
+# Value of an unsigned integer token of up to 64 bits; 0 if it is null, empty or larger. Short tokens
+# take the cheap conversion; of the others only those with few enough digits are converted at all,
+# because the conversion of a very long one would take quadratic time.
+BYTE_TYPE = "DECIMAL(20, 0)"
 _DIGITS = "trim(LEADING '+0' FROM {0})"
-EXCEEDS_BIGINT = f"""
+_LARGE = f"try_cast({_DIGITS} AS {BYTE_TYPE})"
+BYTE_COUNT = f"""
     coalesce(
-        octet_length({{0}}) >= 19
-        AND octet_length({_DIGITS}) BETWEEN 19 AND 20
-        AND try_cast({{0}} AS BIGINT) IS NULL
-        AND try_cast({_DIGITS} AS DECIMAL(20, 0)) <= 18446744073709551615,
-        false)
+        CASE WHEN octet_length({{0}}) < 19 THEN CAST(try_cast({{0}} AS BIGINT) AS {BYTE_TYPE})
+             WHEN octet_length({_DIGITS}) <= 20 AND {_LARGE} <= 18446744073709551615 THEN {_LARGE}
+        END,
+        CAST(0 AS {BYTE_TYPE}))
 """
 
 # ``YYYY-MM-DD HH:00`` cut out of ``dd/Mon/yyyy:HH...``; null if it has no such shape. Text slices
@@ -112,5 +111,11 @@ HOUR_BUCKET = f"""
 
 
 def parse_bytes(token: Column) -> Column:
-    """Byte count of any token: an unsigned integer, or 0 for everything else."""
-    return F.coalesce(number_or_null(token).try_cast("bigint"), F.expr("0L"))
+    """Byte count of any token: an unsigned 64-bit integer, or 0 for everything else."""
+    number = number_or_null(token)
+    digits = F.ltrim(number, F.lit("+0"))
+    large = F.when(F.octet_length(digits) <= 20, digits.try_cast(BYTE_TYPE))
+    value = F.when(F.octet_length(number) < 19, number.try_cast("bigint").cast(BYTE_TYPE)).otherwise(
+        F.when(large <= F.lit("18446744073709551615").cast(BYTE_TYPE), large)
+    )
+    return F.coalesce(value, F.lit(0).cast(BYTE_TYPE))

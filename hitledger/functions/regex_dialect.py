@@ -48,6 +48,7 @@ class Translated:
     def __init__(self, pattern: str):
         self.group_names: dict[str, int] = {}
         self.groups = 0
+        self.flags: set[str] = set()
         body = self._translate(pattern)
         # d: only a line feed ends a line; U: classes follow Unicode. An empty match right after
         # the previous match does not count, except at the start of the text; the atomic group
@@ -58,7 +59,10 @@ class Translated:
         out: list[str] = []
         at = 0
         class_depth = 0
+        opened: list[int] = []  # where in out each open group begins
+        closed: int | None = None  # the same of a group that ends right here
         while at < len(pattern):
+            before, closed = closed, None
             char = pattern[at]
             if char == "\\":
                 text, at = _escape(pattern, at, class_depth > 0)
@@ -75,12 +79,24 @@ class Translated:
                 at += 1
             elif char == "(":
                 text, at = self._open_group(pattern, at)
+                if text.startswith("(?") and text.endswith(")"):  # flags alone open nothing
+                    self.flags |= set(text)
+                else:
+                    opened.append(len(out))
+                    self.flags |= set(text[2:].split("-")[0]) if text.startswith("(?") else set()
                 out.append(text)
+            elif char == ")":
+                closed = opened.pop() if opened else None
+                out.append(char)
+                at += 1
             elif quantifier := _QUANTIFIER.match(pattern, at):
                 at = quantifier.end()
                 if _QUANTIFIER.match(pattern, at):
                     raise UnsupportedPattern("a quantifier cannot follow a quantifier")
-                out.append(quantifier.group())
+                if before is not None and _repeats_long(quantifier.group()):
+                    out[before:] = [self._repeated_group(out[before:], quantifier.group())]
+                else:
+                    out.append(quantifier.group())
             else:
                 out.append(char)
                 at += 1
@@ -97,11 +113,37 @@ class Translated:
             self.group_names[named[1]] = self.groups
             return "(", named.end()
         if flags := _FLAG_GROUP.match(pattern, at):
-            if extra := set(flags[1]) - set("ims-"):
+            if extra := set(flags[1]) - set("imsxu-"):
                 raise UnsupportedPattern(f"flag {''.join(sorted(extra))} is not supported")
-            return flags[0], flags.end()
+            if "u" in flags[1].partition("-")[2]:
+                raise UnsupportedPattern("Unicode cannot be turned off")
+            kept = flags[1].replace("u", "")  # always on
+            return f"(?{kept.removesuffix('-')}{flags[2]}" if kept or flags[2] == ":" else "", flags.end()
         raise UnsupportedPattern("look-around is not supported")
 
+    def _repeated_group(self, parts: list[str], quantifier: str) -> str:
+        """A repeated group without Java's recursion, which a long text would take too deep.
+
+        A group of alternative single characters is a class, and that repeats without recursion; a
+        capturing one holds the last character. Other groups have no such form.
+        """
+        opening, body, lazy = parts[0], parts[1:-1], quantifier[1:2] == "?" or quantifier.endswith("}?")
+        body = _classes_joined(body)
+        choices = body[::2]
+        single = len(body) % 2 and all(x == "|" for x in body[1::2]) and all(map(_is_one_character, choices))
+        if not single or "x" in self.flags or "s" in self.flags:
+            raise UnsupportedPattern("only groups of single characters can be repeated without end")
+        one = "[" + "".join("[^\\n]" if x == "." else x for x in choices) + "]"
+        if opening.startswith("(?"):
+            return one + quantifier
+        if lazy:
+            raise UnsupportedPattern("a capturing group cannot be repeated lazily without end")
+        if quantifier == "+":
+            return f"{one}*({one})"
+        if quantifier == "*":
+            return f"(?:{one}*({one}))?"
+        raise UnsupportedPattern("a capturing group cannot be repeated that often")
+
     def java_template(self, template: str) -> str:
         """Replacement text: ``$1``, ``$name``, ``${name}``, ``$$``; unknown groups are empty."""
         out: list[str] = []
@@ -125,6 +167,40 @@ class Translated:
         return "" if number is None or number > self.groups else f"${number}"
 
 
+#: A group repeated up to this often cannot exhaust a stack.
+_FEW = 64
+
+
+def _repeats_long(quantifier: str) -> bool:
+    if quantifier[0] in "*+":
+        return True
+    bounds = quantifier.strip("{}?").split(",") if quantifier[0] == "{" else ["1"]
+    return bounds[-1] == "" or int(bounds[-1]) > _FEW
+
+
+def _classes_joined(parts: list[str]) -> list[str]:
+    """The parts of a group with each bracketed class as one part."""
+    out, depth = [], 0
+    for part in parts:
+        if depth:
+            out[-1] += part
+        else:
+            out.append(part)
+        if part.startswith("[") and not part.endswith("]"):
+            depth += 1
+        elif depth and part == "]":
+            depth -= 1
+    return out
+
+
+def _is_one_character(part: str) -> bool:
+    if part.startswith("["):
+        return part.endswith("]")
+    if part.startswith("\\"):
+        return part[1] not in "bBAzZGbQEkR" and not part.startswith(r"\b")
+    return len(part) == 1 and part not in "^$()*+?{"
+
+
 def _escape(pattern: str, at: int, in_class: bool) -> tuple[str, int]:
     following = pattern[at + 1 : at + 2]
     if not following:

@@ -20,7 +20,6 @@ TREND_KINDS = {
 # Kinds of our own that hold the scalars of a tally; their bucket is always META_BUCKET.
 TOTAL = "meta:total"
 PARSE_ERRORS = "meta:parse_errors"
-BYTES_OUT_OF_RANGE = "meta:bytes_out_of_range"
 FILES = "meta:files"
 META_BUCKET = "all"
 
@@ -30,17 +29,19 @@ TALLY_KINDS = (
     *TREND_KINDS.values(),
     TOTAL,
     PARSE_ERRORS,
-    BYTES_OUT_OF_RANGE,
 )
 
 SORT_COLUMNS = {"visits": "visits", "traffic": "traffic_bytes"}
 
+# Sums of unsigned 64-bit numbers: no log is long enough to exceed it.
+BYTES_TYPE = "DECIMAL(38, 0)"
+
 COUNTER_SCHEMA = T.StructType(
     [
         T.StructField("kind", T.StringType()),
         T.StructField("bucket", T.StringType()),
         T.StructField("visits", T.LongType()),
-        T.StructField("traffic_bytes", T.LongType()),
+        T.StructField("traffic_bytes", T.DecimalType(38, 0)),
     ]
 )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hitledger import names
 from hitledger.functions.grouping import GroupingRules
+from hitledger.functions.line_fields import BYTE_TYPE
 from hitledger.operators.parsing import parse_lines, with_buckets
 
 
@@ -27,7 +28,6 @@ def _bucket_column(kind: str, rules: GroupingRules) -> Column:
     condition = {
         names.TOTAL: "ip IS NOT NULL",
         names.PARSE_ERRORS: "ip IS NULL",
-        names.BYTES_OUT_OF_RANGE: "bytes_out_of_range",
     }
     if kind in condition:
         return F.expr(f"CASE WHEN {condition[kind]} THEN '{names.META_BUCKET}' END")
@@ -52,13 +52,16 @@ def count_records(
     return (
         with_buckets(parsed)
         .select(
-            F.expr("coalesce(traffic_bytes, 0L)").alias("_bytes"),
+            F.coalesce("traffic_bytes", F.lit(0).cast(BYTE_TYPE)).alias("_bytes"),
             *(_bucket_column(kind, rules).alias(kind) for kind in kinds),
         )
         .unpivot(["_bytes"], kinds, "kind", "bucket")
         .where(F.col("bucket").isNotNull())
         .groupBy("kind", "bucket")
-        .agg(F.count("*").alias("visits"), F.sum("_bytes").alias("traffic_bytes"))
+        .agg(
+            F.count("*").alias("visits"),
+            F.sum("_bytes").cast(names.BYTES_TYPE).alias("traffic_bytes"),
+        )
     )
 
 
@@ -77,7 +80,7 @@ def with_file_count(counters: DataFrame, files: int) -> DataFrame:
         F.lit(names.FILES).alias("kind"),
         F.lit(names.META_BUCKET).alias("bucket"),
         F.lit(files).cast("bigint").alias("visits"),
-        F.expr("0L").alias("traffic_bytes"),
+        F.lit(0).cast(names.BYTES_TYPE).alias("traffic_bytes"),
     )
     return counters.unionByName(row)
 
@@ -95,7 +98,9 @@ def summary(counters: DataFrame, sort_by: str = "visits") -> DataFrame:
     names.sort_column(sort_by)
 
     def scalar(kind: str, column: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(column))), F.expr("0L"))
+        found = F.sum(F.when(F.col("kind") == kind, F.col(column)))
+        zero = F.lit(0).cast(names.BYTES_TYPE) if column == "traffic_bytes" else F.expr("0L")
+        return F.coalesce(found, zero)
 
     return (
         counters.where(F.col("kind").isin(names.TOTAL, names.PARSE_ERRORS, names.FILES))

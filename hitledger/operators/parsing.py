@@ -31,11 +31,11 @@ def _columns(frame: DataFrame, but: str | None = None) -> list[Column]:
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One output row per input row: the other input columns, the record and its quality flag.
+    """One output row per input row: the other input columns and the record.
 
-    The record columns are all null where the line is a reject. ``bytes_out_of_range`` marks byte
-    counts between 2^63 and 2^64-1, which are counted as 0. Lines that are not plain go through
-    the patterns, which hold for every line.
+    The record columns are all null where the line is a reject. Byte counts are decimals, which
+    hold every unsigned 64-bit number. Lines that are not plain go through the patterns, which
+    hold for every line.
     """
     kept = _columns(lines, but=column)
     line = lf.without_trailing_cr(F.col(f"`{column}`"))
@@ -121,9 +121,6 @@ def _records(fields: DataFrame, kept: list[Column]) -> DataFrame:
             "traffic_bytes"
         ),
         "timestamp_str",
-        F.expr(f"CASE WHEN ip IS NOT NULL THEN {lf.EXCEEDS_BIGINT.format('_bytes')} END").alias(
-            "bytes_out_of_range"
-        ),
     )
 
 

@@ -93,3 +93,23 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(' "-" "-"'),
     )
     return pages.select("page_id", line.alias("value"))
+
+
+def huge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per event with a byte count around 2^63 and 2^64; the status tells which kind."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind, user = F.col("event_id") % 5, F.col("user_id").cast("decimal(20, 0)")
+
+    def number(text: str) -> Column:
+        return F.lit(text).cast("decimal(20, 0)")
+
+    token = (
+        F.when(kind == 0, (number("18446744073709551615") - user).cast("string"))
+        .when(kind == 1, (number("9223372036854775807") + user).cast("string"))
+        .when(kind == 2, (number("18446744073709551616") + user).cast("string"))
+        .when(kind == 3, F.concat(F.lit("+000"), (number("9223372036854775807") - user).cast("string")))
+        .otherwise(F.col("user_id").cast("string"))
+    )
+    start = F.lit('10.9.0.1 - - [01/Jan/2024:00:00:00 +0000] "GET /huge HTTP/1.1" ')
+    line = F.concat(start, (200 + kind).cast("string"), F.lit(" "), token, F.lit(' "-" "ua"'))
+    return events.select("event_id", line.alias("value"))

@@ -17,6 +17,7 @@ from hitledger.sources.log_files import read_lines, resolve_inputs
 
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 INPUT_BYTES_PER_SHUFFLE_PARTITION = 4 << 30
+COUNTER_BYTES_PER_SHUFFLE_PARTITION = 64 << 20
 
 
 class Ledger:
@@ -63,7 +64,11 @@ class Ledger:
     def merged_with(self, other: Ledger) -> Ledger:
         """A ledger of both inputs, written to the shared folder."""
         both = counting.merge_counters(self.counters, other.counters)
-        return Ledger(tables.materialize(both), self.sort_by, self.top, self.graph_items)
+        # two ledgers hold counters, not lines: a partition takes far fewer bytes of them
+        size = (_input_bytes(self.counters) + _input_bytes(other.counters)) * (INPUT_BYTES_PER_SHUFFLE_PARTITION // COUNTER_BYTES_PER_SHUFFLE_PARTITION)
+        with _enough_shuffle_partitions(self.counters.sparkSession, size):
+            merged = tables.materialize(both)
+        return Ledger(merged, self.sort_by, self.top, self.graph_items)
 
     def save(self, path: str, mode: str = "error") -> None:
         tables.save_snapshot(self.counters, path, mode)
@@ -86,21 +91,31 @@ def analyze(
     graph_items: int = 0,
     sort_by: str = "visits",
     invalid_utf8: str = "fail",
+    mode: str = "error",
     **group_options: str,
 ) -> Ledger:
     """Count the logs, or load a snapshot; save and export if asked; return the ledger.
 
     ``load_db`` takes a Parquet snapshot or a JSON document and excludes log files; group options
     have no effect on it. The logs are read once: the counters go to ``save_db``, or else to the
-    cluster's shared folder, and everything after that reads them there.
+    cluster's shared folder, and everything after that reads them there. Where ``save_db`` or
+    ``export_csv`` exists, mode "error" refuses it before any log is read, and "overwrite"
+    replaces it.
     """
+    if mode not in ("error", "overwrite"):
+        raise ValueError(f"mode must be error or overwrite; got {mode!r}")
     files = list(files)
+    for option, target in (("save_db", save_db), ("export_csv", export_csv)):
+        if target is not None and mode == "error" and _exists(spark, target):
+            raise FileExistsError(f"{option} exists already: {target}")
+    if load_db is not None and load_db == save_db:
+        raise ValueError("save_db cannot replace the snapshot that load_db reads")
     if load_db is not None:
         if files:
             raise ValueError("load_db cannot be combined with log files")
         counters = load_counters(spark, load_db)
         if save_db is not None:
-            tables.save_snapshot(counters, save_db)
+            tables.save_snapshot(counters, save_db, mode)
     else:
         resolved = resolve_inputs(spark, files)
         rules = GroupingRules.from_options(spark, **group_options)
@@ -108,11 +123,11 @@ def analyze(
         counted = counting.with_file_count(counting.count_lines(lines, rules), len(resolved))
         target = save_db if save_db is not None else scratch_path(spark, "counters")
         with _enough_shuffle_partitions(spark, _input_bytes(lines)):
-            tables.save_snapshot(counted, target)
+            tables.save_snapshot(counted, target, mode)
         counters = tables.load_snapshot(spark, target)
     ledger = Ledger(counters, sort_by, top, graph_items)
     if export_csv is not None:
-        ledger.export_csv(export_csv)
+        ledger.export_csv(export_csv, mode)
     return ledger
 
 
@@ -138,6 +153,11 @@ def _enough_shuffle_partitions(spark: SparkSession, input_bytes: int) -> Iterato
         spark.conf.set(SHUFFLE_PARTITIONS, configured)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def load_counters(spark: SparkSession, path: str) -> DataFrame:
     """Counters of a snapshot folder or of a JSON document; a document is read once, re-written."""
     folders = _folder_names(spark, path)
@@ -152,5 +172,5 @@ def _folder_names(spark: SparkSession, path: str) -> list[str]:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     file_system = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     if not file_system.exists(jpath):
-        raise FileNotFoundError(f"Unable to open database file: {path}")
+        raise FileNotFoundError(f"there is no snapshot or document at {path}")
     return [entry.getPath().getName() for entry in file_system.listStatus(jpath)]

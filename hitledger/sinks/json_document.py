@@ -23,10 +23,10 @@ MAPS = {
 }
 SCALARS = ("total_visits", "total_traffic_bytes", "parse_errors")
 
-_COUNTER = T.StructType().add("visits", "long").add("traffic_bytes", "long")
+_COUNTER = T.StructType().add("visits", "long").add("traffic_bytes", T.DecimalType(38, 0))
 _AGGREGATES = T.StructType()
 for _name in SCALARS:
-    _AGGREGATES.add(_name, "long")
+    _AGGREGATES.add(_name, T.DecimalType(38, 0) if _name == "total_traffic_bytes" else "long")
 for _name in MAPS:
     _AGGREGATES.add(_name, T.MapType(T.StringType(), _COUNTER))
 _STRICT = {"mode": "FAILFAST"}
@@ -161,7 +161,7 @@ def _map_row(kind: str) -> Callable[[Column], Column]:
 
 
 def _scalar_rows() -> Column:
-    everything, zero = F.lit(names.META_BUCKET), F.expr("0L")
+    everything, zero = F.lit(names.META_BUCKET), F.lit(0).cast(names.BYTES_TYPE)
     return F.array(
         _row(names.TOTAL, everything, F.col("total_visits"), F.col("total_traffic_bytes")),
         _row(names.PARSE_ERRORS, everything, F.col("parse_errors"), zero),
@@ -171,7 +171,7 @@ def _scalar_rows() -> Column:
 
 def _checked(counters: DataFrame, path: str) -> DataFrame:
     """Anything missing from the document has left a null behind; that ends the run."""
-    failure = F.raise_error(F.lit(f"Unable to parse database file: {path}"))
+    failure = F.raise_error(F.lit(f"not a whole document: {path}"))
     row_is_whole = F.lit(True)
     for name in names.COUNTER_SCHEMA.names:
         row_is_whole &= F.col(name).isNotNull()

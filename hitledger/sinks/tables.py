@@ -16,6 +16,9 @@ EXPORT_ORDER = (
     names.TREND_KINDS["month"],
 )
 
+# Into how many parts a dimension is dealt before it is written.
+SPREAD = 512
+
 # Plain quoting: quotes doubled, nothing trimmed, empty text written as nothing.
 _CSV_OPTIONS = {
     "header": True,
@@ -31,13 +34,13 @@ _CSV_OPTIONS = {
 def save_snapshot(counters: DataFrame, path: str, mode: str = "error") -> None:
     """Write a counter table as Parquet, one folder per kind, so that views read only theirs.
 
-    The rebalance gives small kinds one file each and splits big ones by size. It needs adaptive
-    execution; without that it would send a whole kind to one task, so the tasks then write what
-    they have.
+    Large kinds are dealt to SPREAD parts by their buckets, whatever the settings, so that no task
+    gets a whole one; adaptive execution joins the parts of a small table again.
     """
-    rows = counters.select(*names.COUNTER_SCHEMA.names)
-    if counters.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
-        rows = rows.hint("rebalance", "kind")
+    rows = counters.select(*[F.col(f.name).cast(f.dataType) for f in names.COUNTER_SCHEMA])
+    is_large = F.col("kind").startswith("dimension:")
+    part = F.when(is_large, F.pmod(F.xxhash64("bucket"), F.lit(SPREAD))).otherwise(0)
+    rows = rows.repartition("kind", part)
     rows.write.mode(mode).partitionBy("kind").parquet(path)
 
 

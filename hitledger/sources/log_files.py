@@ -8,11 +8,12 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The file names taken from a directory, and the messages for what is missing.
+# Fixed value: how the names of a directory's log files begin.
 LOG_FILE_PREFIX = "access.log"
-NOTHING_IN_DIRECTORY = "No files beginning with 'access.log' were found in {}"
-NOTHING_RESOLVED = "No input log files were resolved from the provided paths"
-NOT_UTF8 = "Unable to decode UTF-8 log line from: "
+NOTHING_IN_DIRECTORY = "directory {} holds no access.log file of its own"
+NOTHING_RESOLVED = "there is no log to read: name a file or a directory"
+NOT_UTF8 = "a line is not UTF-8 in file "
+_LISTED = re.compile(r"path=(.*?); isDirectory=(true|false);", re.DOTALL)
 
 # Where a mode is asked for: fail the run, or make such lines rejects and keep their bytes.
 INVALID_UTF8_MODES = ("fail", "reject")
@@ -45,13 +46,25 @@ def _directory_logs(spark: SparkSession, path: str) -> list[str] | None:
     file_system = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     if not file_system.exists(jpath) or not file_system.getFileStatus(jpath).isDirectory():
         return None
-    listed = ((entry.getPath(), entry) for entry in file_system.listStatus(jpath))
-    matching = ((p.getName(), p, entry) for p, entry in listed)
-    return [
-        p.toString()
-        for name, p, entry in sorted(matching, key=lambda item: item[0])
-        if name.startswith(LOG_FILE_PREFIX) and entry.isFile()
-    ]
+    files = (p for p, is_directory in _listing(spark, path) if not is_directory)
+    return sorted((p for p in files if _name(p).startswith(LOG_FILE_PREFIX)), key=_name)
+
+
+def _listing(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Path and whether it is a directory, of all entries; one call, however many there are."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entries = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jpath)
+    text = spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(entries)
+    return [(m[1], m[2] == "true") for m in _LISTED.finditer(text)]
+
+
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
+def _spark_skips(name: str) -> bool:
+    """Whether Spark passes over a file of this name without a word."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
 
 
 def read_lines(
@@ -67,10 +80,16 @@ def read_lines(
     if invalid_utf8 not in INVALID_UTF8_MODES:
         raise ValueError(f"invalid_utf8 must be one of {', '.join(INVALID_UTF8_MODES)}")
     files = [str(f) for f in files]
-    for name in (f.rsplit("/", 1)[-1] for f in files):
-        if name.startswith(("_", ".")):
-            raise ValueError(f"Spark skips files whose names begin with _ or . ({name}); rename it")
-    text = spark.read.option("lineSep", "\n").text([_literal_path(f) for f in files])
+    if skipped := [f for f in files if _spark_skips(_name(f))]:
+        raise ValueError(f"Spark skips files of such names, rename {skipped[0]}")
+    reader = spark.read.option("lineSep", "\n")
+    folder = _whole_folder(spark, files)
+    if folder is None:
+        text = reader.text([_literal_path(f) for f in files])
+    else:
+        text = reader.option("pathGlobFilter", f"{LOG_FILE_PREFIX}*").text(_literal_path(folder))
+    if len(text._jdf.inputFiles()) != len(set(files)):
+        raise ValueError("Spark does not read every one of the log files")
     raw = F.col("value")
     readable = F.is_valid_utf8(raw)
     line = F.when(raw.endswith("\r"), F.regexp_replace(raw, r"\r\z", "")).otherwise(raw)
@@ -83,6 +102,23 @@ def read_lines(
     return text.select(F.when(readable, line).otherwise(failure).alias("value"))
 
 
+def _whole_folder(spark: SparkSession, files: list[str]) -> str | None:
+    """The folder whose log files these are, if they are all of them, each once.
+
+    Spark lists one folder much faster than it looks up many files. It would also descend into
+    folders named like partitions, so one with any folder in it is not read as a whole.
+    """
+    folders = {f.rpartition("/")[0] for f in files}
+    if len(files) < 2 or len(folders) > 1 or len(set(files)) < len(files) or "" in folders:
+        return None
+    if not all(_name(f).startswith(LOG_FILE_PREFIX) for f in files):
+        return None
+    folder = folders.pop()
+    listed = _listing(spark, folder)
+    logs = {p for p, _ in listed if _name(p).startswith(LOG_FILE_PREFIX)}
+    return folder if logs == set(files) and not any(d for _, d in listed) else None
+
+
 def _literal_path(path: str) -> str:
     """Spark reads paths as glob patterns; escape what a file name may contain."""
     return re.sub(r"([\\*?{}\[\]])", r"\\\1", path)

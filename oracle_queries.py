@@ -156,7 +156,30 @@ _TOP_TEN_OF_ALL = _LOG + f", {_ALL_DIMENSIONS} " + " UNION ALL ".join(
     for name in ("ip", "path", "user_agent", "status")
 )
 
+_HUGE = """
+WITH rec AS (
+    SELECT CAST(200 + event_id % 5 AS VARCHAR) AS status_code,
+        CASE event_id % 5
+            WHEN 0 THEN 18446744073709551615::HUGEINT - user_id
+            WHEN 1 THEN 9223372036854775807::HUGEINT + user_id
+            WHEN 2 THEN 0::HUGEINT
+            WHEN 3 THEN 9223372036854775807::HUGEINT - user_id
+            ELSE user_id::HUGEINT
+        END AS traffic_bytes
+    FROM events
+)
+"""
+
 ORACLE_SQL = {
+    "huge_byte_counts": _HUGE + """
+SELECT status_code AS bucket, count(*) AS visits, CAST(sum(traffic_bytes) AS VARCHAR) AS traffic_bytes
+FROM rec GROUP BY ALL
+""",
+    "human_bytes_of_huge_sums": _HUGE + """
+SELECT count(*) AS visits,
+    printf('%.2f TB', CAST(sum(traffic_bytes) AS DOUBLE) / 1024e0 / 1024e0 / 1024e0 / 1024e0) AS traffic_text
+FROM rec
+""",
     "top_paths_without_query": _top("path_only", "traffic"),
     "parse_lines": _LOG + f"SELECT event_id, {_RECORD} FROM log",
     "parse_fallback_lines": _LOG + f"SELECT event_id, {_RECORD} FROM log",
@@ -177,8 +200,7 @@ FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]')) AS token FROM document
 GROUP BY ALL
 """,
     "parse_error_count": _LOG + """
-SELECT count(*) AS lines, count_if(is_junk)::BIGINT AS parse_errors,
-    CAST(0 AS BIGINT) AS bytes_out_of_range
+SELECT count(*) AS lines, count_if(is_junk)::BIGINT AS parse_errors
 FROM log
 """,
     "rejected_lines": _LOG + "SELECT event_id, 'garbage ' || event_id AS value FROM log WHERE is_junk",

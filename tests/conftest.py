@@ -1,4 +1,5 @@
 import sys
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -6,6 +7,13 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+def counter_table(spark, rows):
+    """A counter table of (kind, bucket, visits, bytes)."""
+    from hitledger import names
+
+    return spark.createDataFrame([(*r[:3], Decimal(r[3])) for r in rows], names.COUNTER_SCHEMA)
+
+
 SF_DIR = "/root/testdata/sf0.001"
 
 

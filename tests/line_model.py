@@ -34,9 +34,8 @@ def record(ip, timestamp, request, status, size, agent):
         "path": path_of(request),
         "user_agent": agent,
         "status_code": status,
-        "traffic_bytes": exact if exact < 2**63 else 0,
+        "traffic_bytes": exact,
         "timestamp_str": timestamp,
-        "bytes_out_of_range": exact >= 2**63,
     }
 
 

@@ -6,8 +6,8 @@ from hitledger.functions.regex_dialect import Translated
 
 # pattern, template, text, result
 RULES = [
-    (r"^(/[^/?]+).*$", "$1", "/products/list?page=2", "/products"),
-    (r"^(/[^/?]+).*$", "$1", "no slash", "no slash"),
+    (r"^/([a-z]{2})/.+$", "[$1]", "/de/karte/9", "[de]"),
+    (r"^/([a-z]{2})/.+$", "[$1]", "no slash", "no slash"),
     (r"\?.*$", "", "/a?b=1", "/a"),
     # an unmatched tail stays
     (r"^(\d+\.\d+\.\d+)\.", "$1.0/24", "10.1.2.3", "10.1.2.0/243"),
@@ -60,8 +60,19 @@ RULES = [
     (r"[a-c&&[^b]]", "#", "abc", "#b#"),
     (r"\.\[\(", "#", ".[(", "#"),
     ("a{2}?", "#", "aaa", "#a"),
+    ("(?x) a  b", "#", "xab", "x#"),
+    ("(?u)é(?u:a)", "#", "éa", "#"),
+    # repeated groups of single characters
+    (r"^(?:/|\w)+$", "#", "/a/b", "#"),
+    (r"^(?:/|\w)+$", "#", "/a b", "/a b"),
+    (r"(a|[b-d]|\d)+", "<$1>", "xab1-c", "x<1>-<c>"),
+    (r"x(a|b)*", "<$1>", "xaab x", "<b> <>"),
+    (r"(?:.|-){2,}", "#", "a-\n-b", "#\n#"),
+    (r"(?:ab){1,3}", "#", "ababx", "#x"),
 ]
 
+LONG = "/" + "a" * 100_000 + "/b" * 50_000
+
 
 def test_rules(spark):
     texts = [text for _, _, text, _ in RULES]
@@ -77,7 +88,7 @@ def test_rules(spark):
 @pytest.mark.parametrize(
     "pattern",
     [
-        "(?=a)", "(?!a)", "(?<=a)b", "(?<!a)b", r"(a)\1", r"\k<n>", "(?U)a", "(?R)a", "(?x) a",
+        "(?=a)", "(?!a)", "(?<=a)b", "(?<!a)b", r"(a)\1", r"\k<n>", "(?U)a", "(?R)a", "(?-u)a",
         "(?>a)", "a++", "a*+", "a{2}+", "[a--b]", "[a~~b]", r"\Qa\E", r"\Z", r"\h", "a\\",
         "[[:nope:]]", "(?P<n>a)(?P<n>b)", r"\b{start}a",
     ],
@@ -87,9 +98,21 @@ def test_unsupported_patterns_are_refused(pattern):
         GroupRule(pattern, "")
 
 
+@pytest.mark.parametrize("pattern", [r"^(?:/|\w)+$", r"^(/|[a-z])*$", r"(?:a|b|/)+", r"^[^?]*(?:/b)?$", r"^(/[^/]*){2}"])
+def test_accepted_rules_bear_long_texts(spark, pattern):
+    frame = spark.createDataFrame([(LONG,)], ["t"])
+    assert frame.select(GroupRule(pattern, "#").apply(F.col("t"))).first()[0].startswith("#")
+
+
+@pytest.mark.parametrize("pattern", ["^(/[^/?]+)+$", "(?:ab)*", "(a*)*", "(a|bc)+", "(?:(?:a|b)+/)*", "(a|b)+?", "(?:a{2}){70}", "(^|a)+"])
+def test_rules_that_could_exhaust_a_stack_are_refused(pattern):
+    with pytest.raises(ValueError, match="Invalid group_path_regex"):
+        GroupRule(pattern, "", "group_path_regex")
+
+
 @pytest.mark.parametrize("option", ["ip", "path", "ua"])
 def test_invalid_pattern_names_its_option(spark, option):
-    with pytest.raises(ValueError, match=f"Invalid --group-{option}-regex"):
+    with pytest.raises(ValueError, match=f"Invalid group_{option}_regex"):
         GroupingRules.from_options(spark, **{f"group_{option}_regex": "(open"})
 
 

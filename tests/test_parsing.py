@@ -14,32 +14,32 @@ from hitledger.operators.parsing import (
 )
 from tests import line_model
 
-B = "[13/Mar/2026:09:22:11 +0000]"
+B = "[28/Feb/2024:23:41:07 -0330]"
 TS = B[1:-1]
 STD = f'1.1.1.1 - - {B} "GET /x HTTP/1.1" 200 5 "-" "ua"'
 
 
-def rec(ip="1.1.1.1", path="/x", ua="ua", status="200", size=5, ts=TS, big=False):
-    return (ip, path, ua, status, size, ts, big)
+def rec(ip="1.1.1.1", path="/x", ua="ua", status="200", size=5, ts=TS):
+    return (ip, path, ua, status, size, ts)
 
 
-REJECT = (None,) * 7
+REJECT = (None,) * 6
 
 EDGE_LINES = {
     "std": (
-        f'127.0.0.1 - - {B} "GET /api/v1/users?id=1 HTTP/1.1" 200 532 "-" "curl/8.5"',
-        rec("127.0.0.1", "/api/v1/users?id=1", "curl/8.5", size=532),
+        f'2001:db8::17 - eve {B} "PATCH /cart/9?step=pay HTTP/2" 418 90210 "https://x.example" "Probe/3"',
+        rec("2001:db8::17", "/cart/9?step=pay", "Probe/3", "418", 90210),
     ),
-    "no_content": (
-        f'127.0.0.1 - - {B} "GET /health HTTP/1.1" 204 0 "-" "curl/8.5"',
-        rec("127.0.0.1", "/health", "curl/8.5", "204", 0),
+    "zero_bytes": (
+        f'host.example - - {B} "OPTIONS * HTTP/1.0" 299 0 "-" "Fetch 9"',
+        rec("host.example", "*", "Fetch 9", "299", 0),
     ),
     "crlf": (
-        f'127.0.0.1 - - {B} "GET /ok HTTP/1.1" 200 10 "-" "curl/8.5"\r',
-        rec("127.0.0.1", "/ok", "curl/8.5", size=10),
+        f'198.51.100.7 - - {B} "PUT /files/a.bin HTTP/1.1" 507 31 "-" "Sync"\r',
+        rec("198.51.100.7", "/files/a.bin", "Sync", "507", 31),
     ),
     "blank": ("", REJECT),
-    "junk": ("not a log line", REJECT),
+    "junk": ("~~ rotated ~~", REJECT),
     "bytes_dash": (f'1.1.1.1 - - {B} "GET /x HTTP/1.1" 304 - "-" "ua"', rec(status="304", size=0)),
     "bytes_plus": (STD.replace(" 5 ", " +5 "), rec()),
     "bytes_neg": (STD.replace(" 5 ", " -5 "), rec(size=0)),
@@ -71,11 +71,11 @@ EDGE_LINES = {
     "tabs_odd_bytes": (f'1.1.1.1\t-\t-\t{B}\t"GET /x HTTP/1.1"\t200\t5z\t"-"\t""', rec(ua="", size=0)),
     "leading_space": (" " + STD, rec(ip="")),
     "status_word": (STD.replace(" 200 ", " OK "), rec(status="OK")),
-    "bad_month": (STD.replace("Mar", "Foo"), rec(ts=TS.replace("Mar", "Foo"))),
-    "short_ts": (STD.replace(B, "[13/Mar/2026]"), rec(ts="13/Mar/2026")),
+    "bad_month": (STD.replace("Feb", "Foo"), rec(ts=TS.replace("Feb", "Foo"))),
+    "short_ts": (STD.replace(B, "[28/Feb/2024]"), rec(ts="28/Feb/2024")),
     "odd_digits": (
-        STD.replace(B, "[99/Mar/2026:77:22:11 +0900]"),
-        rec(ts="99/Mar/2026:77:22:11 +0900"),
+        STD.replace(B, "[99/Feb/2024:77:22:11 +0900]"),
+        rec(ts="99/Feb/2024:77:22:11 +0900"),
     ),
     "empty_ts": (STD.replace(B, "[]"), rec(ts="")),
     "bracket_user": (STD.replace("- -", "- a[b"), rec(ts="b [" + TS)),
@@ -87,7 +87,7 @@ EDGE_LINES = {
         f'1.1.1.1 - - {B} "GET /x HTTP/1.1" 200\t5\t"-" "a b c"',
         rec(ua="a b c"),
     ),
-    "u64max": (STD.replace(" 5 ", f" {2**64 - 1} "), rec(size=0, big=True)),
+    "u64max": (STD.replace(" 5 ", f" {2**64 - 1} "), rec(size=2**64 - 1)),
     "u64over": (STD.replace(" 5 ", f" {2**64} "), rec(size=0)),
     "i64max": (STD.replace(" 5 ", f" {2**63 - 1} "), rec(size=2**63 - 1)),
     "many_cr": (f'1.1.1.1 - - {B} "GET /x HTTP/1.1" 200 5 "-" "ua\r\r\r', rec()),
@@ -101,9 +101,7 @@ EDGE_LINES = {
     ),
     "bracket_in_ip": (f'1[1 - - {B} "GET /x HTTP/1.1" 200 5 "-" "ua"', rec(ip="1[1")),
 }
-COLUMNS = (
-    "ip path user_agent status_code traffic_bytes timestamp_str bytes_out_of_range".split()
-)
+COLUMNS = "ip path user_agent status_code traffic_bytes timestamp_str".split()
 
 
 @pytest.fixture(scope="module")
@@ -173,7 +171,7 @@ def test_accepted_and_rejected_split_the_lines(lines_of):
     bad = rejected_lines(lines)
     rejects = [i for i, (_, r) in enumerate(EDGE_LINES.values()) if r == REJECT]
     assert sorted(r.id for r in bad.collect()) == rejects
-    assert {r.value for r in bad.collect()} == {"", "not a log line", EDGE_LINES["common_format"][0]}
+    assert {r.value for r in bad.collect()} == {"", "~~ rotated ~~", EDGE_LINES["common_format"][0]}
     assert good.count() == len(EDGE_LINES) - len(rejects)
     assert good.columns == ["id", *parse_lines(lines).drop("id").columns]
 
@@ -241,7 +239,7 @@ def test_request_path_and_byte_tokens(lines_of):
     tokens = ["0", "12", "+12", "-12", "", "-", "1 ", " 1", "1.5", "1e3", str(2**63 - 1), str(2**63)]
     rows = lines_of(tokens).withColumn("n", lf.parse_bytes(F.col("value"))).collect()
     expected = [line_model.number(t) for t in tokens]
-    assert [r.n for r in rows] == [n if n < 2**63 else 0 for n in expected]
+    assert [r.n for r in rows] == expected
 
 
 def test_parse_stays_in_the_jvm_and_in_one_stage(lines_of):

@@ -13,6 +13,7 @@ from hitledger.sinks import json_document, tables
 from hitledger.sinks.scratch import scratch_path
 from hitledger.sources.compact_document import read_compact
 from hitledger.sources.log_files import read_lines
+from tests.conftest import counter_table
 from tests.test_counting import as_dict, log_line
 
 # buckets that quoting, trimming and escaping could damage
@@ -28,17 +29,17 @@ def odd(spark):
     rows = [("dimension:user-agent", agent, i + 1, i) for i, agent in enumerate(ODD_AGENTS)]
     rows += [("dimension:path", f"/{i:03d}", i + 1, 2**62 if i == 0 else i) for i in range(120)]
     rows += [
-        ("dimension:ip", "127.0.0.1", 2, 1234),
-        ("dimension:status", "200", 2, 1234),
-        ("trend:month", "2026-03", 2, 1234),
-        ("trend:day", "2026-03-13", 2, 1234),
-        ("trend:hour", "2026-03-13 10:00", 1, 234),
-        ("trend:hour", "2026-03-13 09:00", 1, 1000),
-        ("meta:total", "all", 2, 1234),
-        ("meta:parse_errors", "all", 1, 0),
+        ("dimension:ip", "fe80::9", 11, 2**70),
+        ("dimension:status", "503", 11, 2**70),
+        ("trend:month", "1999-12", 11, 2**70),
+        ("trend:day", "1999-12-31", 11, 2**70),
+        ("trend:hour", "1999-12-31 22:00", 4, 6),
+        ("trend:hour", "1999-12-31 03:00", 7, 2**70 - 6),
+        ("meta:total", "all", 11, 2**70),
+        ("meta:parse_errors", "all", 5, 0),
         ("meta:files", "all", 7, 0),
     ]
-    return spark.createDataFrame(rows, names.COUNTER_SCHEMA).repartition(4)
+    return counter_table(spark, rows).repartition(4)
 
 
 def part_files(folder, pattern="part-*"):
@@ -97,7 +98,7 @@ def test_csv_is_read_alike_by_others(odd, tmp_path):
     sections = [r[0] for r in rows]
     assert list(dict.fromkeys(sections)) == list(tables.EXPORT_ORDER)
     hours = [r[1] for r in rows if r[0] == "trend:hour"]
-    assert hours == ["2026-03-13 09:00", "2026-03-13 10:00"]
+    assert hours == ["1999-12-31 03:00", "1999-12-31 22:00"]
 
 
 def test_csv_text(odd, tmp_path):
@@ -107,8 +108,8 @@ def test_csv_text(odd, tmp_path):
     text = part.read_bytes().decode()
     for line in (
         "kind,bucket,visits,traffic_bytes",
-        "dimension:ip,127.0.0.1,2,1234",
-        "trend:day,2026-03-13,2,1234",
+        f"dimension:ip,fe80::9,11,{2**70}",
+        f"trend:day,1999-12-31,11,{2**70}",
         "dimension:user-agent,,1,0",
         'dimension:user-agent,"a,b",2,1',
         'dimension:user-agent,"q""uote",3,2',
@@ -133,11 +134,11 @@ def test_json_document_round_trip(spark, odd, tmp_path):
     document = json.loads(text)
     assert document["files_count"] == 7
     aggregates = document["aggregates"]
-    assert [aggregates[k] for k in json_document.SCALARS] == [2, 1234, 1]
+    assert [aggregates[k] for k in json_document.SCALARS] == [11, 2**70, 5]
     assert list(aggregates) == [*json_document.SCALARS, *json_document.MAPS]
     assert aggregates["user_agent"][""] == {"visits": 1, "traffic_bytes": 0}
     assert set(aggregates["user_agent"]) == set(ODD_AGENTS)
-    assert aggregates["by_day"] == {"2026-03-13": {"visits": 2, "traffic_bytes": 1234}}
+    assert aggregates["by_day"] == {"1999-12-31": {"visits": 11, "traffic_bytes": 2**70}}
     assert as_dict(load_counters(spark, folder)) == as_dict(odd)
 
     single = tmp_path / "single.json"
@@ -155,8 +156,8 @@ def compact(odd, spark, tmp_path):
     expected = as_dict(odd)
     for (kind, bucket), (visits, traffic) in expected.items():
         if kind in kinds:
-            maps[kinds[kind]][bucket] = {"visits": visits, "traffic_bytes": traffic}
-    scalars = {"total_visits": 2, "total_traffic_bytes": 1234, "parse_errors": 1}
+            maps[kinds[kind]][bucket] = {"visits": visits, "traffic_bytes": int(traffic)}
+    scalars = {"total_visits": 11, "total_traffic_bytes": 2**70, "parse_errors": 5}
     return tmp_path / "compact.json", {"files_count": 7, "aggregates": {**scalars, **maps}}
 
 
@@ -174,7 +175,6 @@ def in_parallel(spark, path):
 def test_compact_document_is_read_in_parallel(spark, odd, compact):
     path, document = compact
     agents = document["aggregates"]["user_agent"]
-    del agents["},"]  # the one name that hides a cut
     for tricky in ("visits", "ip", "by_day", 'x":{"visits":1', '},"', "}", '\\"', "},x"):
         agents[tricky] = {"visits": 5, "traffic_bytes": 6}
     # a map may begin with a bucket named like a field
@@ -187,13 +187,15 @@ def test_compact_document_is_read_in_parallel(spark, odd, compact):
     try:
         assert spark.read.option("lineSep", '},"').text(str(path)).rdd.getNumPartitions() > 3
         assert in_parallel(spark, path) == expected
+        rows = read_compact(spark, str(path), json_document.MAPS)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # splits differ from here on
+        assert as_dict(rows) == expected
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_empty_maps_of_a_compact_document(spark, compact):
     path, document = compact
-    del document["aggregates"]["user_agent"]["},"]
     for empty in (["ip"], ["path", "user_agent"], ["by_month"], list(json_document.MAPS)):
         for name in empty:
             document["aggregates"][name] = {}
@@ -205,14 +207,10 @@ def test_empty_maps_of_a_compact_document(spark, compact):
 def test_other_texts_are_left_to_the_whole_reader(spark, odd, compact):
     path, document = compact
     text = write_compact(path, document)
-    assert in_parallel(spark, path) is None  # a bucket name ends in the cut
-    assert as_dict(json_document.load_document(spark, str(path))) == as_dict(odd)
-    del document["aggregates"]["user_agent"]["},"]
-    text = write_compact(path, document)
-    assert in_parallel(spark, path) is not None
+    assert in_parallel(spark, path) == as_dict(odd)  # a bucket name ends in the cut
     broken = [text[:-n] for n in (1, 2, 3, 4, 5, 40, len(text) // 2)]
-    broken += [text + text, text.replace('"by_day"', '"by_week"'), text.replace("1234", "-1", 1)]
-    broken += [text.replace(":1234", f":{2**63}", 1), json.dumps(document), "", "}"]
+    broken += [text + text, text.replace('"by_day"', '"by_week"'), text.replace(str(2**70), "-1", 1)]
+    broken += [text.replace(f":{2**70}", f":{10**38}", 1), json.dumps(document), "", "}"]
     for changed in broken:
         path.write_text(changed, encoding="utf-8")
         assert in_parallel(spark, path) is None, changed[-50:]
@@ -247,7 +245,7 @@ def test_anything_but_a_document_is_an_error(spark, tmp_path, text):
 
 
 def test_missing_database_is_an_error(spark, tmp_path):
-    with pytest.raises(FileNotFoundError, match="Unable to open database file"):
+    with pytest.raises(FileNotFoundError, match="there is no snapshot"):
         load_counters(spark, str(tmp_path / "absent"))
 
 
@@ -276,7 +274,7 @@ def test_analyze_saves_exports_and_answers(spark, logs, tmp_path):
     assert [(r.key, r.visits) for r in ledger.rows("path").collect()] == [("/a", 2)]
     assert ledger.all_rows().count() == 4
     assert [r.label for r in ledger.bars("ip").collect()] == ["1.1.1.1"]
-    assert [r.bucket for r in ledger.series().collect()] == ["2026-03-13"]
+    assert [r.bucket for r in ledger.series().collect()] == ["2024-02-28"]
     assert [r.x for r in ledger.trend("month").collect()] == [0]
     assert ledger.page("status", 0, 5).count() == 1
     assert tables.read_export(spark, export).where("kind = 'dimension:path'").count() == 2
@@ -296,7 +294,7 @@ def test_analyze_saves_exports_and_answers(spark, logs, tmp_path):
 def test_analyze_checks_its_input_before_reading(spark, logs, tmp_path):
     with pytest.raises(FileNotFoundError):
         analyze(spark, [str(tmp_path)])
-    with pytest.raises(ValueError, match="--group-ua-regex"):
+    with pytest.raises(ValueError, match="group_ua_regex"):
         analyze(spark, [str(logs)], group_ua_regex="(")
     with pytest.raises(ValueError, match="sort_by"):
         analyze(spark, [str(logs)], sort_by="bytes")
