@@ -20,10 +20,18 @@ from hitledger import GroupingRules, GroupRule, names
 from hitledger.functions import line_fields as lf
 from hitledger.functions.display import human_bytes
 from hitledger.operators import counting, parsing, ranking
-from hitledger.plans.event_logs import event_lines, event_requests, huge_lines, page_lines
+from hitledger.plans.event_logs import (
+    event_lines,
+    event_requests,
+    huge_lines,
+    odd_lines,
+    page_lines,
+    written_logs,
+)
+from hitledger.plans.ledger import analyze
 from hitledger.sinks import json_document, tables
 from hitledger.sinks.scratch import scratch_path
-from hitledger.sources.log_files import read_lines
+from hitledger.sources.log_files import read_lines, resolve_inputs
 from oracle_queries import ORACLE_SQL
 
 try:  # the subpackage and the pipeline can be absent, and nothing else may be
@@ -255,6 +263,42 @@ def scan_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_lines(read_lines(spark, [path]))
 
 
+def several_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders with decoys in them, one of them named twice."""
+    logs = written_logs(spark, sf_dir, scratch_path(spark, "logs"))
+    files = resolve_inputs(spark, [logs["first"], logs["second"], logs["second"]])
+    return counting.count_lines(read_lines(spark, files))
+
+
+def carriage_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log whose lines end in CR LF."""
+    path = scratch_path(spark, "log")
+    event_lines(spark, sf_dir).select("value").write.text(path, lineSep="\r\n")
+    return counting.count_lines(read_lines(spark, [path]))
+
+
+def undecodable_and_bare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that are no UTF-8 make a reject; a missing request or agent has its default."""
+    path = scratch_path(spark, "log")
+    odd_lines(spark, sf_dir).select("value").write.text(path, lineSep="\n")
+    return counting.count_lines(read_lines(spark, [path], invalid_utf8="reject"))
+
+
+def save_and_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run that saves and exports, twice over the same targets; what the export holds."""
+    logs = written_logs(spark, sf_dir, scratch_path(spark, "logs"))
+    db, export = scratch_path(spark, "db"), scratch_path(spark, "csv")
+    for folder in ("first", "second"):
+        analyze(spark, [logs[folder]], save_db=db, export_csv=export, mode="overwrite")
+    saved = analyze(spark, load_db=db).counters.where(F.col("kind") == names.TOTAL)
+    return tables.read_export(spark, export).unionByName(saved)
+
+
+def bars_by_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counters = _counters(spark, sf_dir, IP, names.TOTAL)
+    return ranking.bar_series(counters, "ip", "visits", 20)
+
+
 def _with_long_bytes(query: Query) -> Query:
     """Byte counts as BIGINT, which the checked tables fit; larger ones are compared as text."""
 
@@ -326,6 +370,11 @@ def queries() -> dict[str, Query]:
         "snapshot_roundtrip": snapshot_roundtrip,
         "json_roundtrip": json_roundtrip,
         "scan_log_files": scan_log_files,
+        "several_inputs": several_inputs,
+        "carriage_returns": carriage_returns,
+        "undecodable_and_bare_lines": undecodable_and_bare_lines,
+        "save_and_export": save_and_export,
+        "bars_by_visits": bars_by_visits,
         "huge_byte_counts": huge_byte_counts,
         "human_bytes_of_huge_sums": human_bytes_of_huge_sums,
     }

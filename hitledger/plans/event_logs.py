@@ -17,6 +17,8 @@ JUNK_LINE = 97
 UNKNOWN_MONTH = 101
 TAB_SEPARATED = 89
 NO_BYTE_COUNT = 13
+NO_REQUEST = 7
+NO_TEXT = 11
 
 
 def _every(step: int) -> Column:
@@ -95,6 +97,44 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", line.alias("value"))
 
 
+def written_logs(spark: SparkSession, sf_dir: str, folder: str, line_end: str = "\n") -> dict[str, str]:
+    """The event log as files below a new folder: name of each subfolder -> its path.
+
+    Events go by their number modulo 3 to the folders ``first``, ``second`` and ``decoy``. The files
+    of the first two are named like logs; those of the decoy are not, and the first has one as well.
+    """
+    lines = event_lines(spark, sf_dir)
+    paths = {}
+    for part, name in enumerate(("first", "second", "decoy")):
+        own = lines.where(F.col("event_id") % 3 == part).select("value")
+        paths[name] = f"{folder}/{name}"
+        own.write.text(paths[name], lineSep=line_end)
+        _name_files(spark, paths[name], "access.log" if name != "decoy" else "error.log")
+    lines.where("event_id < 0").select("value").write.text(f"{paths['first']}/access.log.d")
+    return paths
+
+
+def _name_files(spark: SparkSession, folder: str, prefix: str) -> None:
+    """Renames Spark's files to prefix-number; there are as many as the writing job had tasks."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for number, entry in enumerate(files.listStatus(root)):
+        name = entry.getPath().getName()
+        if name.startswith("part-"):
+            files.rename(entry.getPath(), spark._jvm.org.apache.hadoop.fs.Path(root, f"{prefix}-{number}"))
+
+
+def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event lines, of which some have no request and no agent, and some a byte that is no UTF-8."""
+    lines = event_lines(spark, sf_dir)
+    bare = F.regexp_replace("value", '"GET [^"]*"', '""')
+    bare = F.regexp_replace(bare, ' "ua/[0-9]+"$', "")
+    broken = F.concat(F.col("value").cast("binary"), F.lit(b"\xff")).cast("string")
+    return lines.select(
+        "event_id", F.when(_every(NO_REQUEST), bare).when(_every(NO_TEXT), broken).otherwise(F.col("value")).alias("value")
+    )
+
+
 def huge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line per event with a byte count around 2^63 and 2^64; the status tells which kind."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

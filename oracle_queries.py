@@ -40,7 +40,7 @@ def _count(kind: str, bucket: str) -> str:
     )
 
 
-def _counters(ip="ip", path="path", user_agent="user_agent") -> str:
+def _counters(ip="ip", path="path", user_agent="user_agent", log=None) -> str:
     parts = [
         _count("dimension:ip", ip),
         _count("dimension:path", path),
@@ -53,7 +53,7 @@ def _counters(ip="ip", path="path", user_agent="user_agent") -> str:
         "SELECT 'meta:parse_errors' AS kind, 'all' AS bucket, count(*) AS visits, "
         "CAST(0 AS BIGINT) AS traffic_bytes FROM log WHERE is_junk HAVING count(*) > 0",
     ]
-    return _LOG + ", counters AS (" + " UNION ALL ".join(parts) + ")\n"
+    return (log or _LOG) + ", counters AS (" + " UNION ALL ".join(parts) + ")\n"
 
 
 _COUNTERS = _counters()
@@ -170,7 +170,33 @@ WITH rec AS (
 )
 """
 
+# The second third of the events is read twice, the last third is a decoy.
+_TWICE = _LOG.replace("FROM events", "FROM (SELECT * FROM events WHERE event_id % 3 < 2 UNION ALL SELECT * FROM events WHERE event_id % 3 = 1)")
+_SECOND = _LOG.replace("FROM events", "FROM events WHERE event_id % 3 = 1")
+_ODD = (
+    _LOG.replace("event_id % 97 = 0 AS is_junk", "event_id % 97 = 0 OR (event_id % 11 = 0 AND event_id % 7 <> 0) AS is_junk")
+    .replace("json_extract_string(props, '$.k')\n            AS path", "json_extract_string(props, '$.k')\n            AS path_0")
+    .replace("(user_id % 7) AS user_agent", "(user_id % 7) AS user_agent_0")
+    .replace("rec AS (SELECT * FROM log WHERE NOT is_junk)", """
+rec AS (
+    SELECT *, CASE WHEN event_id % 7 = 0 THEN '-' ELSE path_0 END AS path,
+        CASE WHEN event_id % 7 = 0 AND event_id % 89 <> 0 THEN '-' ELSE user_agent_0 END AS user_agent
+    FROM log WHERE NOT is_junk
+)""")
+)
+
 ORACLE_SQL = {
+    "several_inputs": _counters(log=_TWICE) + "SELECT * FROM counters",
+    "carriage_returns": _COUNTERS + "SELECT * FROM counters",
+    "undecodable_and_bare_lines": _counters(log=_ODD) + "SELECT * FROM counters",
+    "save_and_export": _counters(log=_SECOND) + """
+SELECT * FROM counters WHERE kind <> 'meta:parse_errors'
+""",
+    "bars_by_visits": _LOG + f", {_ranked('ip', 'visits')}" + """
+SELECT rank, CASE WHEN length(key) > 14 THEN substr(key, 1, 13) || '~' ELSE key END AS label,
+    visits AS value, CAST(visits AS VARCHAR) AS value_text
+FROM ranked WHERE rank <= 20
+""",
     "huge_byte_counts": _HUGE + """
 SELECT status_code AS bucket, count(*) AS visits, CAST(sum(traffic_bytes) AS VARCHAR) AS traffic_bytes
 FROM rec GROUP BY ALL
