@@ -52,9 +52,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 IP, PATH, AGENT, STATUS = names.DIMENSION_KINDS.values()
 
 RULES = GroupingRules(
-    ip=GroupRule(r"^(\d+\.\d+\.\d+)\.\d+$", "$1.0/24"),
-    path=GroupRule(r"^(/[^/?]+).*$", "$1"),
-    user_agent=GroupRule(r"/\d+$", ""),
+    ip=GroupRule(r"^10\.0\.(\d+)\.\d*(\d)$", "$1-*$2"),
+    path=GroupRule(r"^/([^/]+)/\d*(\d)\?.*$", "${1}#$2"),
+    user_agent=GroupRule(r"^ua/([0-2])$", "early $1"),
 )
 STRIP_QUERY = GroupingRules(path=GroupRule(r"\?.*$", ""))
 URL_HOST = GroupingRules(path=GroupRule(r"^(?P<scheme>\w+)://(?P<host>[^/?#]+).*$", "${host}"))
@@ -178,7 +178,7 @@ def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pct_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first segments of all paths with their shares of everything."""
+    """Groups of paths with their shares of everything."""
     counters = _counters(spark, sf_dir, PATH, names.TOTAL, rules=RULES)
     return ranking.top_rows(counters, "path", "visits", 100)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hitledger import names
 from hitledger.functions.display import human_bytes, percent_text, trend_label, truncate_label
 from hitledger.operators.counting import date_series
+from hitledger.sinks import tables
 
 
 _METRICS = ("key", "visits", "traffic_bytes", "visit_pct", "traffic_pct")
@@ -96,32 +97,13 @@ def top_rows_each(
 def top_rows_all(
     counters: DataFrame, sort_by: str = "visits", top: int = names.DEFAULT_TOP
 ) -> DataFrame:
-    """The same in one pass, for counters that are still to be computed.
+    """The same for counters that are still to be computed, whatever ``top`` is.
 
-    Spark cuts each task's rows to ``top`` per dimension before the window's shuffle, up to a
-    limit set in the session. Above that limit a window would take a whole dimension to one task,
-    so the dimensions are ranked one by one.
+    They are computed once, into the shared folder, and ranked from there; so the input is read
+    once, and no window ever takes a whole dimension to one task.
     """
-    limit = counters.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
-    if top > int(limit):
-        return top_rows_each(counters, sort_by, top)
-
-    by_kind = Window.partitionBy("kind").orderBy(*_row_order(sort_by))
-    best = (
-        counters.where(F.col("kind").isin(*names.DIMENSION_KINDS.values(), names.TOTAL))
-        .withColumn("rank", F.row_number().over(by_kind))
-        # the totals row is alone in its kind; it must survive a top of 0 as well
-        .where(F.col("rank") <= max(top, 1))
-    )
-    dimension_of = F.create_map(
-        *(F.lit(x) for pair in names.DIMENSION_KINDS.items() for x in reversed(pair))
-    )
-    return (
-        _with_shares(best)
-        .where(F.col("rank") <= top)
-        .withColumn("dimension", dimension_of[F.col("kind")])
-        .select(*_RANKED_COLUMNS)
-    )
+    kinds = [*names.DIMENSION_KINDS.values(), names.TOTAL]
+    return top_rows_each(tables.materialize(counters.where(F.col("kind").isin(kinds))), sort_by, top)
 
 
 def page_of_rows(

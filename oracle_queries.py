@@ -12,12 +12,13 @@ WITH log AS (
         event_id,
         event_id % 97 = 0 AS is_junk,
         '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS ip,
-        '10.0.' || (user_id // 256) || '.0/24' AS subnet,
+        (user_id // 256) || '-*' || (user_id % 256 % 10) AS ip_group,
         '/' || event_type || '/' || (event_id % 50) || '?k=' || json_extract_string(props, '$.k')
             AS path,
         '/' || event_type || '/' || (event_id % 50) AS path_only,
-        '/' || event_type AS segment,
+        event_type || '#' || (event_id % 50 % 10) AS path_group,
         'ua/' || (user_id % 7) AS user_agent,
+        CASE WHEN user_id % 7 <= 2 THEN 'early ' || (user_id % 7) ELSE 'ua/' || (user_id % 7) END AS agent_group,
         CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS status_code,
         CASE WHEN event_id % 13 = 0 THEN 0 ELSE CAST(floor(value * 100) AS BIGINT) END
             AS traffic_bytes,
@@ -235,10 +236,10 @@ SELECT event_id, CASE WHEN NOT is_junk THEN hour END AS hour,
     CASE WHEN NOT is_junk THEN day END AS day, CASE WHEN NOT is_junk THEN month END AS month
 FROM log
 """,
-    "group_ip_subnet": _dimension("subnet"),
-    "group_path_first_segment": _dimension("segment"),
+    "group_ip_subnet": _dimension("ip_group"),
+    "group_path_first_segment": _dimension("path_group"),
     "group_path_strip_query": _dimension("path_only"),
-    "group_user_agent": _dimension("'ua'"),
+    "group_user_agent": _dimension("agent_group"),
     "group_page_url_host": _page_groups(
         r"coalesce(nullif(regexp_extract(path, '^\w+://([^/?#]+)', 1), ''), path)"
     ),
@@ -257,9 +258,9 @@ FROM log
     "trend_hour": _dimension("hour"),
     "trend_month": _dimension("month"),
     "counter_table": _COUNTERS + "SELECT * FROM counters",
-    "counter_table_grouped": _counters("subnet", "segment", "'ua'") + "SELECT * FROM counters",
+    "counter_table_grouped": _counters("ip_group", "path_group", "agent_group") + "SELECT * FROM counters",
     "snapshot_merge": _COUNTERS + "SELECT * FROM counters",
-    "pct_of_total": _top("segment", "visits", 100),
+    "pct_of_total": _top("path_group", "visits", 100),
     "top_ip_by_visits": _top("ip", "visits"),
     "top_path_by_traffic": _top("path", "traffic"),
     "top_user_agent_by_visits": _top("user_agent", "visits"),
