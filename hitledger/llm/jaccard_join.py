@@ -7,7 +7,7 @@ estimated cost of its candidates: a longer prefix costs more list entries but as
 tokens, which leaves fewer candidates to verify. A pair needs the smaller of its two numbers.
 
 Equal sets are one set from the start. Candidates are not all pairs of a list: first every list
-links its members to its first one; pairs that verify make classes; then the lists give only pairs
+links its members to a few leaders; pairs that verify make classes; then the lists give only pairs
 between different classes, which are counted, filtered and verified. So copies cost linear work,
 and no link between different classes is lost.
 """
@@ -30,6 +30,7 @@ from hitledger.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 MOST_MATCHES = 6
+LEADERS = 8
 VERIFY_COST = 30.0  # of a candidate, in list entries
 CELL_BITS = (16, 26)
 SKETCH_HASHES = 4 << 20
@@ -191,21 +192,31 @@ def _sets(broadcast, mean: float, shingle: int, percent: int):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over entries sorted by token: each later member of a list with the list's first."""
-    token, head = None, None
+    """Over entries sorted by token: members of a list with its first ones.
+
+    The second member meets one, and with each doubling of the list one more, up to LEADERS. So the
+    pairs of a list grow with its length, and members that one leader misses have others.
+    """
+    head, seen = np.zeros((2, 0), np.int64), 0  # first entries of the last list, and its length so far
     for batch in batches:
-        t, s = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        new = np.ones(len(t), bool)
-        new[1:] = t[1:] != t[:-1]
-        new[:1] = t[:1] != token if token is not None else True
-        heads = np.where(new, s, 0)
-        group = np.cumsum(new)
-        first = np.concatenate([[head if head is not None else 0], heads[new]])[group]
-        if len(t):
-            token, head = t[-1], first[-1]
-        more = (s != first) & ~new
-        pairs, n = np.unique(np.sort(np.stack([first[more], s[more]]), 0), axis=1, return_counts=True) if more.any() else (np.zeros((2, 0), np.int64), np.zeros(0))
+        if not len(batch):
+            continue
+        t, s = (np.concatenate([head[k], np.asarray(batch.column(k))]) for k in (0, 1))
+        old, at = head.shape[1], np.arange(len(t))
+        new = np.concatenate([[True], t[1:] != t[:-1]])
+        start = np.maximum.accumulate(np.where(new, at, 0))
+        rank = at - start + np.where((start == 0) & (at >= old), seen - old, 0)
+        leaders = np.minimum(LEADERS, np.frexp(rank.astype(np.float64))[1])  # 0 for the first, 1, 2, 2, 3, ...
+        found = []
+        for j in range(LEADERS):
+            more = (leaders > j) & (at >= old)
+            found.append(np.stack([s[start[more] + j], s[more]]))
+        found = np.sort(np.concatenate(found, 1), 0)
+        found = found[:, found[0] != found[1]]
+        pairs, n = np.unique(found, axis=1, return_counts=True) if found.shape[1] else (found, np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays([longs(pairs[0]), longs(pairs[1]), longs(n)], ["a", "b", "n_shared"])
+        first = int(start[-1])
+        head, seen = np.stack([t[first : first + LEADERS], s[first : first + LEADERS]]), int(rank[-1]) + 1
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +256,40 @@ def _pairs_of_list(n: np.ndarray, c: np.ndarray, percent: int) -> Iterator[tuple
         yield order[rows[x]], order[cols[y]]
 
 
+def _whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Entries sorted by token, in blocks that cut no list."""
+    held: list[dict[str, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append({k: np.asarray(batch.column(k)) for k in names})
+        size += len(batch)
+        if held[0]["token"][0] == held[-1]["token"][-1] or size < PAIR_BLOCK:  # one list so far, or few entries
+            continue
+        rows = {k: np.concatenate([x[k] for x in held]) for k in names}
+        head = int(np.flatnonzero(rows["token"] != rows["token"][-1])[-1]) + 1
+        yield {k: v[:head] for k, v in rows.items()}
+        held, size = [{k: v[head:] for k, v in rows.items()}], size - head
+    if held:
+        yield {k: np.concatenate([x[k] for x in held]) for k in names}
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of lists with members of more than one class."""
+    names = ("token", "sig", "class")
+    for rows in _whole_lists(batches, names):
+        t, c = rows["token"], rows["class"]
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
+        keep = np.repeat(mixed, np.diff(np.append(starts, len(t))))
+        yield pa.RecordBatch.from_arrays([longs(rows[k][keep]) for k in names], list(names))
+
+
 def _between(percent: int):
     """Pairs of each list from different classes that can share enough.
 
-    A set shares no more than its degree, the number of its prefix tokens that any other set has.
+    A set shares no more than its degree, the number of its prefix tokens that other classes have.
     """
 
     def possible(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -286,21 +327,8 @@ def _between(percent: int):
         return pa.RecordBatch.from_arrays([longs(both[0][new]), longs(both[1][new]), longs(n)], ["a", "b", "n_shared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []  # the last list, which may go on
-        size = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append({k: np.asarray(batch.column(k)) for k in PLACED})
-            size += len(batch)
-            if held[0]["token"][0] == held[-1]["token"][-1] or size < PAIR_BLOCK:  # one list so far, or few entries
-                continue
-            rows = {k: np.concatenate([x[k] for x in held]) for k in PLACED}
-            head = int(np.flatnonzero(rows["token"] != rows["token"][-1])[-1]) + 1
-            yield from pairs({k: v[:head] for k, v in rows.items()})
-            held, size = [{k: v[head:] for k, v in rows.items()}], size - head
-        if held:
-            yield from pairs({k: np.concatenate([x[k] for x in held]) for k in PLACED})
+        for rows in _whole_lists(batches, PLACED):
+            yield from pairs(rows)
 
     return run
 
@@ -417,15 +445,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         beyond = F.ceil(n * percent / 100 - 1e-9) - l
         return sized(pairs).where((F.col("n_shared") >= F.least("matches_a", "matches_b")) & (F.col("n_shared") + beyond >= overlap))
 
-    # members that share some of their prefix with the first of its lists: nearly all copies
+    # members that share some of their prefix with a leader of its lists: nearly all copies
     likely = sized(stars).where(F.col("n_shared") * 16 >= F.least("n_a", "n_b"))
     links = _links(docs, likely.select("a", "b"), shingle, percent)
     classes = components(links)
 
+    rooted = about.join(classes.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("class"))
+    placed = listed.join(rooted, "sig").select("token", "sig", "class").repartition(n_parts, "token").sortWithinPartitions("token")
+    mixed = written(placed.mapInArrow(_mixed, "token long, sig long, class long"), "mixed")
     beyond = F.ceil(F.col("n") * percent / 100 - 1e-9) - F.col("matches")
-    rooted = about.join(classes.withColumnRenamed("node", "sig"), "sig", "left").join(degrees, "sig")
-    rooted = rooted.select("sig", F.coalesce("root", "sig").alias("class"), "n", "degree", beyond.alias("beyond"), "last", "matches")
-    placed = listed.join(rooted, "sig").select(*PLACED).repartition(n_parts, "token").sortWithinPartitions("token")
+    known = mixed.groupBy("sig").agg(F.count("*").alias("degree")).join(about, "sig").where("degree >= matches")
+    placed = mixed.join(known.withColumn("beyond", beyond), "sig").select(*PLACED).repartition(n_parts, "token").sortWithinPartitions("token")
     rest = placed.mapInArrow(_between(percent), "a long, b long, n_shared long").groupBy("a", "b").agg(F.sum("n_shared").alias("n_shared"))
     links = links.unionByName(_links(docs, enough(rest).select("a", "b"), shingle, percent))
     classes = components(links).withColumnRenamed("node", "sig")
