@@ -24,7 +24,7 @@ THRESHOLD = 0.7
 POOLED = 0.3  # weight of the pooled covariance
 DIAGONAL = 0.05  # weight of its diagonal
 RIDGE = 1e-3
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 WORD = byte_class((0x21, 0xFF))
 LINE = ~byte_class((0x0A, 0x0A))
@@ -51,7 +51,7 @@ FEATURES = (
 
 
 def _class_numbers() -> np.ndarray:
-    numbers = np.full(256, len(CLASSES), np.int64)
+    numbers = np.full(256, len(CLASSES), np.int32)
     for n, marks in enumerate(CLASSES.values()):
         numbers[marks] = n
     return numbers
@@ -72,7 +72,7 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of FEATURES per text."""
     texts = len(offsets) - 1
     size = np.diff(offsets)
-    text_of = np.repeat(np.arange(texts), size)
+    text_of = np.repeat(np.arange(texts, dtype=np.int32), size)
     width = len(CLASSES) + 1
     counts = np.bincount(text_of * width + _CLASS[raw], minlength=texts * width).reshape(texts, width)
     by = dict(zip([*CLASSES, "other"], counts.T))
