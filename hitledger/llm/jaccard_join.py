@@ -31,12 +31,13 @@ SHINGLE = 5
 PERCENT = 75
 MOST_MATCHES = 6
 LEADERS = 8
+VERIFY_ROWS = 1024
 VERIFY_COST = 30.0  # of a candidate, in list entries
-CELL_BITS = (16, 26)
-SKETCH_HASHES = 4 << 20
+CELL_BITS = (16, 24)
+SKETCH_HASHES = 1 << 20
 BLOCK_CELLS = 1 << 16
 POSTINGS = 1 << 20  # of a partition
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 PAIR_BLOCK = 1 << 20
 
 WORD_BYTES = ~byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -165,7 +166,8 @@ def set_numbers(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _sets(broadcast, mean: float, shingle: int, percent: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.maximum(broadcast.value.read(), 1) - 1
+        table = broadcast.value.read()
+        np.subtract(table, 1, out=table, where=table > 0)
         seen: set[int] = set()
         for batch in batches:
             for a, b, raw, offsets in _blocks(batch, 1):
@@ -344,9 +346,7 @@ def _verifier(shingle: int, percent: int):
         return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate(firsts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (x.slice(i, VERIFY_ROWS) for x in batches for i in range(0, len(x), VERIFY_ROWS)):
             a, b = np.asarray(batch.column(0)), batch.column(1)
             new = np.concatenate([[True], a[1:] != a[:-1]])  # rows are sorted by a
             left, left_first = sets(batch.column(2).filter(pa.array(new)))
