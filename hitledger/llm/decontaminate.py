@@ -23,7 +23,7 @@ from hitledger.llm.byte_words import LOWER, byte_class, ragged, span_hashes, spa
 from hitledger.llm.common import longs, ship, text_bytes, texts_of
 
 WINDOW = 10
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
 SAMPLE = 16
 
