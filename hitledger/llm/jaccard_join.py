@@ -292,6 +292,8 @@ def _between(percent: int):
     """Pairs of each list from different classes that can share enough.
 
     A set shares no more than its degree, the number of its prefix tokens that other classes have.
+    A pair needs the smaller of its two numbers, so a set leaves a list only if its degree is below
+    the smallest number in that list.
     """
 
     def possible(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -304,6 +306,13 @@ def _between(percent: int):
         return np.sort(np.stack([n["sig"][0][keep], n["sig"][1][keep]]), 0)
 
     def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        t = rows["token"]
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        least = np.repeat(np.minimum.reduceat(rows["matches"], starts), np.diff(np.append(starts, len(t))))
+        keep = rows["degree"] >= least
+        if not keep.any():
+            return
+        rows = {k: v[keep] for k, v in rows.items()}
         t, c = rows["token"], rows["class"]
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
@@ -454,7 +463,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = listed.join(rooted, "sig").select("token", "sig", "class").repartition(n_parts, "token").sortWithinPartitions("token")
     mixed = written(placed.mapInArrow(_mixed, "token long, sig long, class long"), "mixed")
     beyond = F.ceil(F.col("n") * percent / 100 - 1e-9) - F.col("matches")
-    known = mixed.groupBy("sig").agg(F.count("*").alias("degree")).join(about, "sig").where("degree >= matches")
+    known = mixed.groupBy("sig").agg(F.count("*").alias("degree")).join(about, "sig")
     placed = mixed.join(known.withColumn("beyond", beyond), "sig").select(*PLACED).repartition(n_parts, "token").sortWithinPartitions("token")
     rest = placed.mapInArrow(_between(percent), "a long, b long, n_shared long").groupBy("a", "b").agg(F.sum("n_shared").alias("n_shared"))
     links = links.unionByName(_links(docs, enough(rest).select("a", "b"), shingle, percent))

@@ -78,6 +78,14 @@ def test_a_class_that_holds_most_rows(make_docs):
     check(make_docs, [" ".join(words)] * 150 + near + [" ".join(words) * 3_000, *variants(2)[:30]])
 
 
+def test_a_text_of_frequent_shingles_and_longer_ones_of_rare_shingles(make_docs):
+    words = [f"c{k}" for k in range(100)]
+    longer = [" ".join(words + [f"n{n}x{k}" for k in range(n)]) for n in (31, 32, 33)]  # 96 of 127, 128, 129 shingles
+    texts = [" ".join(words)] * 1_000 + longer
+    found = {r.doc_id: r.component_id for r in j.near_duplicates(make_docs(texts)).collect()}
+    assert found == {**dict.fromkeys(range(1_002), 0), 1_002: 1_002}
+
+
 def test_no_rows(make_docs):
     assert j.near_duplicates(make_docs([])).count() == 0
     assert j.one_of_each(make_docs([])).count() == 0
