@@ -18,6 +18,7 @@ A byte goes if a string of WIDTH bytes covers it that also starts earlier in the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -38,10 +39,13 @@ STRIDE = WIDTH // 4
 PIECE_BYTES = 2 << 20
 PART_BYTES = 16 << 20
 UNIT_BYTES = 2 << 20
+STEPS = (16, 4, 1)
 SHARDS = 4
 
 BLOCKS = "gram long, block long, key long, doc_id long, copy int, first long, count int"
 BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
+CUTS = "gram long, key long, doc_id long, copy int, first long, count long, bytes binary"
+CUT_NAMES = [x.split()[0] for x in CUTS.split(", ")]
 
 
 class _Powers:
@@ -253,6 +257,52 @@ def equal_windows(blocks: list[bytes], width: int, shards: int = SHARDS) -> tupl
     return block[row[alike]], place[row[alike]], interval[alike]
 
 
+def _cut_blocks(width: int, gram: int, step: int):
+    """Blocks into runs of windows, by the place of the k-gram in them, `step` places together.
+
+    gram becomes a number of these places and of the bytes around the k-gram that all windows with
+    them hold: equal windows agree in it. Equal runs of a batch fold into marks without a gram.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            own, units, wholes, begins, counts, parts = [], [], [], [], [], []
+            for k, text in enumerate(batch.column(5).to_pylist()):
+                raw = np.frombuffer(text, np.uint8)
+                sums = running_hash(raw)
+                place, _ = window_grams(raw, sums, width, gram)
+                group = (place - np.arange(len(place))) // step
+                first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (place[1:] != place[:-1])]))
+                last = np.append(first[1:], len(place))
+                low, place = group[first] * step, place[first]
+                around = hashes_between(sums, place - low, place - np.minimum(low + step - 1, width - gram) + width)
+                units.append(mix(around + mix((low * width + step).astype(np.uint64))))
+                wholes.append(hashes_between(sums, first, last + width - 1))
+                own.append(np.full(len(first), k))
+                begins.append(first)
+                counts.append(last - first)
+                parts += [text[i : j + width - 1] for i, j in zip(first.tolist(), last.tolist())]
+            own, units, wholes, begins, counts = (np.concatenate(x) for x in (own, units, wholes, begins, counts))
+            key, doc, copy, start = (np.asarray(batch.column(k))[own] for k in range(1, 5))
+            start = start + begins
+            order = np.lexsort((start, copy, doc, wholes, units))
+            units, wholes = units[order], wholes[order]
+            again = np.zeros(len(order), bool)
+            again[1:] = (units[1:] == units[:-1]) & (wholes[1:] == wholes[:-1])
+            columns = [pa.array(units.view(np.int64), mask=again), longs(key[order]), longs(doc[order]), pa.array(copy[order], pa.int32()), longs(start[order]), longs(counts[order])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([None if x else parts[i] for i, x in zip(order.tolist(), again.tolist())], pa.binary())], CUT_NAMES)
+
+    return cut
+
+
+def _large_units(sizes: DataFrame) -> DataFrame | None:
+    """Of rows of gram and size, the grams that are too large for a unit."""
+    large = written(sizes.groupBy("gram").agg(F.sum("size").alias("size")).where(F.col("size") > UNIT_BYTES).select("gram"), "large")
+    return None if large.isEmpty() else F.broadcast(large)
+
+
 def _merge_units(width: int):
     def marks(rows: list[tuple]) -> pa.RecordBatch:
         gram, key, doc, copy, first, text = (list(x) for x in zip(*rows))
@@ -338,9 +388,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = written(marked, "blocks")
 
     wanted = marked.where("gram is not null").select("gram", "key", "first", "count")
-    fetched = wanted.join(texts, "key").select("gram", "key", "doc_id", "copy", "first", F.substr(F.col("text").cast("binary"), (F.col("first") + 1).cast("int"), F.col("count") + width - 1).alias("bytes"))
-    merged = fetched.repartition(buckets, "gram").sortWithinPartitions("gram").mapInArrow(_merge_units(width), "key long, first long, count long")
-    marks = marked.where("gram is null").select("key", "first", F.col("count").cast("long").alias("count")).unionByName(merged)
+    marks = [marked.where("gram is null").select("key", "first", F.col("count").cast("long").alias("count"))]
+
+    def fetched(blocks: DataFrame) -> DataFrame:
+        return blocks.join(texts, "key").select("gram", "key", "doc_id", "copy", "first", F.substr(F.col("text").cast("binary"), (F.col("first") + 1).cast("int"), F.col("count") + width - 1).alias("bytes"))
+
+    large = _large_units(wanted.select("gram", (F.col("count") + width - 1).alias("size")))
+    if large is None:
+        units = fetched(wanted)
+    else:
+        units, blocks = fetched(wanted.join(large, "gram", "left_anti")), fetched(wanted.join(large, "gram", "left_semi"))
+        for step in STEPS:
+            cuts = written(blocks.mapInArrow(_cut_blocks(width, min(GRAM, width), step), CUTS), "cuts")
+            marks.append(cuts.where("gram is null").select("key", "first", "count"))
+            cuts = cuts.where("gram is not null").select("gram", "key", "doc_id", "copy", "first", "bytes")
+            if step == 1:  # the windows of a unit are equal
+                place = F.row_number().over(Window.partitionBy("gram").orderBy("doc_id", "copy", "first"))
+                marks.append(cuts.drop("bytes").withColumn("place", place).where("place > 1").select("key", "first", F.lit(1).cast("long").alias("count")))
+                break
+            large = _large_units(cuts.select("gram", F.octet_length("bytes").alias("size")))
+            if large is None:
+                units = units.unionByName(cuts)
+                break
+            units, blocks = units.unionByName(cuts.join(large, "gram", "left_anti")), cuts.join(large, "gram", "left_semi")
+
+    marks.append(units.repartition(buckets, "gram").sortWithinPartitions("gram").mapInArrow(_merge_units(width), "key long, first long, count long"))
+    marks = functools.reduce(DataFrame.unionByName, marks)
     marks = marks.groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("marks"))
     cut = texts.join(marks, "key", "left").select("doc_id", "text", "marks").mapInArrow(
         _cut(width), "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept_sha256 string"

@@ -64,6 +64,44 @@ def test_a_text_that_holds_most_rows(make_docs):
     check(make_docs, [text] * 200 + [text + f" {k}" for k in range(20)] + [words(rng, 3_000)])
 
 
+def test_a_hot_passage_between_different_neighbours_is_cut_into_bounded_units(make_docs, monkeypatch):
+    bound, merge_units = 20_000, r._merge_units
+
+    def bounded(width):
+        merge = merge_units(width)
+
+        def run(batches):
+            batches, size = list(batches), defaultdict(int)
+            for batch in batches:
+                for gram, text in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist()):
+                    size[gram] += len(text)
+            assert max(size.values(), default=0) <= bound, max(size.values())
+            yield from merge(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(r, "UNIT_BYTES", bound)
+    monkeypatch.setattr(r, "_merge_units", bounded)
+    rng = np.random.default_rng(8)
+    passage, sides = words(rng, 16), [words(rng, 14) for _ in range(12)]
+    texts = []
+    for _ in range(700):
+        a, b = (sides[k] for k in rng.integers(0, len(sides), 2))
+        cut_a, cut_b = rng.integers(0, 60, 2)
+        texts.append(words(rng, 4) + a[cut_a:] + passage + b[:cut_b] + words(rng, 14))
+    check(make_docs, texts + [passage + "a" * 300, "a" * 500] + texts[:3])
+
+
+@pytest.mark.parametrize("width", [20, 60, 100])
+def test_units_cut_down_to_windows(make_docs, monkeypatch, width):
+    monkeypatch.setattr(r, "UNIT_BYTES", 150)
+    monkeypatch.setattr(r, "GRAM", min(r.GRAM, width // 2))
+    rng = np.random.default_rng(width)
+    passage = words(rng, 30)
+    texts = [words(rng, 3) + passage[rng.integers(0, 40) :] + words(rng, 5) for _ in range(40)]
+    check(make_docs, texts + ["a" * 300, "ab" * 150, "b" + "a" * 200, None, "", texts[0]], [*range(40), None, None, 3, 4, 5, 3], width=width)
+
+
 def test_no_rows(make_docs):
     assert r.repeated_spans(make_docs([])).count() == 0
 
