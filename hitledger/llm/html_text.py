@@ -3,8 +3,8 @@
 The text of a page falls into blocks, and each block hangs on a path of block elements from the
 root. Per path the page's blocks, characters, punctuation and link characters are added up. The
 ratios of a path are smoothed with those of the paths around it, level by level up to the root;
-length, punctuation, links and what the names on the path mean are fused into one score; and the
-paths within a fixed ratio of the page's best are content.
+length, punctuation, links (inside an article only where names mark lists of links) and what the
+names on the path mean are fused into one score; and the paths within a fixed ratio of the page's best are content.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ NOISE_WORDS = frozenset(
     " complementary skip hidden form feedback".split()
 )
 OUTSIDE_WORDS = frozenset("header head masthead banner top".split())  # only outside the article
+LINK_WORDS = frozenset("links linklist toc tags tag categories category topics archive archives more next prev previous".split())  # inside it
 ARTICLE_WORDS = frozenset("article articlebody main maincontent".split())
 #: What a start tag closes, if it is open: element -> elements that stop the search.
 CLOSES = {
@@ -183,7 +184,8 @@ def _scores(blocks: list[tuple[tuple[str, ...], bool, str, int]]) -> dict[tuple[
                 length, punctuation, total = length + weight * chars / n, punctuation + weight * marks / n, total + weight
             weight *= NEAR
         n, chars, _, links = sums[(*path, "")]
-        apart = max(0.05, 1 - links / max(chars, 1))
+        lists_links = not article or any(LINK_WORDS.intersection(name.split(".")) for name in path)
+        apart = max(0.05, 1 - links / max(chars, 1)) if lists_links else 1.0
         scores[path, article] = (length / total * (1 + punctuation / total)) ** 0.5 * apart * (INSIDE_ARTICLE if article else 1.0)
     return scores
 

@@ -26,6 +26,16 @@ def test_page_without_an_article_element():
     assert main_text(page).split("\n") == [f"Sentence number {k}, which is long enough, has commas, and ends." for k in range(6)]
 
 
+@pytest.mark.parametrize("count", [1, 3, 12])
+def test_linked_sources_of_an_article(count):
+    said = [f"Paragraph {k}, which goes on" + ", and on, with words" * 24 + "." for k in range(5)]
+    sources = [f"Journal of Things volume {k}" for k in range(count)]
+    items = "".join(f"<li><a href='/{k}'>{x}</a></li>" for k, x in enumerate(sources))
+    tags = "<ul class='tags'>" + "<li><a href='/t'>tag</a></li>" * 8 + "</ul>"
+    page = f"<body><article>{''.join(f'<p>{x}</p>' for x in said)}<ul>{items}</ul><div>{tags}</div></article></body>"
+    assert main_text(page).split("\n") == said + sources
+
+
 def test_references_and_white_space():
     assert main_text("<article><p>&lt;b&gt; &eacute;&#233;&#x1F642;&nbsp;\t x &am</p></article>") == "<b> éé🙂 x &am"
 
