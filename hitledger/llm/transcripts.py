@@ -7,7 +7,8 @@ of roles are counted from turns with known roles; how often markers are right or
 A conversation can be of any length. It is cut into segments of turns, and each segment is one
 max-plus matrix: the best score from any state before it to any state at its end. The matrices of a
 conversation are chained, which gives the state at each cut, and then every segment is decoded by
-Viterbi on its own between its two states. That is the best path of the whole conversation.
+Viterbi on its own between its two states. That is the best path of the whole conversation. Parts of
+turns at the cuts are joined before they are rendered.
 """
 
 from __future__ import annotations
@@ -156,8 +157,9 @@ def _matrices(model: RoleModel):
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over segments sorted by conversation: the states before and at the end of each."""
-    names = ["conv_id", "segment", "entry", "last"]
+    """Over segments sorted by conversation: the states before and at the end of each, and whether
+    more segments follow."""
+    names = ["conv_id", "segment", "entry", "last", "more"]
 
     def conversation(conv: int | None, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         alphas, score = [], None
@@ -167,9 +169,9 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = int(alphas[-1].argmax()), []
         for k in range(len(held) - 1, -1, -1):
             entry = int((alphas[k - 1] + held[k][1][6:].reshape(6, 6)[:, at]).argmax()) if k else -1
-            rows.append((conv, held[k][0], entry, at))
+            rows.append((conv, held[k][0], entry, at, k + 1 < len(held)))
             at = entry
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names)
 
     held, last = [], None
     for batch in batches:
@@ -184,6 +186,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 TURNS = "conv_id long, turn long, continues boolean, role string, n_lines long, rendered string"
+PARTS = "conv_id long, segment long, at long, starts boolean, turn long, continues boolean, role string, n_lines long, body string"
 
 
 def render(role: str, text: str) -> str:
@@ -191,32 +194,55 @@ def render(role: str, text: str) -> str:
     return f"<|im_start|>{role}\n{text}<|im_end|>\n"
 
 
-def _decode(model: RoleModel):
+def _decode(model: RoleModel, at_cuts: bool):
+    """The turns that lie within segments, or the parts of turns that a cut can divide."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for conv, turns, entry, last in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for conv, segment, turns, entry, last, more in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 lines, at = _lines(turns), 0
                 states = model.decode([x[:2] for x in lines], entry, last)
                 begins = [k for k, s in enumerate(states) if STATES[s][1] or k == 0]
                 for at, end in zip(begins, [*begins[1:], len(lines)]):
                     role, new = STATES[states[at]]
-                    text = "\n".join(x[2].rstrip() for x in lines[at:end]).strip()
-                    out.append((conv, lines[at][3], not new, ROLES[role], end - at, render(ROLES[role], text)))
-            names = [x.split()[0] for x in TURNS.split(", ")]
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.string())
-            columns = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names)
+                    starts = new or at > 0 or entry < 0
+                    if at_cuts != (not starts or (more and end == len(lines))):
+                        continue
+                    body = "\n".join(x[2].rstrip() for x in lines[at:end])
+                    if at_cuts:
+                        out.append((conv, segment, at, starts, lines[at][3], not new, ROLES[role], end - at, body))
+                    else:
+                        out.append((conv, lines[at][3], not new, ROLES[role], end - at, render(ROLES[role], body.strip())))
+            yield _batch(out, PARTS if at_cuts else TURNS)
 
     return run
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    of = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, of[k]) for x, k in zip(columns, kinds)], list(names))
+
+
+def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over the parts of each turn in order: whole turns."""
+    for batch in batches:
+        out = []
+        for conv, parts in zip(*(batch.column(k).to_pylist() for k in range(2))):
+            head = parts[0]
+            body = "\n".join(x["body"] for x in parts).strip()
+            out.append((conv, head["turn"], head["continues"], head["role"], sum(x["n_lines"] for x in parts), render(head["role"], body)))
+        yield _batch(out, TURNS)
+
+
 def parse_transcripts(parts: DataFrame, model: RoleModel, segment: int = SEGMENT) -> DataFrame:
     """One row per recovered turn: conv_id, turn, continues, role, n_lines, rendered.
 
     parts has conv_id, turn (the order) and text, of any number of lines, without roles. turn is
-    that of the first line. A turn that goes on over a cut between segments has one row for each,
-    and continues marks the later ones. Null texts are one empty line; null turns come first, ties
+    that of the first line. A turn that goes on over cuts between segments is one row; continues
+    marks a conversation whose first line goes on with a turn from before it. Null texts are one empty line; null turns come first, ties
     by text; null conversations are one conversation. Closing marks and markers of known speakers
     are not part of the text.
     """
@@ -226,9 +252,20 @@ def parse_transcripts(parts: DataFrame, model: RoleModel, segment: int = SEGMENT
     cut = rows.groupBy("conv_id", number.alias("segment")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
     cut = written(cut, "segments")
     matrices = cut.mapInArrow(_matrices(model), "conv_id long, segment long, scores array<double>")
-    states = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInArrow(_chain, "conv_id long, segment long, entry int, last int")
-    joined = cut.join(states.withColumnRenamed("conv_id", "c").withColumnRenamed("segment", "s"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s")))
-    return joined.select("conv_id", "turns", "entry", "last").mapInArrow(_decode(model), TURNS)
+    states = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInArrow(_chain, "conv_id long, segment long, entry int, last int, more boolean")
+    states = written(states.withColumnRenamed("conv_id", "c").withColumnRenamed("segment", "s"), "states")
+
+    def decoded(states: DataFrame, at_cuts: bool) -> DataFrame:
+        joined = cut.join(states, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s")))
+        return joined.select("conv_id", "segment", "turns", "entry", "last", "more").mapInArrow(_decode(model, at_cuts), PARTS if at_cuts else TURNS)
+
+    whole, divided = decoded(states, False), states.where("more or entry >= 0")
+    if divided.isEmpty():
+        return whole
+    number = F.sum(F.col("starts").cast("long")).over(Window.partitionBy("conv_id").orderBy("segment", "at"))
+    part = F.struct("segment", "at", "turn", "continues", "role", "n_lines", "body")
+    turns = decoded(divided, True).withColumn("number", number).groupBy("conv_id", "number").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return whole.unionByName(turns.select("conv_id", "parts").mapInArrow(_join_parts, TURNS))
 
 
 def marked_parts(turns: DataFrame) -> DataFrame:

@@ -47,6 +47,14 @@ def test_segment_length_changes_nothing(turns, model):
     assert whole == cut
 
 
+def test_turns_over_cuts_are_whole(spark, turns, model):
+    long = [(10**6, k, ("User: " if k % 9 == 0 else "Assistant: " if k % 9 == 4 else "") + f" line {k}\n  and more \n") for k in range(40)]
+    long += [(None, k, f"  line {k} ") for k in range(5)]
+    parts = t.marked_parts(turns).unionByName(spark.createDataFrame(long, "conv_id long, turn long, text string"))
+    whole, *cut = (sorted(map(tuple, t.parse_transcripts(parts, model, segment=n).collect()), key=str) for n in (1000, 7, 2, 1))
+    assert all(x == whole for x in cut)
+
+
 def test_markers():
     for line, role, text in [
         ("User: hi", 1, "hi"), ("### Assistant:", 2, ""), ("<|im_start|>system", 0, ""), ("**Human:** yes", 1, "yes"), ("A: it is", 2, "it is"),
