@@ -479,13 +479,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the smallest id of each class, with all their columns.
+    """Of each class the row of docs with the smallest id, with all its columns.
 
-    Rows that share an id are one document, the first by text; a null id stands by its text.
+    Rows of one id with different texts are judged by their own classes. Of rows of a class that
+    share that id the first by text stays; null ids come last. Rows are told apart by the 64-bit
+    hash of id and text, and equal ones are one.
     """
-    name = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)))
-    classes = near_duplicates(docs.select(name.alias("doc_id"), F.col(text_col).alias("text")))
-    stays = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_class")).distinct()
-    rows = docs.withColumn("_class", name).join(stays, "_class", "left_semi")
+    own_id, row = F.col(id_col).cast("long"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    classes = near_duplicates(docs.select(row.alias("doc_id"), F.col(text_col).alias("text")))
+    classes = classes.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class")).distinct()
+    members = written(docs.select(row.alias("_row"), own_id.alias("_id")).distinct().join(classes, "_row"), "members")
+    least = members.groupBy("_class").agg(F.min("_id").alias("_least"))
+    stays = members.join(least, "_class").where(F.col("_id").eqNullSafe(F.col("_least"))).select("_row", "_class")
+    rows = docs.withColumn("_row", row).join(stays, "_row")
     first = F.row_number().over(Window.partitionBy("_class").orderBy(text_col))
     return rows.withColumn("_first", first).where("_first = 1").select(*docs.columns)

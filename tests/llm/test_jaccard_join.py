@@ -100,6 +100,15 @@ def test_one_row_of_each_class_stays(make_docs):
     assert got == sorted([(4, texts[0]), (9, "other words"), (7, None), (None, None), (None, "null id here")], key=str)
 
 
+def test_texts_of_one_id_are_judged_by_their_own_classes(make_docs):
+    clean, copied, null = "a clean text of one id", "the second text of that id", "only null ids have this"
+    texts, ids = [clean, copied, copied, copied, null, null.upper(), clean], [1, 1, 2, None, None, None, 0]
+    kept = sorted(((r.doc_id, r.text) for r in j.one_of_each(make_docs(texts, ids)).collect()), key=str)
+    assert kept == sorted([(0, clean), (1, copied), (None, null.upper())], key=str)
+    kept = j.one_of_each(make_docs([clean, copied], [1, 1])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, clean), (1, copied)]
+
+
 def test_costly_tokens_lengthen_the_prefix():
     cheap, dear = np.zeros(100), np.concatenate([np.zeros(20), np.full(80, 40.0)])
     assert j.prefix_matches(cheap, 2.0, 75) == 1
