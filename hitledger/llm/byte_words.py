@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -84,3 +85,26 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     ahead = np.cumsum(lengths) - lengths
     return np.repeat(starts - ahead, lengths) + np.arange(total)
+
+
+def pieces(raw: np.ndarray, is_word: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Cuts bytes into pieces of about `size` that divide no word, so that long texts need little memory."""
+    a = 0
+    while a < len(raw):
+        b = min(a + size, len(raw))
+        while b < len(raw) and is_word[raw[b]]:
+            gap = np.flatnonzero(~is_word[raw[b : b + size]])
+            b = b + int(gap[0]) if len(gap) else min(b + size, len(raw))
+        yield a, b
+        a = b
+
+
+def spans_of_pieces(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, size: int):
+    """Of each piece that has words: its lower-cased bytes, where words begin and end in it, their texts."""
+    edges = np.unique(offsets)
+    for a, b in pieces(raw, is_word, size):
+        piece = LOWER[raw[a:b]]
+        inside = edges[(edges > a) & (edges < b)] - a
+        starts, ends, _ = spans(piece, np.concatenate([[0], inside, [b - a]]), is_word)
+        if len(starts):
+            yield piece, starts, ends, np.searchsorted(offsets, starts + a, "right") - 1

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hitledger.sinks.scratch import scratch_path
 
-ROWS_PER_RANGE = 1 << 20
+ROWS_PER_RANGE = 1 << 18
 MOST_RANGES = 20_000
 _PLACE_BITS = 33  # of monotonically_increasing_id: the rest is the number of the partition
 
