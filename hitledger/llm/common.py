@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -54,9 +55,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MOST_PARTS = 50_000  # of one exchange or bucketed table, for which Spark allows 100,000
+
+
 def parts_for(size: int, each: int, least: int = 1) -> int:
-    """How many partitions of about `each` bytes hold `size` bytes."""
-    return max(least, -(-size // each))
+    """How many partitions of about `each` bytes hold `size` bytes; beyond MOST_PARTS they grow."""
+    return min(MOST_PARTS, max(least, -(-size // each)))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Frees the disk of shuffles that nothing refers to any more.
+
+    Spark removes their files when the driver's collector finds them unused, which a driver with
+    much memory does late; between two steps that shuffle whole texts it is asked to.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -3,26 +3,29 @@
 Rows with identical texts form a group; of each group the row with the largest id stays. Inside
 each Arrow batch equal texts first fold into one, so that a text that holds a third of all rows
 reaches the spill files once per batch. The spill files are a table bucketed by hash digits, in
-the shared scratch folder. A bucket whose texts exceed the memory budget is spilled again by the
-next digits; one that fits goes through an open-addressing table which compares complete texts.
+the shared scratch folder. A bucket whose texts exceed the memory budget is spilled again, alone, into
+as many children as its size calls for, by the next digits; one that fits goes through an
+open-addressing table which compares complete texts. So every level divides every bucket that is too
+large, whatever the size of the table; a bucket of one content only is never too large, since the
+table holds each content once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitledger.llm.common import parts_for, texts_of
 from hitledger.sinks.scratch import scratch_path
 
 BUCKET_BYTES = 32 << 20
-FANOUT = 1024
+FANOUT = 1 << 14  # spill files of one job
 LEVELS = 8
 SPILL = "doc_id long, row_id long, rep_id long, digest long, text binary, copies long, last_id long, last_row long"
 FOUND = "rep_id long, keep_id long, keep_row long, group_size long, text_sha256 string"
@@ -130,51 +133,104 @@ def _groups(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     )
 
 
-def _spill(rows: DataFrame, buckets: int, level: int) -> DataFrame:
-    """Rows by bucket in spill files; bare rows carry no text and are dealt by their own number."""
-    spark = rows.sparkSession
-    dealt = F.when(F.col("text").isNotNull(), F.xxhash64("digest", F.lit(level)))
-    dealt = F.pmod(F.coalesce(dealt, F.xxhash64("row_id")), F.lit(buckets)).cast("int")
-    name = f"spill_{level}_{uuid.uuid4().hex}"
-    (
-        rows.withColumn("bucket", dealt)
-        .repartition(buckets, "bucket")
-        .write.option("path", scratch_path(spark, "spill"))
-        .option("compression", "zstd")
-        .bucketBy(buckets, "bucket")
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+class _Spilled:
+    """A level of spill files: rows by bucket, read bucket by bucket without a shuffle."""
+
+    def __init__(self, rows: DataFrame, columns: list[str], bucket: Column, buckets: int):
+        """Writes these columns of rows to the buckets that the expression numbers from 0."""
+        self.spark, self.path = rows.sparkSession, scratch_path(rows.sparkSession, "spill")
+        self.name, self.columns = f"spill_{uuid.uuid4().hex}", columns
+        (
+            rows.select(*self.columns, bucket.cast("int").alias("bucket"))
+            .repartition(buckets, "bucket")
+            .write.option("path", self.path)
+            .option("compression", "zstd")
+            .bucketBy(buckets, "bucket")
+            .saveAsTable(self.name)
+        )
+
+    def texts(self) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("text").isNotNull())
+
+    def sizes(self) -> list[tuple[int, int, int]]:
+        """Bucket, bytes and number of different hashes of each: one row per file."""
+        found = self.texts().groupBy("bucket").agg(F.sum(F.octet_length("text")), F.count_distinct("digest"))
+        return sorted(tuple(row) for row in found.collect())
+
+    def close(self) -> None:
+        """The session's catalogue forgets the table; its files stay."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+
+
+def _children(over: list[tuple[int, int]], bucket_bytes: int) -> Iterator[list[tuple[int, int]]]:
+    """Parents and the number of children of each, in groups of FANOUT children at most."""
+    group, total = [], 0
+    for bucket, size in over:
+        many = min(FANOUT, max(2, parts_for(size, max(1, bucket_bytes // 2))))
+        if group and total + many > FANOUT:
+            yield group
+            group, total = [], 0
+        group.append((bucket, many))
+        total += many
+    if group:
+        yield group
+
+
+def _divide(spilled: _Spilled, level: int, bucket_bytes: int, done: Callable[[DataFrame], None], saw: Callable[[int, list], None]) -> None:
+    """Hands the groups of all buckets to `done`; those over the budget are spilled again first."""
+    sizes = spilled.sizes()
+    saw(level, sizes)
+    over = [(bucket, size) for bucket, size, texts in sizes if size > bucket_bytes and texts > 1 and level < LEVELS]
+    texts = spilled.texts()
+    if len(over) < len(sizes):
+        fits = texts.where(~F.col("bucket").isin([b for b, _ in over])) if over else texts
+        done(fits.groupBy("bucket").applyInArrow(_groups, FOUND))
+    for parents in _children(over, bucket_bytes):
+        first = [sum(n for _, n in parents[:k]) for k in range(len(parents))]
+        plan = [(bucket, at, n) for (bucket, n), at in zip(parents, first)]
+        plan = F.broadcast(spilled.spark.createDataFrame(plan, "bucket int, first int, many int"))
+        own = texts.where(F.col("bucket").isin([b for b, _ in parents])).join(plan, "bucket")
+        child = F.col("first") + F.pmod(F.xxhash64("digest", F.lit(level)), F.col("many"))
+        children = _Spilled(own, spilled.columns, child, sum(n for _, n in parents))
+        _divide(children, level + 1, bucket_bytes, done, saw)
+        children.close()
 
 
 def duplicate_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bucket_bytes: int = BUCKET_BYTES,
+    saw: Callable[[int, list], None] = lambda level, sizes: None,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty and form one group with empty ones. Of rows that tie in id and text
     one stays. A null id loses to any other; a group of null ids has a null keep_id and keeps one
     row. An empty table gives an empty result. Other columns of docs are not read.
+
+    `saw` is told the level and the bucket, bytes and number of hashes of each bucket of a spill job.
+    Texts whose hashes agree in all digits stay in one bucket; the table compares whole texts.
     """
+    spark = docs.sparkSession
     rows = texts_of(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.xxhash64("text").alias("digest"), "text")
-    spilled = _spill(rows.mapInArrow(_fold, SPILL), min(FANOUT, parts_for(size, bucket_bytes // 2, 8)), 0)
-    members, found = spilled.select("doc_id", "row_id", "rep_id"), None
-    texts = spilled.where(F.col("text").isNotNull())
-    for level in range(1, LEVELS):
-        sizes = texts.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("n"), F.count_distinct("digest").alias("texts"))
-        over = [r.bucket for r in sizes.where((F.col("n") > bucket_bytes) & (F.col("texts") > 1)).collect()]  # FANOUT rows at most
-        fits = texts.where(~F.col("bucket").isin(over)) if over else texts
-        done = fits.groupBy("bucket").applyInArrow(_groups, FOUND)
-        found = done if found is None else found.unionByName(done)
-        if not over:
-            break
-        rest = texts.where(F.col("bucket").isin(over))
-        size = rest.agg(F.sum(F.octet_length("text"))).first()[0]
-        texts = _spill(rest.drop("bucket"), min(FANOUT, parts_for(size, bucket_bytes // 2, 8)), level).where(F.col("text").isNotNull())
-    else:  # hashes that agree in all their digits: the table still compares whole texts
-        found = found.unionByName(texts.groupBy("bucket").applyInArrow(_groups, FOUND))
-    return members.join(found, "rep_id").select(
+    buckets = min(FANOUT, parts_for(size, bucket_bytes // 2, 8))
+    # bare rows carry no text and are dealt by their own number
+    dealt = F.when(F.col("text").isNotNull(), F.xxhash64("digest", F.lit(0))).otherwise(F.xxhash64("row_id"))
+    folded = rows.mapInArrow(_fold, SPILL)
+    spilled = _Spilled(folded, folded.columns, F.pmod(dealt, F.lit(buckets)), buckets)
+    found: list[str] = []
+
+    def done(groups: DataFrame) -> None:
+        found.append(scratch_path(spark, "groups"))
+        groups.write.option("compression", "zstd").parquet(found[-1])
+
+    _divide(spilled, 1, bucket_bytes, done, saw)
+    spilled.close()
+    members = spark.read.schema(SPILL).parquet(spilled.path).select("doc_id", "row_id", "rep_id")
+    groups = spark.read.schema(FOUND).parquet(*found) if found else spark.createDataFrame([], FOUND)
+    return members.join(groups, "rep_id").select(
         "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256"
     )

@@ -10,6 +10,10 @@ Equal sets are one set from the start. Candidates are not all pairs of a list: f
 links its members to a few leaders; pairs that verify make classes; then the lists give only pairs
 between different classes, which are counted, filtered and verified. So copies cost linear work,
 and no link between different classes is lost.
+
+Each set has a row of bits, the parities of how many of its tokens fall into each cell. Where two rows
+differ, at least one token is in one set alone; so pairs whose rows differ too much go before they are
+listed, although they share a passage and with it many tokens.
 """
 
 from __future__ import annotations
@@ -39,11 +43,13 @@ BLOCK_CELLS = 1 << 16
 POSTINGS = 1 << 20  # of a partition
 BATCH_BYTES = 1 << 20
 PAIR_BLOCK = 1 << 20
+LIST_BLOCK = 1 << 17
+PARITY_BITS = (256, 4096)
 
 WORD_BYTES = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 CELLS = "block int, hit binary, counts binary"
-PLACED = ("token", "sig", "class", "n", "degree", "beyond", "last", "matches")
-SETS = "sig long, doc_id long, n long, matches int, last long, tokens array<long>"
+PLACED = ("token", "sig", "class", "n", "degree", "beyond", "last", "matches", "parity")
+SETS = "sig long, doc_id long, n long, matches int, last long, parity binary, tokens array<long>"
 
 
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +170,42 @@ def set_numbers(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64)).view(np.int64)
 
 
+def parity_row(tokens: np.ndarray) -> bytes:
+    """For each of some cells, a power of two of about four a token, whether it holds an odd number of tokens."""
+    cells = 1 << min(max((4 * len(tokens) - 1).bit_length(), PARITY_BITS[0].bit_length() - 1), PARITY_BITS[1].bit_length() - 1)
+    odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """Parity rows of sets. A row is folded to half its cells by adding up its halves modulo 2."""
+
+    STEP = 1 << 14
+
+    def __init__(self, column: pa.Array):
+        self.raw, offsets = text_bytes(column)
+        self.starts, self.width = offsets[:-1], np.diff(offsets)
+
+    def _rows(self, at: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(at), width), np.uint8)
+        own = self.width[at]
+        for fold in range(int(own.max(initial=0)) // width):
+            more = np.flatnonzero(own > fold * width)
+            out[more] ^= self.raw[self.starts[at[more]][:, None] + (fold * width + np.arange(width))]
+        return out.view(np.uint64)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many tokens at least are in one of the sets x[i] and y[i] alone."""
+        out = np.zeros(len(x), np.int64)
+        width = np.minimum(self.width[x], self.width[y])
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            for i in range(0, len(rows), self.STEP):
+                part = rows[i : i + self.STEP]
+                out[part] = np.bitwise_count(self._rows(x[part], w) ^ self._rows(y[part], w)).sum(1, dtype=np.int64)
+        return out
+
+
 def _sets(broadcast, mean: float, shingle: int, percent: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = broadcast.value.read()
@@ -175,7 +217,7 @@ def _sets(broadcast, mean: float, shingle: int, percent: int):
                 level = table[(hashes & np.uint64(len(table) - 1)).astype(np.int64)]
                 tokens, first = distinct_sets((level.astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6)), first)
                 sigs, sizes, levels = set_numbers(tokens, first), np.diff(first), (tokens >> np.uint64(58)).astype(np.float64)
-                matches, prefixes, last = [], [], []
+                matches, prefixes, last, parity = [], [], [], []
                 for sig, i, n in zip(sigs.tolist(), first.tolist(), sizes.tolist()):
                     if n and sig not in seen:
                         seen.add(sig)
@@ -183,12 +225,12 @@ def _sets(broadcast, mean: float, shingle: int, percent: int):
                         matches.append(l)
                         prefixes.append(tokens[i : i + n - _least_overlap(n, percent) + l].view(np.int64))
                         last.append(int(prefixes[-1][-1]) ^ -(2**63))  # ascends like the tokens
+                        parity.append(parity_row(tokens[i : i + n]))
                     else:
-                        matches.append(None)
-                        prefixes.append(None)
-                        last.append(None)
-                columns = [longs(sigs), batch.column(0).slice(a, b - a), longs(sizes), pa.array(matches, pa.int32()), pa.array(last, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["sig", "doc_id", "n", "matches", "last", "tokens"])
+                        for column in (matches, prefixes, last, parity):
+                            column.append(None)
+                columns = [longs(sigs), batch.column(0).slice(a, b - a), longs(sizes), pa.array(matches, pa.int32()), pa.array(last, pa.int64()), pa.array(parity, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "doc_id", "n", "matches", "last", "parity", "tokens"])
 
     return make
 
@@ -258,34 +300,38 @@ def _pairs_of_list(n: np.ndarray, c: np.ndarray, percent: int) -> Iterator[tuple
         yield order[rows[x]], order[cols[y]]
 
 
-def _whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+def _whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """Entries sorted by token, in blocks that cut no list."""
-    held: list[dict[str, np.ndarray]] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([x.column(k) for x in held]) for k in names], list(names))
+
+    held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         if not len(batch):
             continue
-        held.append({k: np.asarray(batch.column(k)) for k in names})
+        held.append(batch)
         size += len(batch)
-        if held[0]["token"][0] == held[-1]["token"][-1] or size < PAIR_BLOCK:  # one list so far, or few entries
+        if held[0].column("token")[0] == held[-1].column("token")[-1] or size < LIST_BLOCK:  # one list so far, or few entries
             continue
-        rows = {k: np.concatenate([x[k] for x in held]) for k in names}
-        head = int(np.flatnonzero(rows["token"] != rows["token"][-1])[-1]) + 1
-        yield {k: v[:head] for k, v in rows.items()}
-        held, size = [{k: v[head:] for k, v in rows.items()}], size - head
+        rows = joined()
+        token = np.asarray(rows.column("token"))
+        head = int(np.flatnonzero(token != token[-1])[-1]) + 1
+        yield rows.slice(0, head)
+        held, size = [rows.slice(head)], size - head
     if held:
-        yield {k: np.concatenate([x[k] for x in held]) for k in names}
+        yield joined()
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The entries of lists with members of more than one class."""
     names = ("token", "sig", "class")
     for rows in _whole_lists(batches, names):
-        t, c = rows["token"], rows["class"]
+        t, c = (np.asarray(rows.column(k)) for k in ("token", "class"))
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
-        keep = np.repeat(mixed, np.diff(np.append(starts, len(t))))
-        yield pa.RecordBatch.from_arrays([longs(rows[k][keep]) for k in names], list(names))
+        yield rows.filter(pa.array(np.repeat(mixed, np.diff(np.append(starts, len(t))))))
 
 
 def _between(percent: int):
@@ -293,19 +339,22 @@ def _between(percent: int):
 
     A set shares no more than its degree, the number of its prefix tokens that other classes have.
     A pair needs the smaller of its two numbers, so a set leaves a list only if its degree is below
-    the smallest number in that list.
+    the smallest number in that list. Of what is left, pairs go whose parities differ in more cells
+    than sets with enough in common can.
     """
 
-    def possible(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def possible(rows: dict[str, np.ndarray], parities: Parities, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         n = {k: (v[x], v[y]) for k, v in rows.items()}
         shared, (n_x, n_y) = np.minimum(*n["degree"]), n["n"]
         beyond = np.where(n["last"][0] <= n["last"][1], *n["beyond"])
         overlap = -(-(n_x + n_y) * percent // (100 + percent))
         fits = 100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)
-        keep = fits & (shared + beyond >= overlap) & (shared >= np.minimum(*n["matches"]))
+        keep = np.flatnonzero(fits & (shared + beyond >= overlap) & (shared >= np.minimum(*n["matches"])))
+        keep = keep[parities.apart(x[keep], y[keep]) <= (n_x + n_y - 2 * overlap)[keep]]
         return np.sort(np.stack([n["sig"][0][keep], n["sig"][1][keep]]), 0)
 
-    def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def pairs(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = {k: np.asarray(whole.column(k)) for k in PLACED[:-1]}
         t = rows["token"]
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         least = np.repeat(np.minimum.reduceat(rows["matches"], starts), np.diff(np.append(starts, len(t))))
@@ -313,16 +362,17 @@ def _between(percent: int):
         if not keep.any():
             return
         rows = {k: v[keep] for k, v in rows.items()}
+        parities = Parities(whole.column("parity").filter(pa.array(keep)))
         t, c = rows["token"], rows["class"]
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
         size = np.diff(np.append(starts, len(t)))
         two = starts[mixed & (size == 2)]
-        found = [possible(rows, two, two + 1)]
+        found = [possible(rows, parities, two, two + 1)]
         held = found[0].shape[1]
         for i, k in zip(starts[mixed & (size > 2)], size[mixed & (size > 2)]):
             for x, y in _pairs_of_list(rows["n"][i : i + k], c[i : i + k], percent):
-                found.append(possible(rows, i + x, i + y))
+                found.append(possible(rows, parities, i + x, i + y))
                 held += found[-1].shape[1]
                 if held > PAIR_BLOCK:
                     yield counted(found)
@@ -434,7 +484,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degrees = listed.groupBy("sig").agg(F.count("*").alias("degree"))
     led = listed.join(degrees, "sig").select("token", "sig", "degree").repartition(n_parts, "token").sortWithinPartitions("token", F.desc("degree"), "sig")
     stars = led.select("token", "sig").mapInArrow(_stars, "a long, b long, n_shared long").groupBy("a", "b").agg(F.sum("n_shared").alias("n_shared"))
-    about = written(sets.where("n > 0").groupBy("sig").agg(F.max("n").alias("n"), F.max("matches").alias("matches"), F.max("last").alias("last")), "about")
+    about = written(sets.where("tokens is not null").groupBy("sig").agg(F.max("n").alias("n"), F.max("matches").alias("matches"), F.max("last").alias("last"), F.max("parity").alias("parity")), "about")
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes do not exclude each other, with what is known of both sets."""

@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hitledger.llm.byte_words import BASE, mix
-from hitledger.llm.common import longs, parts_for, text_bytes, texts_of, written
+from hitledger.llm.common import free_shuffles, longs, parts_for, text_bytes, texts_of, written
 from hitledger.sinks.scratch import scratch_path
 
 WIDTH = 100
 GRAM = 40
 STRIDE = WIDTH // 4
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 PART_BYTES = 16 << 20
 UNIT_BYTES = 2 << 20
 STEPS = (16, 4, 1)
@@ -137,7 +137,8 @@ def _find_blocks(width: int, gram: int):
                 again = np.zeros(len(grams), bool)
                 again[1:] = (grams[1:] == grams[:-1]) & (blocks[1:] == blocks[:-1])
                 gram_column = pa.array(grams.view(np.int64), mask=again)
-                columns = [gram_column, longs(blocks.view(np.int64)), longs(key[text]), longs(doc[text]), pa.array(copy[text], pa.int32()), longs(first), pa.array(count, pa.int32())]
+                doc_column = pa.array(doc[text], mask=copy[text] == 0)  # else it is the key
+                columns = [gram_column, longs(blocks.view(np.int64)), longs(key[text]), doc_column, pa.array(copy[text], pa.int32()), longs(first), pa.array(count, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, BLOCK_NAMES)
 
     return find
@@ -367,25 +368,29 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_bytes, n_removed, spans (bytes [begin, end)), kept_sha256.
 
     Null and empty texts have no bytes. Rows with the same id come in the order of their texts,
-    null ids before all others. Texts shorter than width are kept; matches never cross documents.
+    null ids, and with them the id -2^63, before all others. Texts shorter than width are kept; matches never cross documents.
     width must be a multiple of 4. Strings are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     docs = texts_of(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(parts_for(size, PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = parts_for(size, PART_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     same_id = Window.partitionBy("doc_id").orderBy("text")
     rows = docs.repartition(buckets, "doc_id").withColumn("copy", F.row_number().over(same_id) - 1)
     key = F.when(F.col("copy") == 0, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "copy"))
     name = f"texts_{uuid.uuid4().hex}"
     rows.select(key.alias("key"), "doc_id", "copy", "text").write.option("path", scratch_path(spark, "texts")).option("compression", "zstd").bucketBy(buckets, "key").saveAsTable(name)
     texts = spark.table(name)
+    del rows
+    free_shuffles(spark)
 
     found = texts.select("key", "doc_id", "copy", "text").mapInArrow(_find_blocks(width, min(GRAM, width)), BLOCKS)
     dealt = F.coalesce("gram", F.xxhash64("key", "first"))
     marked = found.repartition(buckets, dealt)
-    marked = marked.sortWithinPartitions(F.col("gram").asc_nulls_last(), "block", "doc_id", "copy", "first").mapInArrow(_fold_sorted, BLOCKS)
-    marked = written(marked, "blocks")
+    marked = marked.sortWithinPartitions(F.col("gram").asc_nulls_last(), "block", F.coalesce("doc_id", "key"), "copy", "first").mapInArrow(_fold_sorted, BLOCKS)
+    marked = written(marked.select("gram", "key", "first", "count"), "blocks")
+    del found
+    free_shuffles(spark)
 
     wanted = marked.where("gram is not null").select("gram", "key", "first", "count")
     marks = [marked.where("gram is null").select("key", "first", F.col("count").cast("long").alias("count"))]

@@ -105,7 +105,6 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
         self._clear()
 
@@ -193,7 +192,8 @@ def write_store(
 ) -> None:
     """Encodes every whole text, appends end_id and writes the store at path, ascending by id.
 
-    Null and empty texts are the end id alone; null ids come first; repeated ids stand by text. A
+    Strings of special tokens inside a text are what the library makes of them by default. Null and
+    empty texts are the end id alone; null ids come first; repeated ids stand by text. A
     text of any length stays in one segment. An empty table writes an empty store.
     """
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from hitledger.llm import jaccard_join as j
 from hitledger.llm.components import components
@@ -18,19 +19,27 @@ def shingles(text):
 
 
 def by_hand(rows):
+    """By counting the shared shingles of every pair."""
     sets = [(i, shingles(t)) for i, t in rows]
     root = list(range(len(sets)))
+    holders = defaultdict(list)
+    for k, (_, s) in enumerate(sets):
+        for shingle in s:
+            holders[shingle].append(k)
+    holders = {shingle: np.array(own) for shingle, own in holders.items()}
+    size = np.array([len(s) for _, s in sets])
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in range(len(sets)):
-        for b in range(a):
-            x, y = sets[a][1], sets[b][1]
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
-                root[find(a)] = find(b)
+    for a, (_, x) in enumerate(sets):
+        shared = np.zeros(len(sets), np.int64)
+        for shingle in x:
+            shared[holders[shingle]] += 1
+        for b in np.flatnonzero((shared > 0) & (100 * shared >= 75 * (size[a] + size - shared))).tolist():
+            root[find(a)] = find(b)
     least = defaultdict(list)
     for k, (i, s) in enumerate(sets):
         if i is not None:
@@ -86,6 +95,44 @@ def test_a_text_of_frequent_shingles_and_longer_ones_of_rare_shingles(make_docs)
     assert found == {**dict.fromkeys(range(1_002), 0), 1_002: 1_002}
 
 
+def counted(monkeypatch):
+    """Rows of the written tables, by name."""
+    rows, plain = {}, j.written
+
+    def written(df, what):
+        out = plain(df, what)
+        rows.setdefault(what, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(j, "written", written)
+    return rows
+
+
+@pytest.mark.parametrize("shared", [100, 168])
+def test_many_documents_that_share_one_passage(make_docs, monkeypatch, shared):
+    """Of 200 words each; the rest comes from few words, so that it is not unique either."""
+    rng = random.Random(shared)
+    passage, names = [f"p{k}" for k in range(shared)], [f"w{k}" for k in range(9)]
+    rest = [rng.choices(names, k=200 - shared) for _ in range(2_000)]
+    texts = [" ".join(passage + own if k % 2 else own + passage) for k, own in enumerate(rest)]
+    rows = counted(monkeypatch)
+    check(make_docs, texts)
+    assert rows["pairs"][1] < 4 * len(texts)
+
+
+def test_parities_bound_what_is_not_shared():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 3_000, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for n in rng.integers(1, 2_500, 60)]
+    parities = j.Parities(pa.array([j.parity_row(s) for s in sets], pa.binary()))
+    assert sorted(set(parities.width.tolist()))[-1] == j.PARITY_BITS[1] // 8
+    x, y = np.divmod(np.arange(3_600), 60)
+    truly = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x, y)])
+    apart = parities.apart(x, y)
+    assert (apart <= truly).all() and (apart[x == y] == 0).all()
+    alike = np.array([1 < len(sets[a]) < 900 and len(sets[a]) <= len(sets[b]) < 1.3 * len(sets[a]) for a, b in zip(x, y)])
+    assert (apart[alike] >= 0.5 * truly[alike]).all()
+
+
 def test_no_rows(make_docs):
     assert j.near_duplicates(make_docs([])).count() == 0
     assert j.one_of_each(make_docs([])).count() == 0
