@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from hitledger.functions import line_fields as lf
 from hitledger.functions.display import human_bytes
 from hitledger.operators import counting, parsing, ranking
 from hitledger.plans.event_logs import (
+    daily_logs,
     event_lines,
     event_requests,
     huge_lines,
@@ -57,6 +59,17 @@ RULES = GroupingRules(
     user_agent=GroupRule(r"^ua/([0-2])$", "early $1"),
 )
 STRIP_QUERY = GroupingRules(path=GroupRule(r"\?.*$", ""))
+# Rules over an event type, by what is wrong with them, if anything.
+RULE_FORMS = {
+    "whole": "^NAME$",
+    "groups": "(?P<kind>NAME)/(\\d+)",
+    "open group": "(NAME",
+    "open class": "[NAME",
+    "look-ahead": "NAME(?=/)",
+    "back-reference": "(NAME)\\1",
+    "bad range": "NAME{2,1}",
+    "nothing to repeat": "NAME|*",
+}
 URL_HOST = GroupingRules(path=GroupRule(r"^(?P<scheme>\w+)://(?P<host>[^/?#]+).*$", "${host}"))
 
 
@@ -110,11 +123,9 @@ def parse_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_error_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parsing.parse_lines(event_lines(spark, sf_dir).select("value"))
-    return parsed.agg(
-        F.count("*").alias("lines"),
-        F.count_if(F.col("ip").isNull()).alias("parse_errors"),
-    )
+    found = counting.summary(_counters(spark, sf_dir, names.TOTAL, names.PARSE_ERRORS))
+    lines = (F.col("visits") + F.col("parse_errors")).alias("lines")
+    return found.select(lines, "parse_errors")
 
 
 def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +148,26 @@ def _grouped(dimension: str, rules: GroupingRules, lines=event_lines) -> Query:
     return query
 
 
+def group_rule_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each event type, which rules made of its name are refused, and by the name of which option."""
+    types = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct()
+    rows = []
+    for kind in sorted(row.event_type for row in types.toLocalIterator()):
+        for form, pattern in RULE_FORMS.items():
+            for option in ("group_ip_regex", "group_path_regex", "group_ua_regex"):
+                try:
+                    GroupingRules.from_options(spark, **{option: pattern.replace("NAME", kind)})
+                    refusal = ""
+                except ValueError as problem:
+                    refusal = str(problem).split(":")[0]
+                rows.append((kind, form, option, refusal))
+    return spark.createDataFrame(rows, "event_type string, form string, option string, refusal string")
+
+
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counters = _counters(spark, sf_dir, names.TOTAL, names.PARSE_ERRORS)
-    return counting.summary(counting.with_file_count(counters, 1), "visits")
+    """Of a folder with one file for each day."""
+    folder = daily_logs(spark, sf_dir, scratch_path(spark, "logs"))
+    return analyze(spark, [folder]).summary()
 
 
 def _series(granularity: str) -> Query:
@@ -159,13 +187,12 @@ def counter_table_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counters = _counters(spark, sf_dir, *names.TREND_KINDS.values())
-    return counters.select(
-        F.replace("kind", F.lit("trend:"), F.lit("")).alias("granularity"),
-        "bucket",
-        "visits",
-        "traffic_bytes",
-    ).orderBy("granularity", "bucket")
+    saved = tables.materialize(_counters(spark, sf_dir, *names.TREND_KINDS.values()))
+    series = [
+        counting.date_series(saved, granularity).select(F.lit(granularity).alias("granularity"), "*")
+        for granularity in names.TREND_KINDS
+    ]
+    return reduce(DataFrame.unionByName, series)
 
 
 def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,9 +291,9 @@ def scan_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def several_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two folders with decoys in them, one of them named twice."""
+    """Two folders with decoys in them, both named twice."""
     logs = written_logs(spark, sf_dir, scratch_path(spark, "logs"))
-    files = resolve_inputs(spark, [logs["first"], logs["second"], logs["second"]])
+    files = resolve_inputs(spark, [logs["first"], logs["second"], logs["second"], logs["first"]])
     return counting.count_lines(read_lines(spark, files))
 
 
@@ -285,11 +312,11 @@ def undecodable_and_bare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def save_and_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run that saves and exports, twice over the same targets; what the export holds."""
+    """One run that saves and exports, twice over the same targets; what the export of all logs holds."""
     logs = written_logs(spark, sf_dir, scratch_path(spark, "logs"))
     db, export = scratch_path(spark, "db"), scratch_path(spark, "csv")
-    for folder in ("first", "second"):
-        analyze(spark, [logs[folder]], save_db=db, export_csv=export, mode="overwrite")
+    for folders in ([logs["first"]], [logs["first"], logs["second"]]):
+        analyze(spark, folders, save_db=db, export_csv=export, mode="overwrite")
     saved = analyze(spark, load_db=db).counters.where(F.col("kind") == names.TOTAL)
     return tables.read_export(spark, export).unionByName(saved)
 
@@ -341,6 +368,7 @@ def queries() -> dict[str, Query]:
         "group_user_agent": _grouped("user_agent", RULES),
         "group_page_url_host": _grouped("path", URL_HOST, page_lines),
         "group_page_url_strip_query": _grouped("path", STRIP_QUERY, page_lines),
+        "group_rule_refusals": group_rule_refusals,
         "summary": summary,
         "dim_ip": _grouped("ip", GroupingRules()),
         "dim_path": _grouped("path", GroupingRules()),

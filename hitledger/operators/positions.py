@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from hitledger.sinks.scratch import scratch_path
 
-ROWS_PER_RANGE = 1 << 18
-MOST_RANGES = 20_000
 _PLACE_BITS = 33  # of monotonically_increasing_id: the rest is the number of the partition
 
 
@@ -32,17 +30,16 @@ class OrderedRows:
     """Rows on shared storage in a total order.
 
     Rows that the order does not tell apart have neighbouring positions, in any order but the same
-    one for every reader. An empty table has no positions. Ranges hold about ROWS_PER_RANGE rows;
-    from MOST_RANGES on they grow. The driver keeps one number per range.
+    one for every reader. An empty table has no positions. Without a number of ranges there are as
+    many as the session has shuffle partitions, and adaptive execution joins small ones; so the
+    rows are computed once. The driver keeps one number per range.
     """
 
     def __init__(self, rows: DataFrame, order: list[Column], ranges: int | None = None):
         spark = rows.sparkSession
-        if ranges is None:
-            ranges = min(MOST_RANGES, -(-rows.count() // ROWS_PER_RANGE) or 1)
         self.place = free_name(rows.columns, "place")
         path = scratch_path(spark, "ordered")
-        dealt = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)
+        dealt = rows.repartitionByRange(*([ranges] if ranges else []), *order)
         placed = dealt.sortWithinPartitions(*order).withColumn(self.place, F.monotonically_increasing_id())
         placed.write.parquet(path)
         self.rows = spark.read.schema(placed.schema).parquet(path)
@@ -74,7 +71,7 @@ class OrderedRows:
         held = [(r, before) for (r, _), before in zip(self.ranges, self.before) if low >> _PLACE_BITS <= r <= high >> _PLACE_BITS]
         range_name = free_name([*self.rows.columns, name], "range")
         before_name = free_name([*self.rows.columns, name], "before")
-        # one short row per range, MOST_RANGES at most
+        # one short row per range
         starts = F.broadcast(spark.createDataFrame(held, f"`{range_name}` bigint, `{before_name}` bigint"))
         wanted = self.rows.where((place >= low) & (place <= high)).withColumn(range_name, self._range())
         position = F.col(before_name) + place.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))

@@ -98,22 +98,42 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written_logs(spark: SparkSession, sf_dir: str, folder: str, line_end: str = "\n") -> dict[str, str]:
-    """The event log as files below a new folder: name of each subfolder -> its path.
+    """The event log as files below a new folder: ``first`` and ``second`` -> their paths.
 
-    Events go by their number modulo 3 to the folders ``first``, ``second`` and ``decoy``. The files
-    of the first two are named like logs; those of the decoy are not, and the first has one as well.
+    Every event is in one of the two folders. Their files are named like logs. Beside them lie decoys
+    that hold the same lines again: files with other names, and a folder named like a log.
     """
-    lines = event_lines(spark, sf_dir)
+    lines = event_lines(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(2)))
     paths = {}
-    for part, name in enumerate(("first", "second", "decoy")):
-        own = lines.where(F.col("event_id") % 3 == part).select("value")
+    for part, name in enumerate(("first", "second")):
+        own = lines.where(F.col("part") == part).select("value")
         paths[name] = f"{folder}/{name}"
         own.write.text(paths[name], lineSep=line_end)
-        _name_files(spark, paths[name], "access.log" if name != "decoy" else "error.log")
-    lines.where("event_id < 0").select("value").write.text(f"{paths['first']}/access.log.d")
+        _name_files(spark, paths[name], "access.log")
+    lines.select("value").write.mode("append").text(paths["first"], lineSep=line_end)
+    _name_files(spark, paths["first"], "error.log")
+    lines.select("value").write.text(f"{paths['second']}/access.log.d", lineSep=line_end)
     return paths
 
 
+def daily_logs(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """The event log below a new folder with one file for each day: the folder of the files."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.to_date("ts").alias("day"))
+    lines = event_lines(spark, sf_dir).select("event_id", "value").join(events, "event_id")
+    lines.repartition("day").select("value", "day").write.partitionBy("day").text(f"{folder}/days")
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/days")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/daily")
+    files.mkdirs(target)
+    for day in files.listStatus(root):
+        if day.isDirectory():
+            for entry in files.listStatus(day.getPath()):
+                if entry.getPath().getName().startswith("part-"):
+                    name = day.getPath().getName().replace("day=", "access.log-")
+                    files.rename(entry.getPath(), spark._jvm.org.apache.hadoop.fs.Path(target, name))
+    return f"{folder}/daily"
+
+
 def _name_files(spark: SparkSession, folder: str, prefix: str) -> None:
     """Renames Spark's files to prefix-number; there are as many as the writing job had tasks."""
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -171,9 +171,7 @@ WITH rec AS (
 )
 """
 
-# The second third of the events is read twice, the last third is a decoy.
-_TWICE = _LOG.replace("FROM events", "FROM (SELECT * FROM events WHERE event_id % 3 < 2 UNION ALL SELECT * FROM events WHERE event_id % 3 = 1)")
-_SECOND = _LOG.replace("FROM events", "FROM events WHERE event_id % 3 = 1")
+_TWICE = _LOG.replace("FROM events", "FROM (SELECT * FROM events UNION ALL SELECT * FROM events)")
 _ODD = (
     _LOG.replace("event_id % 97 = 0 AS is_junk", "event_id % 97 = 0 OR (event_id % 11 = 0 AND event_id % 7 <> 0) AS is_junk")
     .replace("json_extract_string(props, '$.k')\n            AS path", "json_extract_string(props, '$.k')\n            AS path_0")
@@ -190,7 +188,7 @@ ORACLE_SQL = {
     "several_inputs": _counters(log=_TWICE) + "SELECT * FROM counters",
     "carriage_returns": _COUNTERS + "SELECT * FROM counters",
     "undecodable_and_bare_lines": _counters(log=_ODD) + "SELECT * FROM counters",
-    "save_and_export": _counters(log=_SECOND) + """
+    "save_and_export": _COUNTERS + """
 SELECT * FROM counters WHERE kind <> 'meta:parse_errors'
 """,
     "bars_by_visits": _LOG + f", {_ranked('ip', 'visits')}" + """
@@ -244,10 +242,19 @@ FROM log
         r"coalesce(nullif(regexp_extract(path, '^\w+://([^/?#]+)', 1), ''), path)"
     ),
     "group_page_url_strip_query": _page_groups("split_part(path, '?', 1)"),
+    "group_rule_refusals": """
+SELECT event_type, form, option, CASE WHEN refused THEN 'Invalid ' || option ELSE '' END AS refusal
+FROM (SELECT DISTINCT event_type FROM events),
+    (VALUES ('whole', false), ('groups', false), ('open group', true), ('open class', true),
+        ('look-ahead', true), ('back-reference', true), ('bad range', true), ('nothing to repeat', true)
+    ) AS forms(form, refused),
+    (VALUES ('group_ip_regex'), ('group_path_regex'), ('group_ua_regex')) AS options(option)
+""",
     "summary": _LOG + """
 SELECT count_if(NOT is_junk)::BIGINT AS visits,
     CAST(coalesce(sum(traffic_bytes) FILTER (NOT is_junk), 0) AS BIGINT) AS traffic_bytes,
-    count_if(is_junk)::BIGINT AS parse_errors, CAST(1 AS BIGINT) AS files, 'visits' AS sort
+    count_if(is_junk)::BIGINT AS parse_errors,
+    (SELECT count(DISTINCT CAST(ts AS DATE)) FROM events) AS files, 'visits' AS sort
 FROM log
 """,
     "dim_ip": _dimension("ip"),

@@ -6,6 +6,7 @@ from hitledger.functions.display import human_bytes, percent_text, trend_label,
 from hitledger.operators import counting, ranking
 from hitledger.operators.parsing import parse_lines
 from hitledger.plans.event_logs import event_lines
+from hitledger.sinks.scratch import scratch_path
 from tests.conftest import SF_DIR, counter_table
 
 
@@ -198,9 +199,9 @@ def test_pages(four):
 
 
 def test_bars(spark):
-    rows = counters(spark, "path", [("/a-long-path-name", 3, 3145728), ("/é" * 7, 2, 5)], (5, 9))
+    rows = counters(spark, "path", [("/a-long-path-name", 3, 13 * 2**19), ("/é" * 7, 2, 5)], (5, 9))
     assert [tuple(r) for r in ranking.bar_series(rows, "path", "traffic").collect()] == [
-        (1, "/a-long-path-~", 3145728, "3.00 MB"),
+        (1, "/a-long-path-~", 13 * 2**19, "6.50 MB"),
         (2, "/é" * 7, 5, "5 B"),
     ]
     only = ranking.bar_series(rows, "path", "visits", 30, graph_items=1)
@@ -228,7 +229,7 @@ def python_bytes(value):
 
 
 def test_human_bytes(spark):
-    values = [0, 1, 1023, 1024, 1152, 1408, 1664, 1048575, 1048576, 3145728, 5 * 2**37, 2**40 - 1]
+    values = [0, 1, 1023, 1024, 1152, 1408, 1664, 1048575, 1048576, 7 * 2**19, 5 * 2**37, 2**40 - 1]
     values += [2**40 + 2**33, 2**50 + 12345, *(7**n for n in range(4, 18)), 2**53 - 1]
     frame = spark.createDataFrame([(v,) for v in values], "v bigint")
     rows = frame.select("v", human_bytes(F.col("v")).alias("t")).collect()
@@ -269,7 +270,75 @@ def test_plans(events):
     assert "TakeOrderedAndProject" in top and top.count("FileScan") == 1
     assert top.count("Exchange") == 1
     everything = plan_of(ranking.top_rows_all(table))
-    assert everything.count("WindowGroupLimit") == 2 and everything.count("FileScan") == 1
+    # the best of each part of a dimension, then of the dimension: before and after an exchange each
+    assert everything.count("WindowGroupLimit") == 4 and everything.count("FileScan") == 1
+    assert everything.count("row_number(), 30, Partial") == 2 and "hashpartitioning(kind#" in everything
+    assert "TakeOrderedAndProject" in top and "rangepartitioning" not in top
+
+
+@pytest.fixture(scope="module")
+def forged(spark):
+    """Counters of a log whose paths and times are all different, with ties; and their totals."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 2 == 0, names.DIMENSION_KINDS["path"]).otherwise(names.TREND_KINDS["hour"]).alias("kind"),
+        F.concat(F.lit("b"), F.col("id") * 7919 % 30_011).alias("bucket"),
+        (F.col("id") % 40).alias("visits"),
+        (F.col("id") % 90).cast(names.BYTES_TYPE).alias("traffic_bytes"),
+    )
+    total = rows.where(F.col("kind") == names.DIMENSION_KINDS["path"]).agg(
+        F.lit(names.TOTAL).alias("kind"), F.lit("all").alias("bucket"), F.sum("visits").alias("visits"), F.sum("traffic_bytes").cast(names.BYTES_TYPE).alias("traffic_bytes")
+    )
+    path = scratch_path(spark, "forged")
+    rows.unionByName(total).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("sort_by", ["visits", "traffic"])
+def test_long_rankings_equal_short_ones(forged, sort_by, monkeypatch):
+    monkeypatch.setattr(ranking, "IN_ONE_TASK", 1 << 30)
+    one_task = {n: ranking.top_rows(forged, "path", sort_by, n).collect() for n in (200, 14_000, 16_000)}
+    page = ranking.page_of_rows(forged, "path", sort_by, 12_000, 11_995, 20).collect()
+    bars = ranking.bar_series(forged, "path", sort_by, 50_000).collect()
+    monkeypatch.setattr(ranking, "IN_ONE_TASK", 100)
+    for n, rows in one_task.items():
+        assert ranking.top_rows(forged, "path", sort_by, n).collect() == rows
+    assert ranking.top_rows(forged, "path", sort_by, 50_000_000).collect() == one_task[16_000]
+    assert len(one_task[16_000]) == 15_000
+    assert ranking.page_of_rows(forged, "path", sort_by, 12_000, 11_995, 20).collect() == page
+    assert [r["rank"] for r in page] == list(range(11_981, 12_001))
+    assert ranking.bar_series(forged, "path", sort_by, 50_000).collect() == bars
+    each = ranking.top_rows_all(forged, sort_by, 14_000)
+    assert sorted(each.where("dimension = 'path'").drop("dimension").drop("rank").collect()) == sorted(one_task[14_000])
+
+
+def test_long_rankings_without_single_tasks(forged):
+    for frame in (
+        ranking.top_rows(forged, "path", "visits", 50_000_000),
+        ranking.page_of_rows(forged, "path", "visits", 50_000_000, 10_000_000, 50),
+        ranking.trend_points(forged, "hour"),
+    ):
+        plan = plan_of(frame)
+        assert "Window" not in plan and "SinglePartition" not in plan
+    assert "TakeOrderedAndProject" in plan_of(ranking.top_rows(forged, "path", "visits", 30))
+
+
+def test_long_rankings_of_few_or_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "IN_ONE_TASK", 0)
+    path, total = names.DIMENSION_KINDS["path"], names.TOTAL
+    for rows in ([], [(path, "/a", 3, 0)], [(total, "all", 0, 0)], [(total, "all", 4, 9), (path, "/a", 3, 0), (path, None, 1, 9)]):
+        counters = counter_table(spark, rows)
+        found = ranking.top_rows(counters, "path", "visits", 5).collect()
+        assert [r.key for r in found] == [r[1] for r in rows if r[0] == path]
+        page = ranking.page_of_rows(counters, "path", "visits", 5, 3, 1).collect()
+        assert [r.key for r in page] == [r.key for r in found[-1:]]
+        assert ranking.top_rows(counters, "path", "visits", 0).collect() == []
+    assert [(r.visit_pct, r.traffic_pct) for r in found] == [(75.0, 0.0), (25.0, 100.0)]
+
+
+def test_positions_of_a_series(forged):
+    rows = ranking.trend_points(forged, "hour").collect()
+    assert [r.x for r in rows] == list(range(15_000))
+    assert [r.bucket for r in rows] == sorted(r.bucket for r in forged.where("kind = 'trend:hour'").collect())
 
 
 def test_one_dimension_parses_only_its_fields(events):
