@@ -10,21 +10,23 @@ positions, and the places are merged into spans of words.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitledger.llm.byte_words import LOWER, byte_class, ragged, span_hashes, spans
-from hitledger.llm.common import longs, ship, text_bytes, texts_of
+from hitledger.llm.common import longs, parts_for, ship, text_bytes, texts_of, written
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 SAMPLE = 16
 
 WORD_BYTES = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -294,17 +296,38 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.expr(f"cast(array() as array<{SPAN}>)"), add)
 
 
-def _phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    """Broadcasts of the phrases of all items, each of items with about block_bytes of text at most."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-2 * size // block_bytes) if size > block_bytes else 1
-    made = []
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == block)
-        phrases = Phrases([(r.item, r.t) for r in own.toLocalIterator()], window)
-        made.append(benchmark.sparkSession.sparkContext.broadcast(phrases))
-    return made
+def _phrase_builder(window: int):
+    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = [pair for batch in batches for pair in zip(batch.column("item").to_pylist(), batch.column("t").to_pylist())]
+        made = pickle.dumps(Phrases(items, window), protocol=5)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([made], pa.binary())], ["block", "phrases"])
+
+    return build
+
+
+class PhraseBlocks:
+    """The phrases of all items in blocks of items with about block_bytes of text, built in tasks and
+    written. The driver holds one block at a time, to broadcast it."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int):
+        self.context, self.window = benchmark.sparkSession.sparkContext, window
+        ship(benchmark.sparkSession)
+        items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+        size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        block = F.pmod(F.xxhash64("item", "t"), F.lit(parts_for(2 * size, block_bytes) if size > block_bytes else 1)).cast("int")
+        made = items.withColumn("block", block).groupBy("block").applyInArrow(_phrase_builder(window), "block int, phrases binary")
+        self.made = written(made, "phrases")
+        self.numbers = [row.block for row in self.made.select("block").orderBy("block").collect()]
+
+    def __len__(self) -> int:
+        return max(1, len(self.numbers))
+
+    def __iter__(self) -> Iterator[Broadcast]:
+        for number in self.numbers:
+            row = self.made.where(F.col("block") == number).select("phrases").first()
+            yield self.context.broadcast(pickle.loads(row.phrases))
+        if not self.numbers:
+            yield self.context.broadcast(Phrases([], self.window))
 
 
 def find_contamination(
@@ -325,15 +348,19 @@ def find_contamination(
     words; items without words have no phrase; repeated items count once; a null item id is ''.
     A document longer than a shard is a shard of its own. Words are told apart by 64-bit hashes.
 
-    Phrases are broadcast in blocks of at most block_bytes of item text, so that a benchmark of any
-    size fits; each block is one pass over the documents.
+    Phrases are broadcast in blocks of about block_bytes of item text, one after the other, so that a
+    benchmark of any size fits; each block is one pass over the documents.
     """
     rows = texts_of(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
-    blocks = _phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    found = [rows.mapInArrow(_searcher(block, shard_bytes), FOUND) for block in blocks]
-    if len(found) == 1:
-        merged = found[0]
+    blocks = PhraseBlocks(benchmark, item_col, item_text_col, window, block_bytes)
+    if len(blocks) == 1:
+        merged = rows.mapInArrow(_searcher(next(iter(blocks)), shard_bytes), FOUND)
     else:
+        rows = written(rows, "rows")  # all passes number them alike
+        found = []
+        for block in blocks:
+            found.append(written(rows.mapInArrow(_searcher(block, shard_bytes), FOUND), "found"))
+            block.unpersist()
         each = reduce(DataFrame.unionByName, found).groupBy("row_id")
         merged = each.agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
@@ -370,8 +397,12 @@ def drop_contaminated(
         return keep
 
     ship(docs.sparkSession)
-    for block in _phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes):
+    blocks = PhraseBlocks(benchmark, item_col, item_text_col, window, block_bytes)
+    for block in blocks:
         docs = docs.mapInArrow(keep_clean(block), docs.schema)
+        if len(blocks) > 1:
+            docs = written(docs, "clean")
+            block.unpersist()
     return docs
 
 

@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 from hitledger.llm.byte_words import LOWER, byte_class, mix, span_hashes, spans
 from hitledger.llm.common import longs, parts_for, text_bytes, texts_of, written
 from hitledger.llm.components import components
+from hitledger.operators.positions import free_name
 
 SHINGLE = 5
 PERCENT = 75
@@ -536,11 +537,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hash of id and text, and equal ones are one.
     """
     own_id, row = F.col(id_col).cast("long"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    row_name, class_name, first_name = (free_name(docs.columns, x) for x in ("_row", "_class", "_first"))
     classes = near_duplicates(docs.select(row.alias("doc_id"), F.col(text_col).alias("text")))
     classes = classes.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class")).distinct()
     members = written(docs.select(row.alias("_row"), own_id.alias("_id")).distinct().join(classes, "_row"), "members")
     least = members.groupBy("_class").agg(F.min("_id").alias("_least"))
-    stays = members.join(least, "_class").where(F.col("_id").eqNullSafe(F.col("_least"))).select("_row", "_class")
-    rows = docs.withColumn("_row", row).join(stays, "_row")
-    first = F.row_number().over(Window.partitionBy("_class").orderBy(text_col))
-    return rows.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    stays = members.join(least, "_class").where(F.col("_id").eqNullSafe(F.col("_least")))
+    stays = stays.select(F.col("_row").alias(row_name), F.col("_class").alias(class_name))
+    rows = docs.withColumn(row_name, row).join(stays, row_name)
+    first = F.row_number().over(Window.partitionBy(class_name).orderBy(text_col))
+    return rows.withColumn(first_name, first).where(F.col(first_name) == 1).select(*docs.columns)

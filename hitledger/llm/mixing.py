@@ -9,12 +9,14 @@ DataFrame functions; the fitted table has one row per cell that occurs, never on
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitledger.llm.common import written
+from hitledger.operators.positions import free_name
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS = 40
@@ -52,14 +54,19 @@ def _category(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def _margins(docs: DataFrame, text_col: str) -> dict[str, Column]:
+    """The margins of each row. A table without a column source or lang has one value there, ''."""
+    held = {c.lower() for c in docs.columns}
+    found = {m: _category(F.col(m)) if m in held else F.lit("") for m in MARGINS}
+    if "topic" not in held:
+        found["topic"] = text_topic(F.coalesce(F.col(text_col), F.lit("")))
+    return found
+
+
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the margins and n_tokens of each document."""
-    text = F.col(text_col)
-    topic = F.col("topic") if "topic" in docs.columns else text_topic(F.coalesce(text, F.lit("")))
-    return docs.select(
-        F.col(id_col).alias("doc_id"), _category(F.col("source")).alias("source"), _category(F.col("lang")).alias("lang"),
-        _category(topic).alias("topic"), text_tokens(text).alias("n_tokens"),
-    )
+    margins = [column.alias(m) for m, column in _margins(docs, text_col).items()]
+    return docs.select(F.col(id_col).alias("doc_id"), *margins, text_tokens(F.col(text_col)).alias("n_tokens"))
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -93,15 +100,17 @@ def _targets(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with their weight: raked over natural tokens.
+    """Cells with their weight: raked over natural tokens; and the deviation that is left.
 
-    Targets that contradict the cells that occur are met as far as the sweeps get; the last margin
-    is then exact. Cells without tokens have the weight 1.
+    The deviation is the most that the last sweep still had to change a margin, as a share of it. Targets
+    that contradict the cells that occur are met as far as the sweeps get; the last margin is then
+    exact, the deviation is not below the tolerance, and a warning says so. Cells without tokens
+    have the weight 1.
     """
     cells = written(cells, "cells")
     wanted = written(_targets(cells, targets), "targets")
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    raked = cells.withColumn("raked", F.col("tokens"))
+    raked, moved = cells.withColumn("raked", F.col("tokens")), 0.0
     for _ in range(sweeps if total else 0):
         worst = []
         for margin in MARGINS:
@@ -115,6 +124,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         raked = raked.drop(*worst)
         if moved < tolerance:
             break
+    if moved >= tolerance:
+        warnings.warn(f"the margins contradict each other: after {sweeps} sweeps one still moves by {moved:.2g} of itself", stacklevel=2)
+    raked = raked.withColumn("deviation", F.lit(float(moved)))
     return raked.withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(1.0)).drop("raked")
 
 
@@ -147,7 +159,7 @@ def draw(key: Column, seed: int = 0) -> Column:
 
 
 def fit_mixture(rows: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The cells of described rows: margins, tokens, documents, weight, probability.
+    """The cells of described rows: margins, tokens, documents, deviation, weight, probability.
 
     Without targets, sources are tempered to the power 0.5, languages to 0.7, and topics stay.
     """
@@ -179,10 +191,9 @@ def mix(docs: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] |
 
 def sample_documents(docs: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, seed: int = 0) -> DataFrame:
     """The sampled rows of docs with all their columns. A null id draws by its text."""
-    own = {m: f"_mix_{m}" for m in MARGINS}
-    fitted = fit_mixture(described(docs), budget, targets).select(*[F.col(m).alias(c) for m, c in own.items()], F.col("probability").alias("_mix_p"))
-    text = F.coalesce("text", F.lit(""))
-    topic = F.col("topic") if "topic" in docs.columns else text_topic(text)
-    rows = docs.withColumns({own["source"]: _category(F.col("source")), own["lang"]: _category(F.col("lang")), own["topic"]: _category(topic)})
+    own = {m: free_name(docs.columns, f"_mix_{m}") for m in MARGINS}
+    p = free_name(docs.columns, "_mix_p")
+    fitted = fit_mixture(described(docs), budget, targets).select(*[F.col(m).alias(c) for m, c in own.items()], F.col("probability").alias(p))
+    rows = docs.withColumns({own[m]: column for m, column in _margins(docs, "text").items()})
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    return rows.join(fitted, list(own.values())).where(draw(key, seed) < F.col("_mix_p")).select(*docs.columns)
+    return rows.join(fitted, list(own.values())).where(draw(key, seed) < F.col(p)).select(*docs.columns)

@@ -1,7 +1,7 @@
 """Secret scan with multipart credential linking, in DataFrame functions alone.
 
-Strong patterns are reported wherever they match. Weak candidates (identifiers, random-looking
-values, endpoints) are reported only if a complementary part lies in their scope: an interval join
+Strong patterns are reported wherever they match. Weak candidates (identifiers, short values assigned
+to a secret's name, random-looking values, endpoints) are reported only if a complementary part lies in their scope: an interval join
 of parts with the scopes around them, by document and bin, so that neither a document with very
 many parts nor a frequent kind is compared pair by pair.
 """
@@ -21,7 +21,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Whole runs of 18 or 16 characters: the same as every run, less those that are shorter.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-IDENTIFIER = r"""(?i:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.=-]{3,}"""
+IDENTIFIER = r"""(?i:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.=-]+"""
 RANDOM = r"[A-Za-z0-9+/_=-]{20,}+"
 ENDPOINT = r"""https?://[^\s"'<>]{4,}"""
 
@@ -33,7 +33,9 @@ KINDS = {
     "identifier": (IDENTIFIER, "identifier", False),
     "random": (RANDOM, "secret", False),
     "endpoint": (ENDPOINT, "endpoint", False),
+    "short": (ASSIGN, "secret", False),  # the matches of assign that are too short for it
 }
+SCANNED = [kind for kind in KINDS if kind != "short"]
 COMPLEMENTS = {"identifier": ["secret"], "secret": ["identifier", "endpoint"], "endpoint": ["secret"]}
 NUMBERS = {kind: n for n, kind in enumerate(KINDS)}
 
@@ -50,9 +52,9 @@ def _is_reported(kind: str, match: Column) -> Column:
 def _extract(docs: DataFrame) -> DataFrame:
     """For each kind the matches of a document, how long they are, and the gaps before them."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
-    for kind, (pattern, _, _) in KINDS.items():
-        rows = rows.withColumn(kind, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    return rows.select("row_id", "doc_id", *map(_measured, KINDS))
+    for kind in SCANNED:
+        rows = rows.withColumn(kind, F.regexp_extract_all("text", F.lit(KINDS[kind][0]), F.lit(0)))
+    return rows.select("row_id", "doc_id", *map(_measured, SCANNED))
 
 
 def _measured(kind: str) -> Column:
@@ -65,11 +67,14 @@ def _measured(kind: str) -> Column:
 
 def _parts(extracted: DataFrame) -> DataFrame:
     """One row per match that counts: row_id, kind, first, last (code points, last exclusive)."""
-    rows = extracted.select("row_id", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(k).alias("found")) for k, n in NUMBERS.items()])).alias("x"))
+    rows = extracted.select("row_id", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(k).alias("found")) for k, n in NUMBERS.items() if k in SCANNED])).alias("x"))
     rows = rows.select("row_id", "x.kind", F.posexplode("x.found").alias("at", "y")).select("row_id", "kind", "at", "y.*")
     before = Window.partitionBy("row_id", "kind").orderBy("at")
     last = F.sum(F.col("gap").cast("long") + F.col("size")).over(before)
-    return rows.select("row_id", "kind", (last - F.col("size")).alias("first"), last.alias("last"), "reported").where("reported").drop("reported")
+    parts = rows.select("row_id", "kind", (last - F.col("size")).alias("first"), last.alias("last"), "reported")
+    short = ~F.col("reported") & _of(["assign"])
+    parts = parts.withColumn("kind", F.when(short, NUMBERS["short"]).otherwise(F.col("kind")))
+    return parts.where(F.col("reported") | _of(["short"])).drop("reported")
 
 
 def _of(kinds: list[str]) -> Column:
@@ -116,7 +121,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     extracted = written(_extract(texts_of(docs, id_col, text_col)), "secrets")
     parts = written(_parts(extracted), "parts")
     strong = parts.where(_of([k for k, v in KINDS.items() if v[2]]))
-    weak = _without_overlap(parts.where(_of(["identifier", "endpoint"])), strong)
+    weak = _without_overlap(parts.where(_of(["identifier", "endpoint", "short"])), strong)
     random = _without_overlap(parts.where(_of(["random"])), strong.unionByName(weak))
     weak = written(weak.unionByName(random), "weak")
     found = strong.withColumn("strong", F.lit(True)).unionByName(_linked(weak, strong.unionByName(weak)).withColumn("strong", F.lit(False)))

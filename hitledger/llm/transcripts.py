@@ -4,7 +4,8 @@ A state is a role together with whether the line begins a turn. What a line show
 marker at its start, its length and whether it asks. Lengths, questions, turn lengths and the order
 of roles are counted from turns with known roles; how often markers are right or missing is given.
 
-A conversation can be of any length. It is cut into segments of turns, and each segment is one
+A conversation can be of any length. Its turns are put in order by ranges, written and cut into segments by their
+numbers in the written table, so that no task gathers a conversation; and each segment is one
 max-plus matrix: the best score from any state before it to any state at its end. The matrices of a
 conversation are chained, which gives the state at each cut, and then every segment is decoded by
 Viterbi on its own between its two states. That is the best path of the whole conversation. Parts of
@@ -27,6 +28,7 @@ from hitledger.llm.common import ship, written
 ROLES = ("system", "user", "assistant")
 STATES = tuple((role, begins) for role in range(3) for begins in (True, False))
 SEGMENT = 128  # turns
+SORTED_TEXT = 100  # characters of a text that part turns with one number
 
 #: Fixed: how speakers are called, by role, in lower case.
 SPEAKERS = {
@@ -161,7 +163,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     more segments follow."""
     names = ["conv_id", "segment", "entry", "last", "more"]
 
-    def conversation(conv: int | None, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    def conversation(conv: str | None, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         alphas, score = [], None
         for _, scores in held:
             score = scores[:6] if score is None else (score[:, None] + scores[6:].reshape(6, 6)).max(0)
@@ -171,7 +173,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entry = int((alphas[k - 1] + held[k][1][6:].reshape(6, 6)[:, at]).argmax()) if k else -1
             rows.append((conv, held[k][0], entry, at, k + 1 < len(held)))
             at = entry
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names)
 
     held, last = [], None
     for batch in batches:
@@ -185,8 +187,8 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield conversation(last, held)
 
 
-TURNS = "conv_id long, turn long, continues boolean, role string, n_lines long, rendered string"
-PARTS = "conv_id long, segment long, at long, starts boolean, turn long, continues boolean, role string, n_lines long, body string"
+TURNS = "conv_id string, turn long, continues boolean, role string, n_lines long, rendered string"
+PARTS = "conv_id string, segment long, at long, starts boolean, turn long, continues boolean, role string, n_lines long, body string"
 
 
 def render(role: str, text: str) -> str:
@@ -237,22 +239,52 @@ def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, TURNS)
 
 
+def _segments(segment: int):
+    """Over turns in order: those of a conversation, in rows of `segment` turns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            conv, number, turns = zip(*done)
+            return pa.RecordBatch.from_arrays([pa.array(conv, pa.string()), pa.array(number, pa.int64()), pa.array(turns, kind)], ["conv_id", "segment", "turns"])
+
+        kind = pa.list_(pa.struct([("turn", pa.int64()), ("text", pa.string())]))
+        last, held = None, []
+        for batch in batches:
+            done = []
+            for conv, turn, text, place in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if held and (conv != last[0] or len(held) == segment):
+                    done.append((*last, held))
+                    held = []
+                if not held:
+                    last = (conv, place)
+                held.append({"turn": turn, "text": text})
+            if done:
+                yield rows(done)
+        if held:
+            yield rows([(*last, held)])
+
+    return run
+
+
 def parse_transcripts(parts: DataFrame, model: RoleModel, segment: int = SEGMENT) -> DataFrame:
     """One row per recovered turn: conv_id, turn, continues, role, n_lines, rendered.
 
-    parts has conv_id, turn (the order) and text, of any number of lines, without roles. turn is
-    that of the first line. A turn that goes on over cuts between segments is one row; continues
+    parts has conv_id of any simple type, turn (the order) and text, of any number of lines, without
+    roles. turn is that of the first line. A turn that goes on over cuts between segments is one row; continues
     marks a conversation whose first line goes on with a turn from before it. Null texts are one empty line; null turns come first, ties
     by text; null conversations are one conversation. Closing marks and markers of known speakers
-    are not part of the text.
+    are not part of the text. A conversation's turns, equal and null numbers among them, are dealt to
+    ranges of (conversation, turn, first SORTED_TEXT characters).
     """
     ship(parts.sparkSession)
-    rows = parts.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    number = F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(2**62))).cast("long")
-    cut = rows.groupBy("conv_id", number.alias("segment")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    id_type = parts.schema["conv_id"].dataType
+    rows = parts.select(F.col("conv_id").cast("string"), F.col("turn").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = rows.repartitionByRange("conv_id", "turn", F.substring("text", 1, SORTED_TEXT)).sortWithinPartitions("conv_id", "turn", "text")
+    numbered = dealt.withColumn("place", F.monotonically_increasing_id())
+    cut = numbered.mapInArrow(_segments(segment), "conv_id string, segment long, turns array<struct<turn:long,text:string>>")
     cut = written(cut, "segments")
-    matrices = cut.mapInArrow(_matrices(model), "conv_id long, segment long, scores array<double>")
-    states = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInArrow(_chain, "conv_id long, segment long, entry int, last int, more boolean")
+    matrices = cut.mapInArrow(_matrices(model), "conv_id string, segment long, scores array<double>")
+    states = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInArrow(_chain, "conv_id string, segment long, entry int, last int, more boolean")
     states = written(states.withColumnRenamed("conv_id", "c").withColumnRenamed("segment", "s"), "states")
 
     def decoded(states: DataFrame, at_cuts: bool) -> DataFrame:
@@ -261,11 +293,12 @@ def parse_transcripts(parts: DataFrame, model: RoleModel, segment: int = SEGMENT
 
     whole, divided = decoded(states, False), states.where("more or entry >= 0")
     if divided.isEmpty():
-        return whole
+        return whole.withColumn("conv_id", F.col("conv_id").cast(id_type))
     number = F.sum(F.col("starts").cast("long")).over(Window.partitionBy("conv_id").orderBy("segment", "at"))
     part = F.struct("segment", "at", "turn", "continues", "role", "n_lines", "body")
     turns = decoded(divided, True).withColumn("number", number).groupBy("conv_id", "number").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    return whole.unionByName(turns.select("conv_id", "parts").mapInArrow(_join_parts, TURNS))
+    found = whole.unionByName(turns.select("conv_id", "parts").mapInArrow(_join_parts, TURNS))
+    return found.withColumn("conv_id", F.col("conv_id").cast(id_type))
 
 
 def marked_parts(turns: DataFrame) -> DataFrame:

@@ -75,6 +75,24 @@ def test_awkward_rows(spark, model):
     assert t.parse_transcripts(parts.limit(0), model).count() == 0
 
 
+def test_turns_without_numbers_are_cut_too(spark, model, monkeypatch):
+    rows = [("c é", None, f"User: number {k:05d}") for k in range(5_000)] + [("d", 7, f"Assistant: {k}") for k in range(700)]
+    sizes, plain = [], t.written
+
+    def written(df, what):
+        out = plain(df, what)
+        if what == "segments":
+            sizes.extend(r.n for r in out.selectExpr("size(turns) AS n").collect())
+        return out
+
+    monkeypatch.setattr(t, "written", written)
+    found = t.parse_transcripts(spark.createDataFrame(rows, "conv_id string, turn long, text string"), model).collect()
+    assert max(sizes) <= t.SEGMENT and sum(sizes) == 5_700
+    assert sum(r.n_lines for r in found) == 5_700 and {r.conv_id for r in found} == {"c é", "d"}
+    said = "".join(r.rendered for r in found if r.conv_id == "c é")
+    assert all(f"number {k:05d}" in said for k in range(5_000))
+
+
 def test_a_model_of_no_turns(spark, turns):
     model = t.RoleModel.fit(turns.limit(0))
     assert np.isfinite(model.step).all() and t.parse_transcripts(t.marked_parts(turns), model).count() > 0
