@@ -27,10 +27,11 @@ from hitledger.plans.event_logs import (
     event_requests,
     huge_lines,
     odd_lines,
+    odd_named_logs,
     page_lines,
     written_logs,
 )
-from hitledger.plans.ledger import analyze
+from hitledger.plans.ledger import Ledger, analyze
 from hitledger.sinks import json_document, tables
 from hitledger.sinks.scratch import scratch_path
 from hitledger.sources.log_files import read_lines, resolve_inputs
@@ -196,12 +197,15 @@ def date_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two logs counted apart, error events and the others, then added up."""
+    """Two logs counted and saved apart, error events and the others, then added up side by side."""
     lines = event_lines(spark, sf_dir)
     errors = F.col("event_type") == "error"
-    return counting.merge_counters(
-        counting.count_lines(lines.where(errors)), counting.count_lines(lines.where(~errors))
-    )
+    ledgers = []
+    for own, buckets in ((lines.where(errors), 8), (lines.where(~errors), 16)):
+        path = scratch_path(spark, "snapshot")
+        tables.save_snapshot(counting.count_lines(own), path, buckets=buckets)
+        ledgers.append(Ledger(tables.load_snapshot(spark, path), snapshot=path))
+    return ledgers[0].merged_with(ledgers[1]).counters
 
 
 def pct_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +271,7 @@ def trend_points_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV and read back."""
     path = scratch_path(spark, "export")
-    tables.export_csv(_counters(spark, sf_dir), path)
+    tables.export_csv(tables.materialize(_counters(spark, sf_dir)), path)
     return tables.read_export(spark, path)
 
 
@@ -297,6 +301,13 @@ def several_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_lines(read_lines(spark, files))
 
 
+def odd_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in files with names that Spark passes over, each named as an input of its own."""
+    folder = scratch_path(spark, "logs")
+    files = odd_named_logs(spark, sf_dir, folder)
+    return counting.count_lines(read_lines(spark, resolve_inputs(spark, files)))
+
+
 def carriage_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log whose lines end in CR LF."""
     path = scratch_path(spark, "log")
@@ -399,6 +410,7 @@ def queries() -> dict[str, Query]:
         "json_roundtrip": json_roundtrip,
         "scan_log_files": scan_log_files,
         "several_inputs": several_inputs,
+        "odd_file_names": odd_file_names,
         "carriage_returns": carriage_returns,
         "undecodable_and_bare_lines": undecodable_and_bare_lines,
         "save_and_export": save_and_export,

@@ -134,6 +134,19 @@ def daily_logs(spark: SparkSession, sf_dir: str, folder: str) -> str:
     return f"{folder}/daily"
 
 
+def odd_named_logs(spark: SparkSession, sf_dir: str, folder: str) -> list[str]:
+    """The event log in files below a new folder whose names begin or end like those of unfinished files."""
+    event_lines(spark, sf_dir).select("value").repartition(3).write.text(folder, lineSep="\n")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    forms, paths = ("_{}.log", ".hidden {}", "{}.log._COPYING_"), []
+    for number, entry in enumerate(files.listStatus(root)):
+        if entry.getPath().getName().startswith("part-"):
+            paths.append(f"{folder}/{forms[number % 3].format(number)}")
+            files.rename(entry.getPath(), spark._jvm.org.apache.hadoop.fs.Path(paths[-1]))
+    return paths
+
+
 def _name_files(spark: SparkSession, folder: str, prefix: str) -> None:
     """Renames Spark's files to prefix-number; there are as many as the writing job had tasks."""
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)

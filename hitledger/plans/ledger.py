@@ -29,9 +29,12 @@ class Ledger:
         sort_by: str = "visits",
         top: int = names.DEFAULT_TOP,
         graph_items: int = 0,
+        snapshot: str | None = None,
     ):
+        """``snapshot`` is the folder that ``save_snapshot`` wrote the counters to, if it did."""
         names.sort_column(sort_by)
         self.counters = counters
+        self.snapshot = snapshot
         self.sort_by = sort_by
         self.top = top
         self.graph_items = graph_items
@@ -62,13 +65,22 @@ class Ledger:
         return ranking.trend_points(self.counters, granularity)
 
     def merged_with(self, other: Ledger) -> Ledger:
-        """A ledger of both inputs, written to the shared folder."""
-        both = counting.merge_counters(self.counters, other.counters)
-        # two ledgers hold counters, not lines: a partition takes far fewer bytes of them
-        size = (_input_bytes(self.counters) + _input_bytes(other.counters)) * (INPUT_BYTES_PER_SHUFFLE_PARTITION // COUNTER_BYTES_PER_SHUFFLE_PARTITION)
-        with _enough_shuffle_partitions(self.counters.sparkSession, size):
-            merged = tables.materialize(both)
-        return Ledger(merged, self.sort_by, self.top, self.graph_items)
+        """A ledger of both inputs, written to the shared folder.
+
+        Two snapshots are added up bucket by bucket, without a shuffle; other counters are dealt anew.
+        """
+        spark = self.counters.sparkSession
+        path = scratch_path(spark, "merged")
+        snapshots = [self.snapshot, other.snapshot]
+        if all(s and tables.snapshot_buckets(spark, s) for s in snapshots):
+            tables.merge_snapshots(spark, *snapshots, path)
+        else:
+            both = counting.merge_counters(self.counters, other.counters)
+            # two ledgers hold counters, not lines: a partition takes far fewer bytes of them
+            size = (_input_bytes(self.counters) + _input_bytes(other.counters)) * (INPUT_BYTES_PER_SHUFFLE_PARTITION // COUNTER_BYTES_PER_SHUFFLE_PARTITION)
+            with _enough_shuffle_partitions(spark, size) as buckets:
+                tables.save_snapshot(both, path, buckets=buckets)
+        return Ledger(tables.load_snapshot(spark, path), self.sort_by, self.top, self.graph_items, path)
 
     def save(self, path: str, mode: str = "error") -> None:
         tables.save_snapshot(self.counters, path, mode)
@@ -114,18 +126,19 @@ def analyze(
         if files:
             raise ValueError("load_db cannot be combined with log files")
         counters = load_counters(spark, load_db)
+        snapshot = load_db if _is_snapshot(spark, load_db) else None
         if save_db is not None:
-            tables.save_snapshot(counters, save_db, mode)
+            tables.save_snapshot(counters, save_db, mode, snapshot and tables.snapshot_buckets(spark, snapshot))
     else:
         resolved = resolve_inputs(spark, files)
         rules = GroupingRules.from_options(spark, **group_options)
         lines = read_lines(spark, resolved, invalid_utf8)
         counted = counting.with_file_count(counting.count_lines(lines, rules), len(resolved))
         target = save_db if save_db is not None else scratch_path(spark, "counters")
-        with _enough_shuffle_partitions(spark, _input_bytes(lines)):
-            tables.save_snapshot(counted, target, mode)
-        counters = tables.load_snapshot(spark, target)
-    ledger = Ledger(counters, sort_by, top, graph_items)
+        with _enough_shuffle_partitions(spark, _input_bytes(lines)) as buckets:
+            tables.save_snapshot(counted, target, mode, buckets)
+        counters, snapshot = tables.load_snapshot(spark, target), target
+    ledger = Ledger(counters, sort_by, top, graph_items, snapshot)
     if export_csv is not None:
         ledger.export_csv(export_csv, mode)
     return ledger
@@ -138,9 +151,11 @@ def _input_bytes(lines: DataFrame) -> int:
 
 
 @contextmanager
-def _enough_shuffle_partitions(spark: SparkSession, input_bytes: int) -> Iterator[None]:
+def _enough_shuffle_partitions(spark: SparkSession, input_bytes: int) -> Iterator[int]:
     """At least as many shuffle partitions as the input calls for, while the counters are written.
 
+    Gives the number that the input calls for.
+
     Adaptive execution joins partitions that turn out small, but cannot split those of an
     aggregate.
     """
@@ -148,7 +163,7 @@ def _enough_shuffle_partitions(spark: SparkSession, input_bytes: int) -> Iterato
     wanted = -(-input_bytes // INPUT_BYTES_PER_SHUFFLE_PARTITION)
     spark.conf.set(SHUFFLE_PARTITIONS, max(int(configured), wanted))
     try:
-        yield
+        yield wanted
     finally:
         spark.conf.set(SHUFFLE_PARTITIONS, configured)
 
@@ -160,14 +175,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def load_counters(spark: SparkSession, path: str) -> DataFrame:
     """Counters of a snapshot folder or of a JSON document; a document is read once, re-written."""
-    folders = _folder_names(spark, path)
-    if any(name.startswith("kind=") for name in folders):
+    if _is_snapshot(spark, path):
         return tables.load_snapshot(spark, path)
-    if any(name.startswith("section=") for name in folders):
+    if any(name.startswith("section=") for name in _folder_names(spark, path)):
         return tables.materialize(json_document.load_document_folder(spark, path))
     return tables.materialize(json_document.load_document(spark, path))
 
 
+def _is_snapshot(spark: SparkSession, path: str) -> bool:
+    return any(name.startswith("kind=") for name in _folder_names(spark, path))
+
+
 def _folder_names(spark: SparkSession, path: str) -> list[str]:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     file_system = jpath.getFileSystem(spark._jsc.hadoopConfiguration())

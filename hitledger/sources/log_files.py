@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,6 @@ LOG_FILE_PREFIX = "access.log"
 NOTHING_IN_DIRECTORY = "directory {} holds no access.log file of its own"
 NOTHING_RESOLVED = "there is no log to read: name a file or a directory"
 NOT_UTF8 = "a line is not UTF-8 in file "
-_LISTED = re.compile(r"path=(.*?); isDirectory=(true|false);", re.DOTALL)
 
 # Where a mode is asked for: fail the run, or make such lines rejects and keep their bytes.
 INVALID_UTF8_MODES = ("fail", "reject")
@@ -51,11 +51,13 @@ def _directory_logs(spark: SparkSession, path: str) -> list[str] | None:
 
 
 def _listing(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
-    """Path and whether it is a directory, of all entries; one call, however many there are."""
+    """Path and whether it is a directory, of all entries. No path can hold the character between them."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     entries = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jpath)
-    text = spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(entries)
-    return [(m[1], m[2] == "true") for m in _LISTED.finditer(text)]
+    paths = spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(entries)
+    joined = spark._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(paths).mkString("\0")
+    found = joined.split("\0") if len(entries) else []
+    return [(name, entry.isDirectory()) for name, entry in zip(found, entries)]
 
 
 def _name(path: str) -> str:
@@ -73,19 +75,18 @@ def read_lines(
     """One row per line in column ``value``, without its line feed and one carriage return.
 
     Only a line feed ends a line; a last line without one counts, an empty file has none. A line
-    that is not UTF-8 ends the run with its file's name. With ``invalid_utf8="reject"`` it becomes
+    that is not UTF-8 ends the run with its file's name. Files can have any name. With ``invalid_utf8="reject"`` it becomes
     a null ``value``, which the parser counts as a reject, and column ``undecodable`` keeps its
     bytes. Compressed files are decompressed by their ending, each as one task.
     """
     if invalid_utf8 not in INVALID_UTF8_MODES:
         raise ValueError(f"invalid_utf8 must be one of {', '.join(INVALID_UTF8_MODES)}")
     files = [str(f) for f in files]
-    if skipped := [f for f in files if _spark_skips(_name(f))]:
-        raise ValueError(f"Spark skips files of such names, rename {skipped[0]}")
-    reader = spark.read.option("lineSep", "\n")
-    folder = _whole_folder(spark, files)
+    plain, options = _plain_names(spark, files)
+    reader = spark.read.options(lineSep="\n", **options)
+    folder = None if options else _whole_folder(spark, files)
     if folder is None:
-        text = reader.text([_literal_path(f) for f in files])
+        text = reader.text([_literal_path(plain.get(f, f)) for f in files])
     else:
         text = reader.option("pathGlobFilter", f"{LOG_FILE_PREFIX}*").text(_literal_path(folder))
     if len(text._jdf.inputFiles()) != len(set(files)):
@@ -98,10 +99,35 @@ def read_lines(
             F.when(readable, line).alias("value"),
             F.when(~readable, raw.cast("binary")).alias("undecodable"),
         )
-    failure = F.raise_error(F.concat(F.lit(NOT_UTF8), F.input_file_name()))
+    name = F.input_file_name()
+    if plain:
+        known = F.create_map(*[F.lit(x) for file, other in plain.items() for x in (other, file)])
+        name = F.coalesce(known[name], name)
+    failure = F.raise_error(F.concat(F.lit(NOT_UTF8), name))
     return text.select(F.when(readable, line).otherwise(failure).alias("value"))
 
 
+def _plain_names(spark: SparkSession, files: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+    """Other paths for the files whose names Spark would skip, and the reader options that make them.
+
+    A mount table, which holds for this reader alone, links a plain name to each file; endings stay,
+    as they tell how a file is compressed. The files are read where they are, and split like others.
+    """
+    skipped = sorted({f for f in files if _spark_skips(_name(f))})
+    if not skipped:
+        return {}, {}
+    table, plain = f"names{uuid.uuid4().hex}", {}
+    options = {"fs.viewfs.impl.disable.cache": "true"}
+    for number, file in enumerate(skipped):
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(file)
+        whole = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath)
+        ending = re.search(r"(?<=.)\.[A-Za-z0-9]+\Z", _name(file))
+        link = f"/file-{number}{ending[0] if ending else ''}"
+        options[f"fs.viewfs.mounttable.{table}.link.{link}"] = whole.toUri().toString()
+        plain[file] = f"viewfs://{table}{link}"
+    return plain, options
+
+
 def _whole_folder(spark: SparkSession, files: list[str]) -> str | None:
     """The folder whose log files these are, if they are all of them, each once.
 

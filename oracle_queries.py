@@ -186,6 +186,7 @@ rec AS (
 
 ORACLE_SQL = {
     "several_inputs": _counters(log=_TWICE) + "SELECT * FROM counters",
+    "odd_file_names": _COUNTERS + "SELECT * FROM counters",
     "carriage_returns": _COUNTERS + "SELECT * FROM counters",
     "undecodable_and_bare_lines": _counters(log=_ODD) + "SELECT * FROM counters",
     "save_and_export": _COUNTERS + """

@@ -52,7 +52,8 @@ def test_snapshot_round_trip_and_pruning(spark, odd, tmp_path):
     loaded = tables.load_snapshot(spark, path)
     assert loaded.schema == names.COUNTER_SCHEMA
     assert as_dict(loaded) == as_dict(odd)
-    assert len(part_files(tmp_path / "snapshot" / "kind=dimension%3Apath")) == 1
+    files = part_files(tmp_path / "snapshot" / "kind=dimension%3Apath")
+    assert 1 <= len(files) <= tables.LEAST_BUCKETS == tables.snapshot_buckets(spark, path)
     plan = counting.dimension_counters(loaded, "ip")._jdf.queryExecution().executedPlan()
     assert "PartitionFilters: [isnotnull(kind" in plan.toString()
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
@@ -80,6 +81,42 @@ def test_a_big_kind_is_split_over_files(spark, tmp_path):
         assert tables.load_snapshot(spark, str(path)).count() == 300_001
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("buckets", [(8, 8), (8, 32), (100, 16)])
+def test_snapshots_are_added_up_without_a_shuffle(spark, odd, tmp_path, buckets, monkeypatch):
+    other = odd.where("kind <> 'trend:hour'").withColumn("bucket", F.when(F.col("visits") % 2 == 0, F.concat("bucket", F.lit("'x\\"))).otherwise(F.col("bucket")))
+    paths = [str(tmp_path / name) for name in ("it's one", "two", "merged")]
+    for rows, path, many in zip((odd, other), paths, buckets):
+        tables.save_snapshot(rows, path, buckets=many)
+    plans, plain = [], tables.merged_buckets
+
+    def merged_buckets(*args):
+        out = plain(*args)
+        plans.append(plan_of(out))
+        return out
+
+    monkeypatch.setattr(tables, "merged_buckets", merged_buckets)
+    ledgers = [Ledger(tables.load_snapshot(spark, p), snapshot=p) for p in paths[:2]]
+    merged = ledgers[0].merged_with(ledgers[1])
+    assert as_dict(merged.counters) == as_dict(counting.merge_counters(odd, other))
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "SortMergeJoin" in plans[0]
+    assert tables.snapshot_buckets(spark, merged.snapshot) == 1 << (min(buckets) - 1).bit_length()
+    again = merged.merged_with(ledgers[0])
+    assert as_dict(again.counters) == as_dict(counting.merge_counters(odd, other, odd))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("hitledger_")]
+
+
+def test_an_export_shuffles_no_dimension(spark, odd, tmp_path):
+    path = str(tmp_path / "snapshot")
+    tables.save_snapshot(odd, path)
+    dimensions, series = tables._sections(tables.load_snapshot(spark, path))
+    assert "Exchange" not in plan_of(dimensions)
+    assert "rangepartitioning(section" in plan_of(series)
+
+
 def test_csv_is_read_alike_by_others(odd, tmp_path):
     path = str(tmp_path / "export")
     tables.export_csv(odd, path)

@@ -121,10 +121,29 @@ def test_invalid_utf8_can_become_a_reject(spark, tmp_path):
         read_lines(spark, [path], invalid_utf8="ignore")
 
 
-@pytest.mark.parametrize("name", ["_x.log", ".x.log"])
-def test_names_that_spark_would_skip_are_refused(spark, tmp_path, name):
-    with pytest.raises(ValueError, match="Spark skips"):
-        read_lines(spark, [write(tmp_path, name, OK)])
+@pytest.mark.parametrize("name", ["_x.log", ".x.log", "access.log._COPYING_", ".x é%20#.log"])
+def test_names_that_spark_would_skip_are_read(spark, tmp_path, name):
+    path, other = write(tmp_path, name, OK + b"\n" + NEXT), write(tmp_path, "plain.log", OK)
+    assert sorted(lines_in(spark, path, other, path)) == sorted([OK.decode()] * 3 + [NEXT.decode()] * 2)
+    broken = write(tmp_path, name, OK + b"\n" + b"a\xff\xfeb\n")
+    with pytest.raises(Exception) as failure:
+        lines_in(spark, broken)
+    assert name in str(failure.value) and "not UTF-8" in str(failure.value)
+
+
+def test_a_directory_with_odd_names(spark, tmp_path):
+    write(tmp_path, "access.log", OK)
+    write(tmp_path, "access.log._COPYING_", OK)
+    write(tmp_path, "_access.log", OK)
+    (tmp_path / "access.log.d").mkdir()
+    resolved = resolve_inputs(spark, [str(tmp_path)])
+    assert [p.rsplit("/", 1)[1] for p in resolved] == ["access.log", "access.log._COPYING_"]
+    assert len(lines_in(spark, *resolved)) == 2
+
+
+def test_compressed_log_with_an_odd_name(spark, tmp_path):
+    path = write(tmp_path, "_access.log.2.gz", gzip.compress(OK + b"\n" + NEXT))
+    assert len(lines_in(spark, path)) == 2
 
 
 def test_compressed_log(spark, tmp_path):
