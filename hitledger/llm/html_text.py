@@ -4,13 +4,16 @@ The text of a page falls into blocks, and each block hangs on a path of block el
 root. Per path the page's blocks, characters, punctuation and link characters are added up. The
 ratios of a path are smoothed with those of the paths around it, level by level up to the root;
 length, punctuation, links (inside an article only where names mark lists of links) and what the
-names on the path mean are fused into one score; and the paths within a fixed ratio of the page's best are content.
+names on the path mean are fused into one score. The threshold comes from the page: where the scores of its
+paths leave the widest gap, below those that are surely content. No block goes for its names
+alone; only elements that never hold the article (scripts, forms, menus, footers and the like) and what
+is hidden are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -19,8 +22,11 @@ from pyspark.sql import functions as F
 
 from hitledger.llm.common import ship
 
-THRESHOLD = 0.03  # of the best path's score
-INSIDE_ARTICLE = 100.0
+SURE = 0.05  # of the best path's score: content whatever the others are
+LEAST = 0.01  # of it: no content
+GAP = 2.5  # how many times the score below a gap the one above it is, at least
+INSIDE_ARTICLE = 30.0
+NAMED_NOISE = 0.03
 NEAR = 0.5  # weight of the paths around, halved again with each level up
 
 #: Fixed: elements that never hold text of the article, elements that end a block, those without an end.
@@ -34,16 +40,18 @@ BLOCK_TAGS = frozenset(
     " p pre section summary table tbody td tfoot th thead title tr ul caption head script style template".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Fixed: words in class, id and role that mark other things than the article.
+#: Fixed: words in class, id and role that mark other things than the article, wherever they are.
 NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion"
-    " sidebar aside nav navbar navigation menu menubar breadcrumb breadcrumbs topbar footer bottom cookie cookies"
-    " consent gdpr notice notices alert popup modal overlay dialog newsletter subscribe subscription signup login"
-    " signin register search searchbox share sharing social related recommended recommendations comment comments"
-    " commentlist disqus reply replies respond widget widgets toolbar pagination pager legal copyright contentinfo"
-    " complementary skip hidden form feedback".split()
+    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion"
+    " sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs topbar cookie cookies consent gdpr"
+    " popup modal overlay newsletter subscribe subscription signup login signin share sharing social"
+    " recommended recommendations comment comments commentlist disqus respond widget widgets toolbar pagination pager".split()
+)
+#: Words that mark them outside an article, but can name a part of it.
+OUTSIDE_WORDS = frozenset(
+    "header head masthead banner top aside footer bottom notice notices alert dialog register search searchbox"
+    " related reply replies legal copyright contentinfo complementary skip hidden form feedback".split()
 )
-OUTSIDE_WORDS = frozenset("header head masthead banner top".split())  # only outside the article
 LINK_WORDS = frozenset("links linklist toc tags tag categories category topics archive archives more next prev previous".split())  # inside it
 ARTICLE_WORDS = frozenset("article articlebody main maincontent".split())
 #: What a start tag closes, if it is open: element -> elements that stop the search.
@@ -62,24 +70,28 @@ WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+#: Path, in an article, weight of the names, text, link characters.
+Block = tuple[tuple[str, ...], bool, float, str, int]
+
+
 class _Blocks(HTMLParser):
-    """Reads a page into blocks: path, text, link characters."""
+    """Reads a page into blocks: path, whether it is in an article, the weight of its names, text, link characters."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, str]] = []  # tag, noise, article, name on the path
-        self.blocks: list[tuple[tuple[str, ...], bool, str, int]] = []
+        self.open: list[tuple[str, bool, bool, float, str]] = []  # tag, not read, article, weight, name on the path
+        self.blocks: list[Block] = []
         self.text: list[str] = []
         self.links = 0
 
-    def _state(self) -> tuple[bool, bool]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, False)
+    def _state(self) -> tuple[bool, bool, float]:
+        return self.open[-1][1:4] if self.open else (False, False, 1.0)
 
     def end_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            path = tuple(name for _, _, _, name in self.open if name)
-            self.blocks.append((path, self._state()[1], text, self.links))
+            path = tuple(name for *_, name in self.open if name)
+            self.blocks.append((path, *self._state()[1:], text, self.links))
         self.text, self.links = [], 0
 
     def _pop_to(self, at: int) -> None:
@@ -112,24 +124,27 @@ class _Blocks(HTMLParser):
             self.end_block()
         if tag in VOID_TAGS:
             return
-        noise, article = self._state()
+        unread, article, weight = self._state()
         given = {k: v or "" for k, v in attrs}
         marks = CAMEL.sub(" ", " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop")))
         words = set(WORD.findall(marks.lower()))
-        article = article or tag in ("article", "main") or bool(words & ARTICLE_WORDS)
+        named = bool(words & NOISE_WORDS)
+        if named or (not article and words & OUTSIDE_WORDS):
+            weight *= NAMED_NOISE
+        article = article or (weight == 1.0 and (tag in ("article", "main") or bool(words & ARTICLE_WORDS)))
         style = given.get("style", "").replace(" ", "").lower()
-        noise = (
-            noise
+        unread = (
+            unread
             or tag in NOISE_TAGS
-            or bool(words & NOISE_WORDS)
-            or (not article and (tag == "header" or bool(words & OUTSIDE_WORDS)))
+            or (tag == "header" and not article)
+            or (named and tag not in BLOCK_TAGS)  # inside a block, which has one score
             or "hidden" in given
             or given.get("aria-hidden", "").lower() == "true"
             or "display:none" in style
             or "visibility:hidden" in style
         )
         name = ".".join([tag, *sorted(words)]) if tag in BLOCK_TAGS else ""
-        self.open.append((tag, noise, article, name))
+        self.open.append((tag, unread, article, weight, name))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML
@@ -164,10 +179,10 @@ def _whole(html: str) -> str:
     return html
 
 
-def _scores(blocks: list[tuple[tuple[str, ...], bool, str, int]]) -> dict[tuple[tuple[str, ...], bool], float]:
+def path_scores(blocks: list[Block]) -> dict[tuple[tuple[str, ...], bool, float], float]:
     """The fused score of each path."""
     sums: dict[tuple[str, ...], list[float]] = {}
-    for path, _, text, links in blocks:
+    for path, _, _, text, links in blocks:
         own = (1, len(text), len(PUNCTUATION.findall(text)), links)
         for depth in range(len(path) + 1):
             key = path[:depth] if depth < len(path) else (*path, "")  # the path itself apart from what hangs below
@@ -175,7 +190,7 @@ def _scores(blocks: list[tuple[tuple[str, ...], bool, str, int]]) -> dict[tuple[
             for k in range(4):
                 held[k] += own[k]
     scores = {}
-    for path, article in {(path, article) for path, article, _, _ in blocks}:
+    for path, article, named in {block[:3] for block in blocks}:
         length = punctuation = total = 0.0
         weight = 1.0
         for key in [(*path, ""), *(path[:d] for d in range(len(path), -1, -1))]:
@@ -186,19 +201,31 @@ def _scores(blocks: list[tuple[tuple[str, ...], bool, str, int]]) -> dict[tuple[
         n, chars, _, links = sums[(*path, "")]
         lists_links = not article or any(LINK_WORDS.intersection(name.split(".")) for name in path)
         apart = max(0.05, 1 - links / max(chars, 1)) if lists_links else 1.0
-        scores[path, article] = (length / total * (1 + punctuation / total)) ** 0.5 * apart * (INSIDE_ARTICLE if article else 1.0)
+        fused = (length / total * (1 + punctuation / total)) ** 0.5 * apart * named
+        scores[path, article, named] = fused * (INSIDE_ARTICLE if article else 1.0)
     return scores
 
 
+def threshold(scores: Iterable[float]) -> float:
+    """The least score of content: above the widest gap of those that start below SURE of the best."""
+    ordered = sorted(set(scores))
+    best = ordered[-1] if ordered else 0.0
+    least, widest = LEAST * best, GAP
+    for below, above in zip(ordered, ordered[1:]):
+        if LEAST * best <= below < SURE * best and above >= widest * below:
+            least, widest = above, above / below
+    return least
+
+
 def main_text(html: str) -> str:
     """The article of one page: its blocks in order, one per line."""
     parser = _Blocks()
     parser.feed(_whole(html))
     parser.close()
     parser.end_block()
-    scores = _scores(parser.blocks)
-    least = THRESHOLD * max(scores.values(), default=0.0)
-    return "\n".join(text for path, article, text, _ in parser.blocks if scores[path, article] >= least)
+    scores = path_scores(parser.blocks)
+    least = threshold(scores.values())
+    return "\n".join(block[3] for block in parser.blocks if scores[block[:3]] >= least)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
