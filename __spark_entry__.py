@@ -287,6 +287,14 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_document.load_document_folder(spark, path)
 
 
+def json_any_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved, written as one indented JSON document in one file, and read back from that."""
+    path = scratch_path(spark, "document")
+    lines = json_document.document_lines(snapshot_roundtrip(spark, sf_dir)).orderBy("section", "bucket")
+    lines.select("value").coalesce(1).write.text(path, lineSep="\n    ")
+    return json_document.load_document(spark, path)
+
+
 def scan_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log written as text files, then scanned, parsed and counted from there."""
     path = scratch_path(spark, "log")
@@ -408,6 +416,7 @@ def queries() -> dict[str, Query]:
         "export_rows": export_rows,
         "snapshot_roundtrip": snapshot_roundtrip,
         "json_roundtrip": json_roundtrip,
+        "json_any_layout": json_any_layout,
         "scan_log_files": scan_log_files,
         "several_inputs": several_inputs,
         "odd_file_names": odd_file_names,

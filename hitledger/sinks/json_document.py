@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hitledger import names
+from hitledger.sources.any_document import read_any
 from hitledger.sources.compact_document import read_compact
 
 # The names of the maps in the document and the kinds they hold, in their order.
@@ -107,19 +106,11 @@ def save_document(counters: DataFrame, path: str, mode: str = "error") -> None:
 def load_document(spark: SparkSession, path: str) -> DataFrame:
     """Counter table of a document in one file. Group rules are not applied again.
 
-    A compact document is read in parallel. Any other is one JSON value to Spark and is read by
-    one task. Text that is no such document fails the run.
+    A compact document is cut into its buckets; any other into its strings. Either way it is read in
+    parallel. Text that is no such document is an error.
     """
     compact = read_compact(spark, path, MAPS)
-    return _whole_document(spark, path) if compact is None else compact
-
-
-def _whole_document(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
-    document = _parsed(text, F.col("value"))
-    maps = [F.transform(F.map_entries(name), _map_row(kind)) for name, kind in MAPS.items()]
-    rows = F.concat(_scalar_rows(), *maps)
-    return _checked(document.select(F.inline_outer(rows)), path)
+    return read_any(spark, path, MAPS, SCALARS) if compact is None else compact
 
 
 def load_document_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -154,12 +145,6 @@ def _row(kind: str, bucket: Column, visits: Column, traffic_bytes: Column) -> Co
     )
 
 
-def _map_row(kind: str) -> Callable[[Column], Column]:
-    return lambda entry: _row(
-        kind, entry["key"], entry["value"]["visits"], entry["value"]["traffic_bytes"]
-    )
-
-
 def _scalar_rows() -> Column:
     everything, zero = F.lit(names.META_BUCKET), F.lit(0).cast(names.BYTES_TYPE)
     return F.array(

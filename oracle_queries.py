@@ -310,6 +310,10 @@ FROM ranked WHERE rank <= 12
     "snapshot_roundtrip": _COUNTERS + """
 SELECT * FROM counters
 UNION ALL SELECT 'meta:files', 'all', CAST(1 AS BIGINT), CAST(0 AS BIGINT)
+""",
+    "json_any_layout": _COUNTERS + """
+SELECT * FROM counters
+UNION ALL SELECT 'meta:files', 'all', CAST(1 AS BIGINT), CAST(0 AS BIGINT)
 """,
     "json_roundtrip": _COUNTERS + """
 SELECT * FROM counters

@@ -11,6 +11,8 @@ from hitledger.plans import ledger as ledger_plan
 from hitledger.plans.ledger import load_counters
 from hitledger.sinks import json_document, tables
 from hitledger.sinks.scratch import scratch_path
+from hitledger.sources import any_document
+from hitledger.sources.any_document import read_any
 from hitledger.sources.compact_document import read_compact
 from hitledger.sources.log_files import read_lines
 from tests.conftest import counter_table
@@ -204,6 +206,14 @@ def write_compact(path, document, end=""):
     return text
 
 
+def counters_of(document):
+    """A document, as nested dictionaries, like as_dict."""
+    scalars = document["aggregates"]
+    expected = {(kind, bucket): (c["visits"], c["traffic_bytes"]) for name, kind in json_document.MAPS.items() for bucket, c in scalars[name].items()}
+    expected["meta:total", "all"] = (scalars["total_visits"], scalars["total_traffic_bytes"])
+    return {**expected, ("meta:parse_errors", "all"): (scalars["parse_errors"], 0), ("meta:files", "all"): (document["files_count"], 0)}
+
+
 def in_parallel(spark, path):
     rows = read_compact(spark, str(path), json_document.MAPS)
     return None if rows is None else as_dict(rows)
@@ -217,7 +227,7 @@ def test_compact_document_is_read_in_parallel(spark, odd, compact):
     # a map may begin with a bucket named like a field
     document["aggregates"]["by_day"] = {"visits": {"visits": 1, "traffic_bytes": 2}}
     write_compact(path, document, end="\n")
-    expected = as_dict(json_document._whole_document(spark, str(path)))
+    expected = counters_of(document)
     assert len(expected) > 130 and expected["trend:day", "visits"] == (1, 2)
     assert in_parallel(spark, path) == expected
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
@@ -237,7 +247,7 @@ def test_empty_maps_of_a_compact_document(spark, compact):
         for name in empty:
             document["aggregates"][name] = {}
         write_compact(path, document)
-        expected = as_dict(json_document._whole_document(spark, str(path)))
+        expected = counters_of(document)
         assert in_parallel(spark, path) == expected
 
 
@@ -253,6 +263,51 @@ def test_other_texts_are_left_to_the_whole_reader(spark, odd, compact):
         assert in_parallel(spark, path) is None, changed[-50:]
 
 
+def any_layout(spark, path):
+    return as_dict(read_any(spark, str(path), json_document.MAPS, json_document.SCALARS))
+
+
+@pytest.mark.parametrize("size", [None, "400"])
+def test_documents_of_any_layout_are_read_in_parallel(spark, compact, size, monkeypatch):
+    path, document = compact
+    agents = document["aggregates"]["user_agent"]
+    for tricky in ("visits", "ip", "by_day", 'x":{"visits":1', '},"', "}", "\\", '\\"', "\\\\", "},x", ': "', " [ ", "aggregates", "é🙂\n\t"):
+        agents[tricky] = {"visits": 5, "traffic_bytes": 6}
+    document["aggregates"]["ip"] = {}
+    expected = counters_of(document)
+    backwards = {k: dict(reversed(v.items())) if isinstance(v, dict) else v for k, v in reversed(document["aggregates"].items())}
+    backwards["by_day"] = {k: {"note": [1, {"visits": "}"}], **dict(reversed(v.items()))} for k, v in backwards["by_day"].items()}
+    texts = [
+        json.dumps(document, indent=2, ensure_ascii=False),
+        json.dumps(document, ensure_ascii=True, separators=(" ,\r\n", "\t: ")),
+        json.dumps({"version": "1.0", "aggregates": {"other": {"a": {"visits": 1}}, **backwards}, "files_count": 7}, indent="\t"),
+        json.dumps(document, separators=(",", ":")),
+    ]
+    if size:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        monkeypatch.setattr(any_document, "_CHUNK", 7)
+    try:
+        for text in texts[: 2 if size else 4]:
+            path.write_text(text, encoding="utf-8")
+            assert any_layout(spark, path) == expected
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plan = plan_of(spark.read.option("lineSep", '"').text(str(path)))
+    assert "wholetext" not in plan
+
+
+def test_broken_documents_of_any_layout(spark, compact):
+    path, document = compact
+    text = json.dumps(document, indent=1)
+    broken = [text[:-1], text[:-30], text + text, text[: len(text) // 2], text.replace('"by_day"', '"by_week"'), text.replace(str(2**70), "-1", 1)]
+    broken += [text.replace(str(2**70), "1.5", 1), text.replace('"parse_errors": 5', '"parse_errors": 5 5'), text.replace('"files_count": 7', '"files_count": null')]
+    broken += [text.replace('"visits"', '"visit"', 1), ""]
+    for changed in broken:
+        path.write_text(changed, encoding="utf-8")
+        with pytest.raises(Exception):
+            any_layout(spark, path)
+
+
 def test_empty_document_round_trip(spark, odd, tmp_path):
     folder = str(tmp_path / "document")
     json_document.save_document(odd.where("kind = 'meta:files'"), folder)
