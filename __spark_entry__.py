@@ -20,7 +20,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from hitledger import GroupingRules, GroupRule, names
 from hitledger.functions import line_fields as lf
 from hitledger.functions.display import human_bytes
-from hitledger.operators import counting, parsing, ranking
+from hitledger.operators import counting, heavy, parsing, ranking
 from hitledger.plans.event_logs import (
     daily_logs,
     event_lines,
@@ -222,6 +222,11 @@ def _top(dimension: str, sort_by: str) -> Query:
     return query
 
 
+def top_path_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best paths without a count of all paths."""
+    return heavy.top_rows_of_lines(event_lines(spark, sf_dir), "path", "traffic")
+
+
 def top_n_all_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [*names.DIMENSION_KINDS.values(), names.TOTAL]
     return ranking.top_rows_all(_counters(spark, sf_dir, *kinds), "traffic", 10)
@@ -404,6 +409,7 @@ def queries() -> dict[str, Query]:
         "top_path_by_traffic": _top("path", "traffic"),
         "top_user_agent_by_visits": _top("user_agent", "visits"),
         "top_status_by_traffic": _top("status", "traffic"),
+        "top_path_from_lines": top_path_from_lines,
         "top_n_all_dimensions": top_n_all_dimensions,
         "top_n_each_dimension": top_n_each_dimension,
         "date_series": date_series,

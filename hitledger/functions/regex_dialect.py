@@ -12,6 +12,9 @@ import re
 # Escapes that mean the same in both dialects.
 _SAME_ESCAPES = set("dDsSwWbBAztnrfa")
 
+# Operators between the sets of a character class.
+_SET_OPERATORS = ("&&", "--", "~~")
+
 # Bracket names inside character classes; ASCII only, whatever the flags.
 _BRACKET_NAMES = {
     "alnum": "0-9A-Za-z",
@@ -58,25 +61,30 @@ class Translated:
     def _translate(self, pattern: str) -> str:
         out: list[str] = []
         at = 0
-        class_depth = 0
+        classes: list[list[int]] = []  # where in out each open class begins and its set operators stand
         opened: list[int] = []  # where in out each open group begins
         closed: int | None = None  # the same of a group that ends right here
         while at < len(pattern):
             before, closed = closed, None
             char = pattern[at]
             if char == "\\":
-                text, at = _escape(pattern, at, class_depth > 0)
+                text, at = _escape(pattern, at, bool(classes))
                 out.append(text)
             elif char == "[":
-                text, at, opens = _open_class(pattern, at, class_depth > 0)
-                class_depth += opens
+                text, at, opens = _open_class(pattern, at, bool(classes))
+                if opens:
+                    classes.append([len(out)])
                 out.append(text)
-            elif class_depth:
-                if pattern.startswith(("--", "~~"), at):
-                    raise UnsupportedPattern("character class difference is not supported")
-                class_depth -= char == "]"
-                out.append(char)
-                at += 1
+            elif classes:
+                operator = pattern[at : at + 2] if pattern.startswith(_SET_OPERATORS, at) else ""
+                if operator:
+                    classes[-1].append(len(out))
+                out.append(operator or char)
+                at += len(out[-1])
+                if char == "]":
+                    start, *operators = classes.pop()
+                    if any(out[i] in ("--", "~~") for i in operators):
+                        out[start:] = [_class_of_sets(out[start:], [i - start for i in operators])]
             elif char == "(":
                 text, at = self._open_group(pattern, at)
                 if text.startswith("(?") and text.endswith(")"):  # flags alone open nothing
@@ -132,7 +140,10 @@ class Translated:
         choices = body[::2]
         single = len(body) % 2 and all(x == "|" for x in body[1::2]) and all(map(_is_one_character, choices))
         if not single or "x" in self.flags or "s" in self.flags:
-            raise UnsupportedPattern("only groups of single characters can be repeated without end")
+            raise UnsupportedPattern(
+                "only groups of single characters can be repeated without end;"
+                f" repeat this one {{1,{_FEW}}} times, or write a class of characters"
+            )
         one = "[" + "".join("[^\\n]" if x == "." else x for x in choices) + "]"
         if opening.startswith("(?"):
             return one + quantifier
@@ -178,6 +189,26 @@ def _repeats_long(quantifier: str) -> bool:
     return bounds[-1] == "" or int(bounds[-1]) > _FEW
 
 
+def _class_of_sets(parts: list[str], operators: list[int]) -> str:
+    """A class with differences as one of intersections: from left to right, as all operators bind alike."""
+    opening = "[^" if parts[0].startswith("[^") else "["
+    edges = [0, *operators, len(parts) - 1]
+    operands = ["".join(parts[a + 1 : b]) for a, b in zip(edges, edges[1:])]
+    operands[0] = parts[0].removeprefix(opening) + operands[0]
+    if not all(operands):
+        raise UnsupportedPattern("a set operator needs characters on both sides")
+    left = f"[{operands[0]}]"
+    for at, operand in zip(operators, operands[1:]):
+        right, inverse = f"[{operand}]", f"[^{operand}]"
+        if parts[at] == "&&":
+            left = f"[{left}&&{right}]"
+        elif parts[at] == "--":
+            left = f"[{left}&&{inverse}]"
+        else:
+            left = f"[[{left}&&{inverse}][{right}&&[^{left}]]]"
+    return f"{opening}{left}]"
+
+
 def _classes_joined(parts: list[str]) -> list[str]:
     """The parts of a group with each bracketed class as one part."""
     out, depth = [], 0

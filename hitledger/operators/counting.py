@@ -65,6 +65,13 @@ def count_records(
     )
 
 
+def bucket_rows(parsed: DataFrame, kind: str, rules: GroupingRules | None = None) -> DataFrame:
+    """The bucket and the bytes (``_bytes``) of each parsed line that counts in one kind."""
+    bytes_ = F.coalesce("traffic_bytes", F.lit(0).cast(BYTE_TYPE)).alias("_bytes")
+    bucket = _bucket_column(kind, rules or GroupingRules()).alias("bucket")
+    return with_buckets(parsed).select(bucket, bytes_).where(F.col("bucket").isNotNull())
+
+
 def count_lines(
     lines: DataFrame,
     rules: GroupingRules | None = None,

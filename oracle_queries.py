@@ -271,6 +271,7 @@ FROM log
     "pct_of_total": _top("path_group", "visits", 100),
     "top_ip_by_visits": _top("ip", "visits"),
     "top_path_by_traffic": _top("path", "traffic"),
+    "top_path_from_lines": _top("path", "traffic"),
     "top_user_agent_by_visits": _top("user_agent", "visits"),
     "top_status_by_traffic": _top("status_code", "traffic"),
     "top_n_all_dimensions": _TOP_TEN_OF_ALL,

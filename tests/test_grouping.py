@@ -58,6 +58,14 @@ RULES = [
     (r"\<a", "#", "a ba", "# ba"),
     (r"a\>", "#", "a ba ab", "# b# ab"),
     (r"[a-c&&[^b]]", "#", "abc", "#b#"),
+    # set operators bind alike, from left to right
+    (r"[a-e--[bd]]+", "#", "abcde", "#b#d#"),
+    (r"[a-c~~b-d]", "#", "abcd", "#bc#"),
+    (r"[^a-e--c]", "#", "acx", "a##"),
+    (r"[a-y&&c-z--[^e-g]]", "#", "cefgz", "c###z"),
+    (r"[\w--\d--[é]]+", "#", "ab12é", "#12é"),
+    (r"[]a--a]", "#", "]a", "#a"),
+    (r"^(?:[a-z--[x]]|/)+$", "#", "/a/b", "#"),
     (r"\.\[\(", "#", ".[(", "#"),
     ("a{2}?", "#", "aaa", "#a"),
     ("(?x) a  b", "#", "xab", "x#"),
@@ -89,7 +97,7 @@ def test_rules(spark):
     "pattern",
     [
         "(?=a)", "(?!a)", "(?<=a)b", "(?<!a)b", r"(a)\1", r"\k<n>", "(?U)a", "(?R)a", "(?-u)a",
-        "(?>a)", "a++", "a*+", "a{2}+", "[a--b]", "[a~~b]", r"\Qa\E", r"\Z", r"\h", "a\\",
+        "(?>a)", "a++", "a*+", "a{2}+", "[a--]", "[~~b]", r"\Qa\E", r"\Z", r"\h", "a\\",
         "[[:nope:]]", "(?P<n>a)(?P<n>b)", r"\b{start}a",
     ],
 )
