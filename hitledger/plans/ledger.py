@@ -83,7 +83,7 @@ class Ledger:
         return Ledger(tables.load_snapshot(spark, path), self.sort_by, self.top, self.graph_items, path)
 
     def save(self, path: str, mode: str = "error") -> None:
-        tables.save_snapshot(self.counters, path, mode)
+        tables.save_snapshot(self.counters, path, mode, _buckets_for(self.counters, self.snapshot))
 
     def save_json(self, path: str, mode: str = "error") -> None:
         json_document.save_document(self.counters, path, mode)
@@ -128,7 +128,7 @@ def analyze(
         counters = load_counters(spark, load_db)
         snapshot = load_db if _is_snapshot(spark, load_db) else None
         if save_db is not None:
-            tables.save_snapshot(counters, save_db, mode, snapshot and tables.snapshot_buckets(spark, snapshot))
+            tables.save_snapshot(counters, save_db, mode, _buckets_for(counters, snapshot))
     else:
         resolved = resolve_inputs(spark, files)
         rules = GroupingRules.from_options(spark, **group_options)
@@ -144,6 +144,12 @@ def analyze(
     return ledger
 
 
+def _buckets_for(counters: DataFrame, snapshot: str | None) -> int:
+    """As many buckets as the snapshot has that holds the counters, or as their size calls for."""
+    held = tables.snapshot_buckets(counters.sparkSession, snapshot) if snapshot else None
+    return held or -(-_input_bytes(counters) // COUNTER_BYTES_PER_SHUFFLE_PARTITION)
+
+
 def _input_bytes(lines: DataFrame) -> int:
     """Size of the files behind the lines, from Spark's own statistics; nothing is read."""
     statistics = lines._jdf.queryExecution().optimizedPlan().stats()
