@@ -35,7 +35,7 @@ from hitledger.operators.positions import free_name
 SHINGLE = 5
 PERCENT = 75
 MOST_MATCHES = 6
-LEADERS = 8
+LEADERS = 3
 VERIFY_ROWS = 1024
 VERIFY_COST = 30.0  # of a candidate, in list entries
 CELL_BITS = (16, 24)
@@ -44,7 +44,7 @@ BLOCK_CELLS = 1 << 16
 POSTINGS = 1 << 20  # of a partition
 BATCH_BYTES = 1 << 20
 PAIR_BLOCK = 1 << 20
-LIST_BLOCK = 1 << 17
+LIST_BLOCK = 1 << 16
 PARITY_BITS = (256, 4096)
 
 WORD_BYTES = ~byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -181,7 +181,7 @@ def parity_row(tokens: np.ndarray) -> bytes:
 class Parities:
     """Parity rows of sets. A row is folded to half its cells by adding up its halves modulo 2."""
 
-    STEP = 1 << 14
+    STEP = 1 << 11  # pairs compared at once
 
     def __init__(self, column: pa.Array):
         self.raw, offsets = text_bytes(column)

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from hitledger.llm import byte_words, resampling as rs
+from hitledger.llm import resampling as rs
 from hitledger.llm.common import table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
