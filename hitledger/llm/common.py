@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -48,10 +51,26 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+BATCH_ROWS = 2_000  # whole texts in one Arrow batch, which the executor and its worker both hold
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows at most for the jobs that are started meanwhile."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The table written to the shared scratch folder and read again: this cuts the lineage."""
     path = scratch_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,8 +92,23 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system.
+
+    Arrow's pool and the C library keep freed memory for later; the workers of an executor would each
+    keep as much as their largest batch took. Where the C library has no such call, nothing happens.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a text column without nulls, and where each text begins and ends."""
+    """The UTF-8 bytes of a text column without nulls, and where each text begins and ends.
+
+    Called once for each batch, it first gives back what the batches before have freed.
+    """
+    give_back()
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     kind = np.int64 if wide else np.int32
     _, offsets, data = column.buffers()
