@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,8 @@ def read_lines(
     """One row per line in column ``value``, without its line feed and one carriage return.
 
     Only a line feed ends a line; a last line without one counts, an empty file has none. A line
-    that is not UTF-8 ends the run with its file's name. Files can have any name. With ``invalid_utf8="reject"`` it becomes
+    that is not UTF-8 ends the run with its file's name. Files can have any name. A folder among them,
+    such as one that Spark wrote, stands for the files in it that Spark takes for data. With ``invalid_utf8="reject"`` it becomes
     a null ``value``, which the parser counts as a reject, and column ``undecodable`` keeps its
     bytes. Compressed files are decompressed by their ending, each as one task.
     """
@@ -89,7 +91,7 @@ def read_lines(
         text = reader.text([_literal_path(plain.get(f, f)) for f in files])
     else:
         text = reader.option("pathGlobFilter", f"{LOG_FILE_PREFIX}*").text(_literal_path(folder))
-    if len(text._jdf.inputFiles()) != len(set(files)):
+    if not _all_read(spark, set(files), plain, list(text._jdf.inputFiles())):
         raise ValueError("Spark does not read every one of the log files")
     raw = F.col("value")
     readable = F.is_valid_utf8(raw)
@@ -107,6 +109,28 @@ def read_lines(
     return text.select(F.when(readable, line).otherwise(failure).alias("value"))
 
 
+def _all_read(spark: SparkSession, files: set[str], plain: dict[str, str], read: list[str]) -> bool:
+    """Whether each file is one of those that Spark reads, or a folder with some of them."""
+    if sorted(_name(plain.get(f, f)) for f in files) == sorted(unquote(_name(r)) for r in read):
+        return True  # one for each; asking the file system about every path would take long
+    known = {_plain_uri(r) for r in read}
+    for path in list(known):
+        while (path := path.rpartition("/")[0]) and path not in known:
+            known.add(path)
+
+    def whole(path: str) -> str:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        file_system = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+        return file_system.makeQualified(jpath).toUri().toString()
+
+    return all(_plain_uri(plain[f] if f in plain else whole(f)) in known for f in files)
+
+
+def _plain_uri(uri: str) -> str:
+    """Hadoop writes a scheme without a host as file:/x or file:///x."""
+    return re.sub(r"\A([A-Za-z][\w+.-]*):///", r"\1:/", uri)
+
+
 def _plain_names(spark: SparkSession, files: list[str]) -> tuple[dict[str, str], dict[str, str]]:
     """Other paths for the files whose names Spark would skip, and the reader options that make them.
 

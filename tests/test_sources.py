@@ -3,6 +3,7 @@ import gzip
 import pytest
 
 from hitledger.operators.counting import count_lines, summary
+from hitledger.sources import log_files
 from hitledger.sources.log_files import read_lines, resolve_inputs
 
 OK = b'198.51.100.7 - eve [31/Dec/1999:03:59:58 +0530] "POST /cart/7 HTTP/2" 201 4096 "-" "Probe/3"'
@@ -149,3 +150,23 @@ def test_compressed_log_with_an_odd_name(spark, tmp_path):
 def test_compressed_log(spark, tmp_path):
     path = write(tmp_path, "access.log.2.gz", gzip.compress(OK + b"\n" + NEXT))
     assert len(lines_in(spark, path)) == 2
+
+
+def test_a_folder_of_several_files_that_spark_wrote(spark, tmp_path):
+    folder, other = tmp_path / "day é%20[1]", write(tmp_path, "access.log", OK)
+    lines = spark.range(1000).selectExpr("concat('line ', id) AS value")
+    lines.repartition(5).write.text(str(folder), lineSep="\n")
+    odd = write(tmp_path, "_odd.log", OK)
+    assert len(list(folder.glob("part-*"))) == 5
+    expected = sorted(r.value for r in lines.collect())
+    assert sorted(lines_in(spark, str(folder))) == expected
+    assert sorted(lines_in(spark, f"{folder}/", other, odd)) == sorted([*expected, OK.decode(), OK.decode()])
+
+
+def test_every_named_input_is_among_the_files_read(spark):
+    plain = {"_x.log": "viewfs://names1/file-0.log"}
+    read = ["file:///a%20b/part-0", "file:///a%20b/day=1/part-1", "viewfs://names1/file-0.log"]
+    assert log_files._all_read(spark, {"/a b", "_x.log"}, plain, read)
+    assert log_files._all_read(spark, {"/a b/day=1", "/a b/part-0", "_x.log"}, plain, read)
+    assert not log_files._all_read(spark, {"/a b", "/a", "/c.log"}, plain, read)
+    assert not log_files._all_read(spark, {"/a b", "_x.log"}, plain, read[:2])
