@@ -40,3 +40,7 @@ def check(spark, folder, name):
 
 def test_carriage_returns(spark, folder):
     check(spark, folder, "carriage_returns")
+
+
+def test_scan_log_files(spark, folder):
+    check(spark, folder, "scan_log_files")
