@@ -44,3 +44,7 @@ def test_carriage_returns(spark, folder):
 
 def test_scan_log_files(spark, folder):
     check(spark, folder, "scan_log_files")
+
+
+def test_undecodable_and_bare_lines(spark, folder):
+    check(spark, folder, "undecodable_and_bare_lines")
