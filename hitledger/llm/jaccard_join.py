@@ -9,7 +9,9 @@ tokens, which leaves fewer candidates to verify. A pair needs the smaller of its
 Equal sets are one set from the start. Candidates are not all pairs of a list: first every list
 links its members to a few leaders; pairs that verify make classes; then the lists give only pairs
 between different classes, which are counted, filtered and verified. So copies cost linear work,
-and no link between different classes is lost.
+and no link between different classes is lost. For its leaders a set shows in the lists of a fixed
+number of its tokens, the smallest by a hash, which copies have in common; for the pairs between
+classes it shows in all lists where sizes leave it a partner.
 
 Each set has a row of bits, the parities of how many of its tokens fall into each cell. Where two rows
 differ, at least one token is in one set alone; so pairs whose rows differ too much go before they are
@@ -36,6 +38,8 @@ SHINGLE = 5
 PERCENT = 75
 MOST_MATCHES = 6
 LEADERS = 3
+LED_TOKENS = 16  # of a set, by which it meets leaders
+LIKELY = 16  # a likely pair shares one prefix token for so many of the smaller set
 VERIFY_ROWS = 1024
 VERIFY_COST = 30.0  # of a candidate, in list entries
 CELL_BITS = (16, 24)
@@ -325,14 +329,24 @@ def _whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> I
         yield joined()
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of lists with members of more than one class."""
-    names = ("token", "sig", "class")
-    for rows in _whole_lists(batches, names):
-        t, c = (np.asarray(rows.column(k)) for k in ("token", "class"))
-        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
-        yield rows.filter(pa.array(np.repeat(mixed, np.diff(np.append(starts, len(t))))))
+def _mixed(percent: int):
+    """The entries with a member of another class in their list that is not too small or too large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_lists(batches, ("token", "sig", "class", "n")):
+            rows = rows.take(pa.array(np.lexsort([np.asarray(rows.column(k)) for k in ("n", "token")])))
+            t, c, n = (np.asarray(rows.column(k)) for k in ("token", "class", "n"))
+            list_starts = np.concatenate([[True], t[1:] != t[:-1]])
+            starts = np.flatnonzero(list_starts | np.concatenate([[True], c[1:] != c[:-1]]))  # runs of one class
+            size = np.diff(np.append(starts, len(t)))
+            # the nearest sizes of other classes are those just before and just after a run
+            below = np.where(list_starts[starts], 0, n[starts - 1])
+            after = np.append(starts[1:], 0)
+            above = np.where(list_starts[after], 0, n[after])
+            below, above = np.repeat(below, size), np.repeat(above, size)
+            yield rows.filter(pa.array((100 * below >= percent * n) | (100 * n >= percent * above) & (above > 0))).select(["token", "sig", "class"])
+
+    return run
 
 
 def _between(percent: int):
@@ -459,6 +473,26 @@ def _links(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Dat
     return written(both.mapInArrow(_verifier(shingle, percent), "a long, b long"), "links")
 
 
+def leading(listed: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """sig, n and degree, the number of lists, of the sets that can be in a likely pair.
+
+    Such a pair shares a LIKELYth of its smaller set, which has `percent` of the larger one at least.
+    """
+    degrees = listed.groupBy("sig").agg(F.count("*").alias("degree")).join(about.select("sig", "n"), "sig")
+    return degrees.where(100 * LIKELY * F.col("degree") >= percent * F.col("n"))
+
+
+def led_entries(listed: DataFrame, degrees: DataFrame) -> DataFrame:
+    """token, sig, degree: of each set the LED_TOKENS tokens that are the smallest by a hash.
+
+    Sets with most of their prefixes in common have most of these in common as well. The member with
+    the most shared tokens leads a list: an original is closer to its copies than they to each other.
+    """
+    smallest = F.row_number().over(Window.partitionBy("sig").orderBy(F.xxhash64("token"), "token"))
+    entries = listed.join(degrees, "sig").withColumn("place", smallest)
+    return entries.where(F.col("place") <= LED_TOKENS).select("token", "sig", "degree")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -481,17 +515,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_parts = parts_for(size // 24, POSTINGS, 8)  # about one shingle in six bytes, a quarter of them in prefixes
     listed = entries.repartition(n_parts, "token").sortWithinPartitions("token", "sig")
     listed = written(listed.mapInArrow(_lists, "token long, sig long"), "lists")
-    # the member with the most shared tokens leads a list: an original is closer to its copies than they to each other
-    degrees = listed.groupBy("sig").agg(F.count("*").alias("degree"))
-    led = listed.join(degrees, "sig").select("token", "sig", "degree").repartition(n_parts, "token").sortWithinPartitions("token", F.desc("degree"), "sig")
-    stars = led.select("token", "sig").mapInArrow(_stars, "a long, b long, n_shared long").groupBy("a", "b").agg(F.sum("n_shared").alias("n_shared"))
     about = written(sets.where("tokens is not null").groupBy("sig").agg(F.max("n").alias("n"), F.max("matches").alias("matches"), F.max("last").alias("last"), F.max("parity").alias("parity")), "about")
+    degrees = written(leading(listed, about, percent), "degrees")
+    led = led_entries(listed, degrees).repartition(n_parts, "token").sortWithinPartitions("token", F.desc("degree"), "sig")
+    stars = led.select("token", "sig").mapInArrow(_stars, "a long, b long, n_shared long").groupBy("a", "b").agg(F.sum("n_shared").alias("n_shared"))
 
-    def sized(pairs: DataFrame) -> DataFrame:
+    def sized(pairs: DataFrame, known: DataFrame, *names: str) -> DataFrame:
         """Pairs whose sizes do not exclude each other, with what is known of both sets."""
         for side in ("a", "b"):
-            own = [F.col(c).alias(f"{c}_{side}") for c in ("n", "matches", "last")]
-            pairs = pairs.join(about.select(F.col("sig").alias(side), *own), side)
+            own = [F.col(c).alias(f"{c}_{side}") for c in ("n", *names)]
+            pairs = pairs.join(known.select(F.col("sig").alias(side), *own), side)
         return pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def enough(pairs: DataFrame) -> DataFrame:
@@ -503,16 +536,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - 1e-9)
         n, l = (F.when(F.col("last_a") <= F.col("last_b"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in ("n", "matches"))
         beyond = F.ceil(n * percent / 100 - 1e-9) - l
-        return sized(pairs).where((F.col("n_shared") >= F.least("matches_a", "matches_b")) & (F.col("n_shared") + beyond >= overlap))
+        return sized(pairs, about, "matches", "last").where((F.col("n_shared") >= F.least("matches_a", "matches_b")) & (F.col("n_shared") + beyond >= overlap))
 
     # members that share some of their prefix with a leader of its lists: nearly all copies
-    likely = sized(stars).where(F.col("n_shared") * 16 >= F.least("n_a", "n_b"))
+    share = F.greatest("degree_a", "degree_b", F.lit(LED_TOKENS)) / LED_TOKENS  # of the prefix, by its part that met
+    likely = sized(stars, degrees, "degree").where(F.col("n_shared") * share * LIKELY >= F.least("n_a", "n_b"))
     links = _links(docs, likely.select("a", "b"), shingle, percent)
     classes = components(links)
 
-    rooted = about.join(classes.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("class"))
-    placed = listed.join(rooted, "sig").select("token", "sig", "class").repartition(n_parts, "token").sortWithinPartitions("token")
-    mixed = written(placed.mapInArrow(_mixed, "token long, sig long, class long"), "mixed")
+    rooted = about.join(classes.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("class"), "n")
+    placed = listed.join(rooted, "sig").select("token", "sig", "class", "n").repartition(n_parts, "token").sortWithinPartitions("token")
+    mixed = written(placed.mapInArrow(_mixed(percent), "token long, sig long, class long"), "mixed")
     beyond = F.ceil(F.col("n") * percent / 100 - 1e-9) - F.col("matches")
     known = mixed.groupBy("sig").agg(F.count("*").alias("degree")).join(about, "sig")
     placed = mixed.join(known.withColumn("beyond", beyond), "sig").select(*PLACED).repartition(n_parts, "token").sortWithinPartitions("token")

@@ -180,3 +180,31 @@ def test_components_of_paths_stars_and_pairs(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[k] == 100 for k in range(101, 161)) and all(found[k] == 7 for k in range(200, 300)) and found[900] == 3
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_leaders_meet_sets_by_a_bounded_number_of_tokens(spark):
+    """Two long copies share all lists, strangers one token each, and a short pair its only two."""
+    copies = [(token, sig) for token in range(500) for sig in (1, 2)]
+    strangers = [(1_000 + k, sig) for k in range(50) for sig in (100 + k, 200 + k)]
+    short = [(token, sig) for token in (2_000, 2_001) for sig in (3, 4)]
+    listed = spark.createDataFrame(copies + strangers + short, "token long, sig long")
+    sizes = {1: 2_000, 2: 2_000, 3: 8, 4: 8, **{k: 300 for k in [*range(100, 150), *range(200, 250)]}}
+    about = spark.createDataFrame(list(sizes.items()), "sig long, n long")
+    degrees = j.leading(listed, about, 75)
+    assert {(r.sig, r.degree) for r in degrees.collect()} == {(1, 500), (2, 500), (3, 2), (4, 2)}
+    led = [(r.token, r.sig) for r in j.led_entries(listed, degrees).collect()]
+    met = {sig: sorted(t for t, s in led if s == sig) for sig in (1, 2, 3, 4)}
+    assert len(met[1]) == j.LED_TOKENS and met[1] == met[2] and met[3] == met[4] == [2_000, 2_001]
+    assert len(led) == 2 * j.LED_TOKENS + 4
+
+
+def test_mixed_lists_keep_members_with_a_partner_of_fitting_size():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        entries = sorted(zip(rng.integers(0, 6, n).tolist(), range(n), rng.integers(0, 4, n).tolist(), rng.integers(1, 30, n).tolist()))
+        cuts = [0, *sorted(rng.integers(0, n + 1, 3).tolist()), n]
+        batches = (pa.RecordBatch.from_arrays([pa.array([e[k] for e in entries[a:b]], pa.int64()) for k in range(4)], ["token", "sig", "class", "n"]) for a, b in zip(cuts, cuts[1:]))
+        got = sorted((r["token"], r["sig"], r["class"]) for b in j._mixed(75)(batches) for r in b.to_pylist())
+        fits = [any(y[0] == x[0] and y[2] != x[2] and 100 * min(x[3], y[3]) >= 75 * max(x[3], y[3]) for y in entries) for x in entries]
+        assert got == [e[:3] for e, fit in zip(entries, fits) if fit]
