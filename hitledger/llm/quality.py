@@ -216,9 +216,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score threshold or more, with all their columns, without a shuffle.
 
-    The model is that of classify: it learns from the labels that are not held out.
+    The model is that of classify: it learns from the labels that are not held out. The features are
+    written first: two Python steps in one stage would start two workers for each core, which stay.
     """
-    model = fit(document_features(docs, id_col, text_col), labels.where(~held_out()))
+    features = written(document_features(docs, id_col, text_col), "features")
+    model = fit(features, labels.where(~held_out()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,6 +26,15 @@ def test_filter_agrees_with_the_scores(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in q.classify(docs, labels).collect() if r.predicted}
 
 
+def test_the_filter_runs_one_python_step_in_a_stage(spark, make_docs, monkeypatch):
+    fit, seen = q.fit, []
+    monkeypatch.setattr(q, "fit", lambda features, labels: seen.append(features) or fit(features, labels))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (3, 1)], "doc_id long, quality int")
+    kept = q.keep_good(make_docs(["plain words here.", "!!! ###", None, "more plain words."]), labels)
+    python = [df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for df in (*seen, kept)]
+    assert python == [0, 1]
+
+
 def test_awkward_rows_and_labels(spark, make_docs):
     texts = [None, "", "plain words here.", "!!! ###", "x" * 300_000, "plain words here.", "\n\n\n"]
     labels = spark.createDataFrame([(0, 1), (2, 1), (2, 1), (3, 0), (4, None), (None, 1), (99, 0)], "doc_id long, quality int")
